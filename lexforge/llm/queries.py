@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, exact, langid, mixing, near
+from . import bpe, chat, exact, langid, lines, media, mixing, near, shards
 from .common import documents
 
 
@@ -24,14 +24,31 @@ def op2_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
 
+def op3_sharding(spark, sf_dir):
+    """Every document's shard of 64."""
+    return shards.place(documents(spark, sf_dir).select("doc_id"), F.col("doc_id"), [f"shard-{i:04d}" for i in range(64)])
+
+
+def op4_chat_formatting(spark, sf_dir):
+    return chat.link(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op5_minhash_near_dedup(spark, sf_dir):
     return near.near_groups(documents(spark, sf_dir), size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_line_dedup(spark, sf_dir):
+    return lines.digests(documents(spark, sf_dir))
+
+
 def op7_source_mixing(spark, sf_dir):
     return mixing.plan(documents(spark, sf_dir))
 
 
+def op8_media_columns(spark, sf_dir):
+    return media.examined(media.stored(documents(spark, sf_dir))).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "media_type", "corrected", F.size("carved").alias("n_carved"))
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact.groups(documents(spark, sf_dir))
 
@@ -40,9 +57,19 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op5_minhash_near_dedup, op7_source_mixing, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_chat_formatting, op5_minhash_near_dedup, op6_line_dedup, op7_source_mixing, op8_media_columns, op9_exact_dedup, op10_language_id)}
 
 ORACLES = {
+    "op4_chat_formatting": r"""
+WITH m AS (SELECT conv_id, turn, role, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT conv_id, turn, text FROM m WHERE role = 'user'),
+r AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant')
+SELECT c.conv_id, CAST(c.turn AS VARCHAR) AS call_id, c.turn, c.turn AS position, r.turn AS result_turn, 'reply' AS name,
+  CASE WHEN length(c.text) > 400 THEN 'invalid' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+  CASE WHEN length(c.text) > 400 THEN 'long:prompt' ELSE '' END AS problems,
+  '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS record
+FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+""",
     "op9_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 k AS (SELECT doc_id, length(t) AS n, translate(t, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(32), '') AS norm FROM d),
