@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, langid, lines, media, mixing, near, shards
+from . import bpe, chat, exact, langid, lines, media, mixing, near, shards, suffix
 from .common import documents
 
 
@@ -20,6 +20,10 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_dedup(spark, sf_dir):
+    return suffix.digests(documents(spark, sf_dir))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digests(documents(spark, sf_dir), vocabulary())
 
@@ -57,7 +61,7 @@ def op10_language_id(spark, sf_dir):
     return langid.identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_sharding, op4_chat_formatting, op5_minhash_near_dedup, op6_line_dedup, op7_source_mixing, op8_media_columns, op9_exact_dedup, op10_language_id)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_bpe, op3_sharding, op4_chat_formatting, op5_minhash_near_dedup, op6_line_dedup, op7_source_mixing, op8_media_columns, op9_exact_dedup, op10_language_id)}
 
 ORACLES = {
     "op4_chat_formatting": r"""
