@@ -12,8 +12,10 @@ in it: in each round every bucket names one hub (the member with most confirmed
 it with the members that aren't yet in the hub's component. The likelihood of (D+, D-, D0) with the exact set sizes gives a joint
 estimate; pairs hopelessly below the threshold (more than `slack` standard deviations) go, the rest are confirmed on their full sets, in
 whole numbers. Confirmed links merge components, finished hubs leave their buckets, and a bucket is done when its
-members are in one component. So no candidate link between components is ever lost, whatever the bucket's size; from the fifth
-round the number of hubs doubles each round, so that buckets without links end too.
+members are in one component. Members that still stand apart after `rounds` rounds (groups of texts that are like each other, but below
+the threshold) are compared in blocks: a bucket is dealt into blocks of about `block` members, each two of them meet in a task,
+which counts all intersections with products of matrices and hands on only pairs that join two components. No candidate link between
+components is lost, whatever the bucket's size, and no table of all pairs is made.
 
 With 128 registers in 32 bands of 4, a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, Tables, U, mix, shingle_sets, small_batches, steps, text_key, utf8
@@ -160,7 +162,99 @@ def _confirmed(percent: int):
     return run
 
 
-def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGISTERS, rows: int = ROWS, slack: float = 6.0) -> DataFrame:
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members (bucket, cid) with their label, of the buckets that hold more than one label."""
+    named = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
+    apart = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
+    return named.join(apart, "bucket")
+
+
+def _short(batches):
+    """Full sets with 32 bits an element, in order: what blocks are compared by before links are confirmed."""
+    for batch in batches:
+        out = [np.sort((np.frombuffer(x.as_buffer(), U) >> U(32)).astype(np.uint32)).tobytes() for x in batch.column("elements")]
+        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(out, pa.binary())], ["cid", "short"])
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: int = 24) -> np.ndarray:
+    """Sizes of all intersections of two lists of sets. Elements of many sets are counted by products of matrices, those of few by pairs."""
+    sizes = [len(x) for x in left] + [len(x) for x in right]
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, col, n = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    wide = n[col] > dense
+    out = np.zeros((len(left), len(right)), np.int32)
+    few_r, few_c = row[~wide], col[~wide]
+    for k in range(1, dense):
+        if len(few_c) <= k:
+            break
+        same = np.flatnonzero(few_c[k:] == few_c[:-k])
+        if not len(same):
+            break
+        a, b = few_r[same], few_r[same + k]  # rows of one element are in order, so a < b
+        cross = (a < len(left)) & (b >= len(left))
+        np.add.at(out, (a[cross], b[cross] - len(left)), 1)
+    names, many = np.unique(col[wide], return_inverse=True)
+    many_r = row[wide]
+    for start in range(0, len(names), 4096):
+        part = (many >= start) & (many < start + 4096)
+        x = np.zeros((len(sizes), min(4096, len(names) - start)), np.float32)
+        x[many_r[part], many[part] - start] = 1
+        out += (x[: len(left)] @ x[len(left) :].T).astype(np.int32)
+    return out
+
+
+def _blocks(percent: int, doubt: int = 2):
+    """Pairs that may link two labels of a block or of two. Pairs beyond doubt are given only where they join labels not yet joined here."""
+
+    def judge(rows):
+        sides = [[r for r in rows if r[0] == r[1]], [r for r in rows if r[0] == r[2]]]  # at == i, at == j
+        left, right = sides
+        if not left or not right:
+            return []
+        inter = overlaps([r[5] for r in left], [r[5] for r in right])
+        na, nb = np.array([len(r[5]) for r in left]), np.array([len(r[5]) for r in right])
+        total = na[:, None] + nb[None, :]
+        may = 100 * (inter + doubt) >= percent * (total - inter - doubt)
+        sure = 100 * (inter - doubt) >= percent * (total - inter + doubt)
+        parent: dict[bytes, bytes] = {}
+
+        def root(x):
+            while parent.get(x, x) != x:
+                parent[x] = parent.get(parent[x], parent[x])
+                x = parent[x]
+            return x
+
+        out = []
+        for p, q in zip(*np.nonzero(may), strict=True):
+            x, y = root(left[p][4]), root(right[q][4])
+            if x != y:
+                out.append((min(left[p][3], right[q][3]), max(left[p][3], right[q][3])))
+                if sure[p, q]:
+                    parent[max(x, y)] = min(x, y)
+        return out
+
+    def run(batches):
+        key, rows = None, []
+        for batch in batches:
+            cols = [batch.column(c).to_pylist() for c in ("bucket", "i", "j", "at", "cid", "label")]
+            done = []
+            for k, (bucket, i, j, at, cid, label) in enumerate(zip(*cols, strict=True)):
+                if (bucket, i, j) != key:
+                    done += judge(rows) if rows else []
+                    key, rows = (bucket, i, j), []
+                rows.append((at, i, j, cid, label, np.frombuffer(batch.column("short")[k].as_py(), np.uint32)))
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary())], ["a", "b"])
+        done = judge(rows) if rows else []
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary())], ["a", "b"])
+
+    return run
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGISTERS, rows: int = ROWS, slack: float = 6.0, rounds: int = 3, block: int = 1024) -> DataFrame:
     """doc_id, tk, n_shingles, component_id, kept of every document."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -182,38 +276,43 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
 
     labels = spark.createDataFrame([], "node binary, label binary")
     links = spark.createDataFrame([], "a binary, b binary")
-    held: list[DataFrame] = []
-    turn = 0
-    while not open_.isEmpty():
-        turn += 1
-        hubs = 1 if turn < 5 else 2 ** (turn - 4)
+    sets = full.toDF("b", "set_b")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return tables.save(pairs.join(sets, "b").join(full.toDF("a", "set_a"), "a").mapInArrow(_confirmed(percent), "a binary, b binary"), "links")
+
+    for turn in range(rounds):
+        if open_.isEmpty():
+            break
         degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("d"))
         ranked = open_.join(degree, "cid", "left").withColumn("rank", F.struct(-F.coalesce("d", F.lit(0)), F.xxhash64("cid"), "cid"))
         ranked = ranked.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", "rank", F.coalesce("label", "cid").alias("label"))
         ranked = tables.save(ranked, "ranked")
-        if hubs == 1:
-            chosen = ranked.groupBy("bucket").agg(F.min("rank").alias("r")).select("bucket", F.col("r.cid").alias("hub"))
-        else:
-            chosen = ranked.withColumn("k", F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))).where(F.col("k") <= hubs).select("bucket", F.col("cid").alias("hub"))
+        chosen = ranked.groupBy("bucket").agg(F.min("rank").alias("r")).select("bucket", F.col("r.cid").alias("hub"))
         chosen = tables.save(chosen.join(ranked.select("bucket", F.col("cid").alias("hub"), F.col("label").alias("hub_label")), ["bucket", "hub"]), "hubs")
         pairs = ranked.join(chosen, "bucket").where(F.col("label") != F.col("hub_label"))
         pairs = pairs.select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b")).distinct()
         known = classes.select("cid", "n", "regs")
         scored = pairs.join(known.toDF("b", "n_b", "regs_b"), "b").join(known.toDF("a", "n_a", "regs_a"), "a")
         likely = tables.save(scored.mapInArrow(_likely(m, percent / 100, slack), "a binary, b binary"), "likely")
-        sets = full.toDF("b", "set_b")
-        checked = likely.join(sets, "b").join(full.toDF("a", "set_a"), "a").mapInArrow(_confirmed(percent), "a binary, b binary")
-        found = tables.save(checked, "links")
-        held.append(found)
-        links = found if turn == 1 else links.union(found)
+        found = confirmed(likely)
+        links = found if turn == 0 else links.union(found)
         labels = tables.save(components(tables, links), "labels")
         # finished hubs leave; so do buckets whose members have come together or that have one member left
         rest = open_.join(chosen.select("bucket", F.col("hub").alias("cid")), ["bucket", "cid"], "left_anti")
-        rest = rest.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("label", "cid").alias("label"))
-        apart = rest.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where(F.col("x") != F.col("y")).select("bucket")
-        after = tables.save(rest.join(apart, "bucket").select("cid", "bucket"), "open")
+        after = tables.save(_apart(rest, labels).select("cid", "bucket"), "open")
         tables.drop(open_, ranked, chosen, likely)
         open_ = after
+    if not open_.isEmpty():
+        count = open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
+        place = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
+        rows = _apart(open_, labels).join(count, "bucket").withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rows.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "cid", "label")
+        held = rows.join(full.mapInArrow(_short, "cid binary, short binary"), "cid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        near = tables.save(held.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "near")
+        found = confirmed(near)
+        links = links.union(found)
+        labels = tables.save(components(tables, links), "labels")
 
     named = classes.select("cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("label", "cid").alias("label"))
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
@@ -227,4 +326,5 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """The documents that stay: the one of smallest doc_id of each component."""
     gone = near_groups(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("tk").alias("_nd_tk")).distinct()
+    # always a sorted join: the texts' way doesn't change with the number of copies
     return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (text_key() == F.col("_nd_tk")), "left_anti")
