@@ -12,8 +12,9 @@ place, about every 26th byte is an anchor, and each anchor owns a run of neighbo
    windows inside its span at once: in every place but the first they repeat. Only equality of ranks matters here, so a rank
    is a 64-bit name, not a number in order; a settled span joins at least two of them and their distance.
 4. What is left are windows at the edges of repeats: those of anchors that aren't the first with their rank 0 and that step 3 hasn't settled,
-   and, to compare, the unsettled ones of other anchors with those ranks. They are sorted by a 128-bit hash of the whole window, and all but
-   the first of each go.
+   and, to compare, the unsettled ones of other anchors with those ranks. Anchors come sorted by rank 0 and place with the bytes of their
+   runs, and of equal windows at equal distance from the anchor all but the first go. Ranks of more than `wide` anchors don't meet in one
+   task: their windows are sorted one by one by a 128-bit hash of their bytes, which spreads them and gives the same answer.
 
 Groups of any size only meet in counts, minima and sorted streams; a document's own list is the largest thing in memory. No
 pairs of documents are formed, and nothing is capped.
@@ -144,43 +145,119 @@ def _unsettled(batches):
 
 
 def _windows(length: int):
-    """Hashes of the unsettled windows of the given anchors."""
+    """The unsettled windows of the given anchors. An anchor of a class of bounded size gives one row: its class, the bytes of its run and
+    a mask of the starts in question. An anchor of a wide class gives a row for each window: a 128-bit hash of its bytes."""
 
     def run(batches):
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
                 data, _ = utf8(row.column("text"))
-                _, low, high = unpack(row.column("xs")[0].values.to_numpy())
+                dn = row.column("dn")[0].as_py()
+                given = row.column("rows")[0].values
+                g, x, wide = (given.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                _, low, high = unpack(x)
                 n = int(high.max()) + 1
-                want = _covered(np.stack([low, high], axis=1), n)
+                free = np.ones(n, bool)
                 s = row.column("spans")[0]
                 if s.is_valid and len(s.values):
-                    want &= ~_covered(np.stack([s.values.field(0).to_numpy(), s.values.field(1).to_numpy()], axis=1), n)
-                at = np.flatnonzero(want)
-                if not len(at):
+                    free = ~_covered(np.stack([s.values.field(0).to_numpy(), s.values.field(1).to_numpy()], axis=1), n)
+                raw, out = data.tobytes(), []
+                for i, j, y, c, w in zip(low.tolist(), high.tolist(), x.tolist(), g.tolist(), wide.tolist(), strict=True):
+                    if not w:
+                        bits = int.from_bytes(np.packbits(free[i : j + 1], bitorder="little").tobytes(), "little")
+                        if bits:
+                            out.append((c, y, bits, raw[i : j + length]))
+                if out:
+                    c, y, bits, held = zip(*out, strict=True)
+                    yield _window_rows(c, [0] * len(out), dn, y, bits, held)
+                if wide.any():
+                    at = np.flatnonzero(free & _covered(np.stack([low[wide], high[wide]], axis=1), n))
+                    if len(at):
+                        h1, h2 = rolling(data, length, 21)[at], rolling(data, length, 22)[at]
+                        yield _window_rows(h1.view(np.int64), h2.view(np.int64), dn, at, None, None)
+
+    return run
+
+
+def _window_rows(k1, k2, dn, x, bits, held):
+    n = len(k1)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(np.full(n, dn, np.int64)), pa.array(x, pa.int64()), pa.array(bits, pa.int64()) if bits else pa.nulls(n, pa.int64()), pa.array(held, pa.binary()) if held else pa.nulls(n, pa.binary())],
+        ["k1", "k2", "dn", "x", "bits", "held"],
+    )
+
+
+def _repeats(k1, dn, x, bits, held: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(dn, first, last) of runs of starts whose window stands at an earlier place of the same class. Rows are in order of class and place, and
+    classes are whole. A window's place in its class is its distance to the anchor, so equal windows of a class have equal distances."""
+    data, off = utf8(held)
+    a, low, high = unpack(x)
+    count = high - low + 1
+    row = np.repeat(np.arange(len(x)), count)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    asked = (bits[row] >> k & 1).astype(bool)
+    row, k = row[asked], k[asked]
+    at = off[:-1][row] + k
+    h1, h2 = rolling(data, length, 21)[at], rolling(data, length, 22)[at]
+    with np.errstate(over="ignore"):
+        key = mix(h1 + mix(k1.view(U)[row] + GOLDEN) + (a[row] - low[row] - k).astype(U) * U(0xD1342543DE82EF95))
+    order = np.argsort(key, kind="stable")
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (key[order[1:]] == key[order[:-1]]) & (h2[order[1:]] == h2[order[:-1]])
+    row, s = row[again], (low[row] + k)[again]
+    if not len(row):
+        return dn[:0], s, s
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (s[1:] != s[:-1] + 1)
+    first = np.flatnonzero(new)
+    return dn[row[first]], s[first], s[np.append(first[1:], len(row)) - 1]
+
+
+def _later(length: int):
+    """Rows come by class or window, and place. Of each window all but the first go: dn, s, t with the first and last start of a run."""
+
+    def run(batches):
+        last, waiting = None, None
+        for batch in _and_end(batches):
+            if batch is None:
+                whole, waiting = waiting, None
+            else:
+                hashed = batch.filter(batch.column("held").is_null())
+                if hashed.num_rows:
+                    k1, k2 = hashed.column("k1").to_numpy(), hashed.column("k2").to_numpy()
+                    same = np.zeros(len(k1), bool)
+                    same[1:] = (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1])
+                    same[0] = last == (k1[0], k2[0])
+                    last = (k1[-1], k2[-1])
+                    d, s = hashed.column("dn").to_numpy()[same], hashed.column("x").to_numpy()[same]
+                    yield _spans(d, s, s)
+                batch = batch.filter(batch.column("held").is_valid())
+                if not batch.num_rows:
                     continue
-                h1, h2 = rolling(data, length, 21)[at], rolling(data, length, 22)[at]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.full(len(at), row.column("dn")[0].as_py(), np.int64)), pa.array(at)], ["h1", "h2", "dn", "s"])
+                if waiting is not None:
+                    batch = pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
+                k1 = batch.column("k1").to_numpy()
+                other = np.flatnonzero(k1 != k1[-1])
+                cut = int(other[-1]) + 1 if len(other) else 0
+                whole, waiting = batch.slice(0, cut), batch.slice(cut)
+            if whole is not None and whole.num_rows:
+                cols = [whole.column(c).to_numpy() for c in ("k1", "dn", "x", "bits")]
+                yield _spans(*_repeats(*cols, whole.column("held"), length))
 
     return run
 
 
-def _later(batches):
-    """Rows come by window and place: all but the first of each window."""
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
-        same = np.zeros(len(h1), bool)
-        same[1:] = (h1[1:] == h1[:-1]) & (h2[1:] == h2[:-1])
-        same[0] = last == (h1[0], h2[0])
-        last = (h1[-1], h2[-1])
-        yield batch.select(["dn", "s"]).filter(pa.array(same))
+def _and_end(batches):
+    yield from batches
+    yield None
+
+
+def _spans(d, s, t):
+    return pa.RecordBatch.from_arrays([pa.array(d), pa.array(s), pa.array(t)], ["dn", "s", "t"])
 
 
-def starts(docs: DataFrame, length: int = 100) -> DataFrame:
+def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     """id, tk, copy, spans: for each document that loses bytes, whether all of it repeats an earlier document, else bounds (first, last) of
     the starts of repeated strings. id is doc_id, or the largest number for null; tk tells texts of one doc_id apart."""
     spark = docs.sparkSession
@@ -209,7 +286,7 @@ def starts(docs: DataFrame, length: int = 100) -> DataFrame:
     tables.drop(level)
     a, low, high = (F.shiftright("x", 12), F.shiftright("x", 12) - F.shiftright("x", 6).bitwiseAND(F.lit(63)), F.shiftright("x", 12) - F.col("x").bitwiseAND(F.lit(63)))
     now = base.select("dn", "x", "r", a.alias("end"))
-    spans, gram, offset, turn = None, length // 2, 1, 0
+    spans, ranks, gram, offset, turn = None, [], length // 2, 1, 0
     by_place = Window.partitionBy("dn").orderBy("x")
     while True:
         now = now.withColumn("a", a).withColumn("low", low).withColumn("high", high)
@@ -219,6 +296,7 @@ def starts(docs: DataFrame, length: int = 100) -> DataFrame:
         pair = F.xxhash64(F.lit(turn), "r", F.col("next_a") - F.col("a"), "next_r")
         now = now.where(meets).select("dn", "x", pair.alias("r"), F.col("next_end").alias("end"))
         now = tables.save(settled(now), "ranks")
+        ranks.append(now)
         past = F.col("end") + gram - a >= length
         new = now.where(~F.col("first") & past).select("dn", a.alias("s"), (F.col("end") + gram - length).alias("t"))
         spans = new if spans is None else spans.union(new)
@@ -226,19 +304,24 @@ def starts(docs: DataFrame, length: int = 100) -> DataFrame:
         if turn == 3:
             break
     spans = tables.save(spans.groupBy("dn").agg(F.collect_list(F.struct("s", "t")).alias("spans")), "spans")
+    tables.drop(*ranks)
     per_doc = base.groupBy("dn").agg(F.collect_list(F.struct(F.col("r").alias("g"), "x", "first")).alias("rows")).join(spans, "dn", "left")
     loose = tables.save(per_doc.mapInArrow(_unsettled, "g long, dn long, x long, first boolean"), "unsettled")
-    asked = loose.where(~F.col("first")).select("g").distinct()
-    chosen = loose.join(asked, "g", "left_semi").groupBy("dn").agg(F.collect_list("x").alias("xs")).join(spans, "dn", "left").join(numbered, "dn")
-    chosen = tables.save(chosen.select("id", "tk", "dn", "xs", "spans"), "chosen")
-    windows = src.join(chosen, ["id", "tk"]).select("dn", "text", "xs", "spans").mapInArrow(_windows(length), "h1 long, h2 long, dn long, s long")
-    later = windows.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "dn", "s").mapInArrow(_later, "dn long, s long")
-    singles = later.groupBy("dn").agg(F.collect_list(F.struct("s", F.col("s").alias("t"))).alias("more"))
+    tables.drop(base)
+    asked = loose.groupBy("g").agg(F.count("*").alias("c"), F.bool_or(~F.col("first")).alias("q")).where("q").select("g", (F.col("c") > wide).alias("wide"))
+    chosen = loose.join(asked, "g").groupBy("dn").agg(F.collect_list(F.struct("g", "x", "wide")).alias("rows")).join(spans, "dn", "left").join(numbered, "dn")
+    chosen = tables.save(chosen.select("id", "tk", "dn", "rows", "spans"), "chosen")
+    tables.drop(loose)
+    windows = src.join(chosen, ["id", "tk"]).select("dn", "text", "rows", "spans").mapInArrow(_windows(length), "k1 long, k2 long, dn long, x long, bits long, held binary")
+    later = windows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "dn", "x").mapInArrow(_later(length), "dn long, s long, t long")
+    later = tables.save(later, "later")
+    tables.drop(chosen)
+    singles = later.groupBy("dn").agg(F.collect_list(F.struct("s", "t")).alias("more"))
     every = spans.join(singles, "dn", "full").join(numbered, "dn")
     empty = F.array().cast("array<struct<s:long,t:long>>")
     out = every.select("id", "tk", F.lit(False).alias("copy"), F.concat(F.coalesce("spans", empty), F.coalesce("more", empty)).alias("spans"))
     out = tables.save(out.union(copies.select("id", "tk", F.lit(True), empty)), "starts")
-    tables.drop(names, numbered, base, loose, chosen, spans)
+    tables.drop(names, numbered, later, spans)
     return out
 
 
