@@ -224,7 +224,8 @@ def deduplicate(docs: DataFrame, least: int = 100, shortest: int = 20) -> DataFr
     """doc_id, text (without the deleted lines), n_kept, n_removed (lines), n_blocks."""
     gone = removals(docs, least, shortest).withColumnRenamed("tk", "gk")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
-    joined = src.join(gone, (F.coalesce("doc_id", F.lit(LAST)) == F.col("id")) & (F.col("tk") == F.col("gk")), "left").select("doc_id", "text", "ranges")
+    # always a sorted join: the texts' way doesn't change with the number of removals
+    joined = src.join(gone.hint("merge"), (F.coalesce("doc_id", F.lit(LAST)) == F.col("id")) & (F.col("tk") == F.col("gk")), "left").select("doc_id", "text", "ranges")
     return joined.mapInArrow(_cut, "doc_id long, text string, n_kept long, n_removed long, n_blocks long")
 
 
