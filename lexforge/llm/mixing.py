@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Tables
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -47,9 +49,13 @@ def draw(seed: int):
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") * F.lit(2.0**-53)
 
 
-def planned(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7) -> DataFrame:
-    """docs with its source's row and _mx_copies. Spark broadcasts the sources if their measured size allows, else joins by shuffle."""
-    joined = docs.join(targets(docs, weights, most), F.col("source").eqNullSafe(F.col("_mx_source")), "left")
+def planned(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 7, few: int = 100_000) -> DataFrame:
+    """docs with its source's row and _mx_copies. The sources are written first and counted: up to `few` are broadcast, so that no text is
+    shuffled to its source; more meet the documents in a join that Spark splits where it is skewed."""
+    sources = Tables(docs.sparkSession).save(targets(docs, weights, most), "sources")
+    if sources.count() <= few:
+        sources = F.broadcast(sources)
+    joined = docs.join(sources, F.col("source").eqNullSafe(F.col("_mx_source")), "left")
     whole = F.floor("_mx_rate")
     return joined.withColumn("_mx_copies", (whole + (draw(seed) < F.col("_mx_rate") - whole).cast("long")).cast("long"))
 
