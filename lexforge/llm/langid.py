@@ -125,7 +125,8 @@ def fit(docs: DataFrame, per_language: int = 1500, bits: int = 20, probes: int =
     labelled = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = labelled.select("doc_id", "lang").distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang")
-    sample = labelled.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"], "left_semi")
+    # `per_language` rows a language at most, so they can be broadcast
+    sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     wide = max(1, -(-len(languages) // 64))
