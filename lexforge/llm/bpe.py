@@ -21,9 +21,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import plus, small_batches
 
+IDS = T.ArrayType(T.IntegerType())
 PIECE = 1 << 16
 GROUP = 1 << 20
 #: A cut is safe before the space.
@@ -123,7 +125,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             ids = codec.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
 
-    return docs.mapInArrow(run, plus(docs.schema, ids="array<int>", n_tokens="long"))
+    return docs.mapInArrow(run, plus(docs.schema, ids=IDS, n_tokens="long"))
 
 
 def decoded(tokens: DataFrame, path: str) -> DataFrame:
@@ -169,4 +171,4 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
             same = [codec.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(same, pa.bool_())], [*batch.schema.names, "ids", "n_tokens", "decodes"])
 
-    return docs.mapInArrow(run, plus(docs.schema, ids="array<int>", n_tokens="long", decodes="boolean"))
+    return docs.mapInArrow(run, plus(docs.schema, ids=IDS, n_tokens="long", decodes="boolean"))

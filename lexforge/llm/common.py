@@ -211,7 +211,7 @@ def small_batches(spark: SparkSession) -> None:
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 
-def plus(schema, **fields: str):
+def plus(schema, **fields):
     """A new schema with more fields at its end."""
     out = type(schema)(list(schema.fields))
     for name, kind in fields.items():

@@ -327,4 +327,4 @@ def deduplicate(docs: DataFrame, **how) -> DataFrame:
     """The documents that stay: the one of smallest doc_id of each component."""
     gone = near_groups(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("tk").alias("_nd_tk")).distinct()
     # always a sorted join: the texts' way doesn't change with the number of copies
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (text_key() == F.col("_nd_tk")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (text_key() == F.col("_nd_tk")), "left_anti")
