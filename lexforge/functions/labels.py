@@ -16,16 +16,23 @@ def language(c: Column, kind: Column | None = None) -> Column:
     """A hint: one letter of a script decides, then words that tell the languages of the Latin script, two at least."""
     sample = F.substring(c, 1, 100_000)
     words = F.regexp_extract_all(X.folded(sample), F.lit("[A-Za-zÀ-ž]+"), F.lit(0))
-    counts = [F.struct(F.size(F.filter(words, lambda w, own=own: w.isin(*own))).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(K.LANGUAGE_WORDS.items())]
+
+    every = sorted({w for own in K.LANGUAGE_WORDS.values() for w in own})
+    words = F.filter(words, lambda w: w.isin(*every))
+
+    def hits(own: list[str]) -> Column:
+        return F.size(F.filter(words, lambda w: w.isin(*own)))
+
+    counts = [F.struct(hits(own).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(K.LANGUAGE_WORDS.items())]
     best = F.array_max(F.array(*counts))
+    by_words = X.bound(best, lambda b: F.when(b["n"] >= 2, b["name"]).otherwise("und"))
     hint = (
         F.when(sample.rlike("[\\u3040-\\u30ff]"), "ja")
         .when(sample.rlike("[\\uac00-\\ud7af]"), "ko")
         .when(sample.rlike("[\\u0400-\\u04ff]"), "ru")
         .when(sample.rlike("[\\u0600-\\u06ff]"), "ar")
         .when(~sample.rlike("[A-Za-z]"), "und")
-        .when(best["n"] >= 2, best["name"])
-        .otherwise("und")
+        .otherwise(by_words)
     )
     hint = F.coalesce(hint, F.lit("und"))
     if kind is None:
@@ -37,9 +44,13 @@ def quality(c: Column, kind: Column) -> Column:
     """Struct of a text's quality: include, score, content_kind, language, characters, replacement_characters, base64_like_characters,
     repeated_line_ratio, reasons."""
     t = F.coalesce(c, F.lit(""))
-    n = F.length(t)
-    bad = n - F.length(F.replace(t, F.lit("�"), F.lit("")))
-    b64, ratio = X.long_base64(t), X.repeated_line_ratio(t)
+    facts = F.struct(F.length(t).alias("n"), F.length(F.replace(t, F.lit("�"), F.lit(""))).alias("good"), X.long_base64(t).alias("b64"), X.repeated_line_ratio(t).alias("ratio"), language(t, kind).alias("language"), kind.alias("kind"))
+    return X.bound(facts, _assessed)
+
+
+def _assessed(facts: Column) -> Column:
+    n, b64, ratio, kind = facts["n"], facts["b64"], facts["ratio"], facts["kind"]
+    bad = n - facts["good"]
     per = F.greatest(n, F.lit(1))
     low, short = kind.isin(*K.LOW_KINDS), n < 120
     reasons = F.array_compact(
@@ -63,7 +74,7 @@ def quality(c: Column, kind: Column) -> Column:
         (~(low | short | (bad / per > 0.005) | (b64 / per > 0.2))).alias("include"),
         F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("int").alias("score"),
         kind.alias("content_kind"),
-        language(t, kind).alias("language"),
+        facts["language"].alias("language"),
         n.cast("long").alias("characters"),
         bad.cast("long").alias("replacement_characters"),
         b64.cast("long").alias("base64_like_characters"),
@@ -84,21 +95,47 @@ def without_raw(training: Column) -> Column:
 
 def topic_scores(title: Column, c: Column) -> Column:
     """Array of (minus score, topic) in order: words of the title count four times."""
+    single = sorted({w for words in K.TOPICS.values() for w in words if " " not in w})
+    phrases = sorted({w for words in K.TOPICS.values() for w in words if " " in w})
+
+    def found(blob: Column) -> Column:
+        """The keywords of a text, each as often as it occurs."""
+        own = F.filter(F.regexp_extract_all(blob, F.lit("(?U)[\\w]+"), F.lit(0)), lambda w: w.isin(*single))
+        for p in phrases:
+            own = F.concat(own, F.array_repeat(F.lit(p), F.regexp_count(blob, F.lit(f"(?U)(?<!\\w){p}(?!\\w)"))))
+        return own
+
+    def scored(f: Column) -> Column:
+        def count(part: str, word: str) -> Column:
+            return F.least(F.size(F.filter(f[part], lambda w: w == word)), F.lit(12))
+
+        def total(words: dict[str, int]) -> Column:
+            out = F.lit(0)
+            for w, weight in words.items():
+                out = out + (count("head", w) * 4 + count("body", w)) * weight
+            return out
+
+        return F.array_sort(F.array(*[F.struct((-total(w)).alias("minus"), F.lit(name).alias("topic")) for name, w in K.TOPICS.items()]))
+
     head, body = X.folded(F.coalesce(title, F.lit(""))), X.folded(F.substring(F.coalesce(c, F.lit("")), 1, 24_000))
-    return F.array_sort(F.array(*[F.struct((-(X.keyword_score(head, w) * 4 + X.keyword_score(body, w))).alias("minus"), F.lit(name).alias("topic")) for name, w in K.TOPICS.items()]))
+    return X.bound(F.struct(found(head).alias("head"), found(body).alias("body")), scored)
 
 
 def topics(title: Column, c: Column) -> Column:
     found = F.slice(F.transform(F.filter(topic_scores(title, c), lambda s: s["minus"] < 0), lambda s: s["topic"]), 1, 3)
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))
+    return X.bound(found, lambda f: F.when(F.size(f) > 0, f).otherwise(F.array(F.lit("other"))))
 
 
 def document_type(url: Column, title: Column, c: Column) -> Column:
     """By what the address alone says it holds, else by patterns in address, title and the first 5,000 characters."""
-    kind = U.content_kind(url)
     blob = X.folded(F.concat(F.coalesce(url, F.lit("")), F.lit(" "), F.coalesce(title, F.lit("")), F.lit(" "), F.substring(F.coalesce(c, F.lit("")), 1, 5_000)))
+    return X.bound(F.struct(U.content_kind(url).alias("kind"), blob.alias("blob"), F.concat(U.netloc(url), U.path(url)).alias("at")), _typed)
+
+
+def _typed(f: Column) -> Column:
+    kind, blob = f["kind"], f["blob"]
     out = F.when(kind.isin("code", "source"), "code").when(kind.isin("notebook", "data", "generated", "catalog", "archive_index"), kind)
-    out = out.when(F.concat(U.netloc(url), U.path(url)).contains("wikipedia.org/wiki/") | blob.contains("encyclopedia"), "encyclopedia")
+    out = out.when(f["at"].contains("wikipedia.org/wiki/") | blob.contains("encyclopedia"), "encyclopedia")
     for name, pattern in K.DOCUMENT_PATTERNS:
         out = out.when(blob.rlike("(?U)" + pattern), name)
     return out.otherwise("article")
@@ -115,6 +152,11 @@ def provenance(raw: Column, readable: Column, title: Column, url: Column | None
     ai = _signals(K.AI_SIGNALS, lambda _: X.folded(blob))
     human = _signals(K.HUMAN_SIGNALS, lambda name: readable if name == "byline_text" else blob)
     archive = F.array().cast("array<string>") if url is None else F.when(F.lower(U.netloc(url)).isin(*K.TREE_HOSTS), F.array(F.lit("software_heritage_archive"))).otherwise(F.array().cast("array<string>"))
+    found = F.struct(ai.alias("ai"), human.alias("human"), archive.alias("archive"))
+    return X.bound(found, lambda f: _judged(f["ai"], f["human"], f["archive"]))
+
+
+def _judged(ai: Column, human: Column, archive: Column) -> Column:
     verdict = F.when(F.size(ai) > 0, "ai_flagged").when(F.size(human) > 0, "human_signals").when(F.size(archive) > 0, "archive_signals").otherwise("unknown")
     reasons = F.create_map(*[F.lit(x) for kv in K.REASONS.items() for x in kv])
     return F.struct(verdict.alias("verdict"), F.element_at(reasons, verdict).alias("reason"), ai.alias("ai_signals"), human.alias("human_signals"), archive.alias("archive_signals"))

@@ -10,6 +10,11 @@ from . import constants as K
 SPACES = "(?U)[\\s\\x1c-\\x1f]+"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with the value worked out once, however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def folded(c: Column) -> Column:
     """Case folding as far as lower case differs from it in European text: ß is ss."""
     return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
@@ -108,7 +113,10 @@ def folded_lines(c: Column) -> Column:
 def repeated_line_ratio(c: Column) -> Column:
     """Share of the characters that stand in lines of 28 or more which occur twice or more. The lines are sorted, so that equal ones
     are neighbours, and each is compared with those beside it: no line is compared with all others."""
-    s = F.array_sort(folded_lines(c))
+    return bound(F.array_sort(folded_lines(c)), _repeated)
+
+
+def _repeated(s: Column) -> Column:
     total = F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + F.length(x))
     beside = F.transform(s, lambda x, i: F.when((F.length(x) >= 28) & (x.eqNullSafe(F.try_element_at(s, i + 2)) | ((i > 0) & x.eqNullSafe(F.try_element_at(s, F.greatest(i, F.lit(1)))))), F.length(x)).otherwise(0))
     again = F.aggregate(beside, F.lit(0).cast("long"), lambda n, x: n + x)

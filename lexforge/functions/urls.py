@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import constants as K
+from . import types as Y
 from .text import folded, squeezed
 
 #: The parts of an address: scheme, authority, path, query, fragment.
@@ -84,7 +85,7 @@ def normal(url: Column) -> Column:
     return F.when(ok, made)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def joined(base: pd.Series, link: pd.Series) -> pd.Series:
     """A link made whole with its page's address."""
 

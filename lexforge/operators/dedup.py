@@ -83,11 +83,9 @@ def _sequential(ids: DataFrame) -> DataFrame:
 
 
 def like_pairs(sets: DataFrame, percent: int = 86) -> DataFrame:
-    """sets(id, terms) -> (early, late): pairs of Jaccard similarity percent / 100 or more, exactly. Rows of equal sets are linked to the
-    first of them only; different sets meet on one of their rarest terms (prefix filter), of sizes that allow it."""
-    s = sets.select("id", F.array_sort(F.array_distinct("terms")).alias("terms")).where(F.size("terms") > 0)
-    whole = s.groupBy("terms").agg(F.min("id").alias("rep"))
-    same = s.join(whole, "terms").where("id != rep").select(F.col("rep").alias("early"), F.col("id").alias("late"))
+    """Different sets (rep, terms) -> (early, late): pairs of Jaccard similarity percent / 100 or more, exactly. Sets meet on one of their
+    rarest terms (prefix filter), if their sizes allow it."""
+    whole = sets
     df = whole.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     word = whole.select("rep", F.size("terms").alias("n"), F.explode("terms").alias("w")).join(df, "w")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "w"))
@@ -98,16 +96,17 @@ def like_pairs(sets: DataFrame, percent: int = 86) -> DataFrame:
     pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     full = pairs.join(whole.toDF("ta", "a"), "a").join(whole.toDF("tb", "b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))
-    linked = full.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select(F.col("a").alias("early"), F.col("b").alias("late"))
-    return same.union(linked)
+    return full.where(common * 100 >= (F.size("ta") + F.size("tb") - common) * percent).select(F.col("a").alias("early"), F.col("b").alias("late"))
 
 
 def unique_sentences(pages: DataFrame, order: str, summary_col: str, most: int = 900) -> DataFrame:
     """pages (order, summary) with the summary's sentences that aren't like an earlier kept one of any page; a summary that loses all stays as it was."""
     parts = pages.select(F.col(order).alias("page"), F.posexplode(X.candidates(F.col(summary_col))).alias("pos", "sentence"))
     rows = parts.select(F.struct("page", "pos").alias("id"), "sentence")
-    sets = rows.select("id", X.summary_tokens(F.col("sentence")).alias("terms"))
-    kept = settle(rows.select("id"), like_pairs(sets)).where("kept").select("id")
+    # a later sentence with the words of an earlier one never stays: it is like that one, or like what that one was like
+    sets = rows.groupBy(F.array_sort(F.array_distinct(X.summary_tokens(F.col("sentence")))).alias("terms")).agg(F.min("id").alias("rep"))
+    sets = cut(sets.select("terms", "rep"))
+    kept = settle(sets.select(F.col("rep").alias("id")), like_pairs(sets)).where("kept").select("id")
     left = rows.join(kept, "id").groupBy(F.col("id.page").alias(order)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id.pos", "sentence"))), lambda x: x["sentence"]), " ").alias("_s"))
     out = pages.join(left, order, "left")
     return out.withColumn("unique_summary", F.substring(F.coalesce(F.when(F.col("_s") != "", F.col("_s")), F.col(summary_col)), 1, most)).drop("_s")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..functions import types as Y
 from ..functions import urls as U
 
 METHOD = "lexical centrality over locally stored text"
@@ -217,14 +218,14 @@ def summarise(text: str, most: int = 900) -> tuple[str, float]:
 def summary(c: Column, most: int = 900) -> Column:
     """Struct summary, quality."""
 
-    @F.pandas_udf("summary string, quality double")
+    @F.pandas_udf(Y.struct(summary=Y.STRING, quality=Y.DOUBLE))
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([summarise(t or "", most) for t in texts], columns=["summary", "quality"])
 
     return run(c)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.STRING)
 def fingerprint(c: pd.Series) -> pd.Series:
     """A sentence's hash: of its distinct words in order, 10 bytes."""
     import hashlib

@@ -1,10 +1,519 @@
-"""All queries over the test tables, each with SQL that says the same."""
+"""All queries over the test tables, each with SQL that says the same. `pages` stands for fetched F.col("html"), `documents` for a corpus."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from ..functions import constants as K
+from ..functions import html as H
+from ..functions import labels as L
+from ..functions import text as X
+from ..functions import urls as U
+from ..operators import dedup, filters, frontier, ranking, rollup
+from ..sources import archives, payloads, search
+from . import curation
+from . import oracles as O
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def raw_pages(spark, sf_dir):
+    return table(spark, sf_dir, "pages")
+
+
+QUESTION = "What is the thing that there and thering ndhe?"
+TOPIC = "esha tion wheres"
+BLOCK_SITES = ["news3.example.org", "example.com/docs", "*.example.net"]
+
+
+# ---------------------------------------------------------------- tokens and sentences
+
+
+@query(O.DOC_TOKENS)
+def doc_tokens(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    t, s, q = X.tokens(F.col("text")), X.summary_tokens(F.col("text")), X.query_tokens(F.col("text"))
+    return d.select("doc_id", F.size(t).alias("n_tokens"), F.size(s).alias("n_summary_tokens"), F.size(q).alias("n_query_tokens"), F.sha2(F.array_join(t, " "), 256).alias("digest"), F.sha2(F.array_join(q, " "), 256).alias("query_digest"))
+
+
+@query(O.TOKEN_FREQUENCY)
+def doc_token_freq(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.explode(X.summary_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+
+
+@query(O.SENTENCES)
+def doc_sentences(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(X.sentences(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(O.CANDIDATES)
+def doc_sentence_candidates(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.posexplode(X.candidates(F.col("text"))).alias("pos", "sentence"))
+
+
+@query(O.FINGERPRINT_TERMS)
+def sentence_fingerprint_terms(spark, sf_dir):
+    """The internal form of a sentence's fingerprint: its distinct words in order."""
+    s = documents(spark, sf_dir).select("doc_id", F.posexplode(X.candidates(F.col("text"))).alias("pos", "sentence"))
+    return s.select("doc_id", "pos", F.array_join(F.array_sort(F.array_distinct(X.summary_tokens(F.col("sentence")))), " ").alias("terms"))
+
+
+@query()
+def sentence_fingerprint(spark, sf_dir):
+    s = documents(spark, sf_dir).select("doc_id", F.posexplode(X.candidates(F.col("text"))).alias("pos", "sentence"))
+    return s.select("doc_id", "pos", ranking.fingerprint(F.col("sentence")).alias("fingerprint"))
+
+
+# ---------------------------------------------------------------- retrieval
+
+
+@query(O.sentence_search(ranking.query_words(TOPIC), 25))
+def sentence_search(spark, sf_dir):
+    return ranking.search_sentences(documents(spark, sf_dir), TOPIC, 25).select("score", "document_id", "source", "sentence")
+
+
+@query(O.sentence_search([], 25))
+def sentence_search_empty(spark, sf_dir):
+    return ranking.search_sentences(documents(spark, sf_dir), "what is the", 25).select("score", "document_id", "source", "sentence")
+
+
+@query(O.working_position(TOPIC, ranking.query_words(TOPIC), 8))
+def working_position(spark, sf_dir):
+    p = ranking.working_position(documents(spark, sf_dir), TOPIC)
+    return p.select("topic", "position", "coverage", "document_count", F.array_join("sources", ",").alias("sources"), F.size("evidence").alias("n_evidence"), F.array_join(F.transform("evidence", lambda e: e["sentence"]), "|").alias("evidence"), "method")
+
+
+@query(O.WORKING_POSITION_NONE)
+def working_position_none(spark, sf_dir):
+    p = ranking.working_position(documents(spark, sf_dir), "zzzz qqqq")
+    return p.select("topic", "position", "coverage", "document_count", F.array_join("sources", ",").alias("sources"), F.size("evidence").alias("n_evidence"), "method")
+
+
+OLD_BELIEFS = [(0, "The Cat's life", "old a"), (1, "dogs", "old b"), (2, "the cat’s LIFE", "old c"), (3, "co-op shops", "old d")]
+NEW_BELIEFS = [(0, "the cat's life", "new a"), (1, "birds", "new e")]
+
+
+def _beliefs(spark, rows):
+    return spark.createDataFrame(rows, "pos long, topic string, position string")
+
+
+@query(O.BELIEF_UPSERT)
+def belief_upsert(spark, sf_dir):
+    return ranking.upsert_beliefs(_beliefs(spark, OLD_BELIEFS), _beliefs(spark, NEW_BELIEFS))
+
+
+@query(O.BELIEF_FILTER)
+def belief_topic_filter(spark, sf_dir):
+    return ranking.beliefs_about(_beliefs(spark, OLD_BELIEFS), "what of the co-op and dogs")
+
+
+@query(O.ASK)
+def ask_matching(spark, sf_dir):
+    b, s = ranking.ask(documents(spark, sf_dir), _beliefs(spark, OLD_BELIEFS), "esha dogs", 5)
+    return b.select(F.lit("belief").alias("kind"), F.col("position").alias("answer")).union(s.select(F.lit("sentence"), "sentence"))
+
+
+@query(O.fulltext(["ther", "a", "a"], 20))
+def fulltext_query(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.col("source").alias("title"), "text")
+    return ranking.fulltext_query(d, "ther A a", 20, "doc_id").select("doc_id", "title", "score")
+
+
+@query(O.SUMMARIES)
+def extractive_summary(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", ranking.summary(F.col("text"), 900).alias("s")).select("doc_id", "s.summary", F.round("s.quality", 6).alias("quality"))
+
+
+@query(O.summary_query(ranking.query_words("esha then thing"), 15))
+def summary_query(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", F.col("source").alias("title"), ranking.summary(F.col("text"), 900).alias("s")).select("doc_id", "title", "s.summary")
+    return ranking.summary_query(d, "esha then thing", 15, "doc_id").select("doc_id", "title", F.round("score", 6).alias("score"))
+
+
+# ---------------------------------------------------------------- dedup
+
+
+@query(O.REPEATED_RATIO)
+def repeated_line_ratio(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", F.round(X.repeated_line_ratio(F.col("text")), 6).alias("ratio"), X.long_base64(F.col("text")).alias("base64_chars"), (F.length("text") - F.length(F.replace("text", F.lit("�"), F.lit("")))).alias("replacements"))
+
+
+@query(O.line_dedup(28))
+def line_dedup_28(spark, sf_dir):
+    return dedup.repeated_lines_removed(documents(spark, sf_dir), "doc_id", 28)
+
+
+@query(O.line_dedup(40))
+def line_dedup_40(spark, sf_dir):
+    return dedup.repeated_lines_removed(documents(spark, sf_dir), "doc_id", 40)
+
+
+@query(O.CORPUS_INGEST)
+def corpus_ingest_dedup(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.concat(F.lit("http://h/"), F.col("source")).alias("url"), "text")
+    have = dedup.ingest(spark.createDataFrame([], "id string"), d.where("source = 'src1'"))
+    return dedup.ingest(have.select("id"), d).select("id", "seq")
+
+
+@query(O.ARCHIVE_APPEND)
+def archive_append_dedup(spark, sf_dir):
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.concat(F.lit("u"), F.col("doc_id") % 400).alias("canonical_url"), X.sha256(F.col("text")).alias("text_sha256"))
+    return dedup.append(d).select("seq", "stored", "duplicate_reason")
+
+
+@query(O.CROSS_PAGE)
+def cross_page_summary_dedup(spark, sf_dir):
+    """Near-dup of summaries' sentences over all documents. Summaries of 300 characters: few sentences each."""
+    d = documents(spark, sf_dir).select("doc_id", ranking.summary(F.col("text"), 300)["summary"].alias("summary"))
+    return dedup.unique_sentences(d, "doc_id", "summary", 300).select("doc_id", "unique_summary")
+
+
+# ---------------------------------------------------------------- labels
+
+
+@query(O.LANGUAGE)
+def detect_language(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", L.language(F.col("text")).alias("language"))
+
+
+@query(O.LANGUAGE_CONFUSION)
+def language_confusion(spark, sf_dir):
+    return documents(spark, sf_dir).groupBy("lang", L.language(F.col("text")).alias("language")).agg(F.count("*").alias("n"))
+
+
+def _quality(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", "source", L.quality(F.col("text"), F.lit("html")).alias("q")).select("doc_id", "source", "q.*")
+
+
+@query(O.QUALITY)
+def quality_assessment(spark, sf_dir):
+    return _quality(spark, sf_dir).select("doc_id", "include", "score", "content_kind", "language", "characters", "replacement_characters", "base64_like_characters", "repeated_line_ratio", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(O.QUALITY_ROLLUP)
+def quality_rollup(spark, sf_dir):
+    return _quality(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("include").cast("long")).alias("included"), F.sum("score").cast("long").alias("score"), F.sum("characters").alias("characters"))
+
+
+def _training(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", "url", "html", H.title(F.col("html")).alias("title"), H.parsed(F.col("html"), F.col("url"))["training"].alias("text"))
+
+
+@query(O.TOPICS)
+def classify_topics(spark, sf_dir):
+    t = L.topics(F.col("source"), F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.array_join(t, ",").alias("topics"), t[0].alias("topic"))
+
+
+@query(O.TOPIC_SCORES)
+def topic_scores(spark, sf_dir):
+    s = documents(spark, sf_dir).select("doc_id", F.explode(L.topic_scores(F.col("source"), F.col("text"))).alias("s"))
+    return s.where("s.minus < 0").select("doc_id", "s.topic", (-F.col("s.minus")).alias("score"))
+
+
+@query(O.DOCUMENT_TYPE)
+def document_type(spark, sf_dir):
+    return _training(spark, sf_dir).select("page_id", L.document_type(F.col("url"), F.col("title"), F.col("text")).alias("document_type"))
+
+
+@query(O.PROVENANCE)
+def provenance_signals(spark, sf_dir):
+    p = _training(spark, sf_dir).select("page_id", L.provenance(F.col("html"), F.col("text"), F.col("title"), F.col("url")).alias("v"))
+    return p.select("page_id", "v.verdict", F.array_join("v.ai_signals", ",").alias("ai_signals"), F.array_join("v.human_signals", ",").alias("human_signals"), F.array_join("v.archive_signals", ",").alias("archive_signals"))
+
+
+# ---------------------------------------------------------------- addresses
+
+
+@query(O.CANONICAL_URL)
+def canonical_url(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", U.canonical(F.col("url")).alias("canonical_url"), U.site(F.col("url")).alias("site"))
+
+
+@query(O.NORMAL_URL)
+def normalize_url(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", U.normal(F.col("url")).alias("normal_url"), U.source_name(F.col("url")).alias("source_name"))
+
+
+@query(O.URL_DEDUP)
+def url_dedup(spark, sf_dir):
+    return dedup.first_by(raw_pages(spark, sf_dir).withColumn("k", U.canonical(F.col("url"))), [F.col("k")], ["page_id"]).select("page_id", F.col("k").alias("canonical_url"))
+
+
+@query(O.CONTENT_KIND)
+def content_kind(spark, sf_dir):
+    k = U.content_kind(F.col("url"), F.lit("text/html"))
+    return raw_pages(spark, sf_dir).select("page_id", U.extension(F.col("url")).alias("extension"), U.resource(F.col("url")).alias("resource"), k.alias("content_kind"), U.content_kind(F.col("url")).alias("kind_by_url"), L.has_code(F.col("url"), k).alias("has_code"))
+
+
+LITERAL_URLS = [
+    "https://github.com/a/b/blob/main/x.PY", "http://h.com/data.json?x=1", "http://h.com/n.ipynb", "http://h.com/i.PNG", "http://h.com/yarn.lock", "http://h.com/product/7", "http://h.com/a%20b.csv", "http://h.com/?filename=a.go",
+    "https://archive.softwareheritage.org/browse/search/?q=x", "https://archive.softwareheritage.org/browse/origin/directory/?origin_url=https://g/x&path=src", "https://archive.softwareheritage.org/browse/origin/content/?origin_url=https://g/x&path=src/a.py",
+    "https://archive.softwareheritage.org/api/1/content/sha1_git:ab/raw/?filename=a.py", "http://h.com/", "http://h.com/.hidden", "http://u:p@h.com/x", "ftp://h/x",
+]
+
+
+@query(O.LITERAL_KINDS)
+def literal_url_kinds(spark, sf_dir):
+    d = spark.createDataFrame(list(enumerate(LITERAL_URLS)), "id int, url string")
+    return d.select("id", U.content_kind(F.col("url")).alias("kind"), U.link_kind(F.col("url")).alias("link_kind"), U.extension(F.col("url")).alias("extension"), F.coalesce(U.normal(F.col("url")), F.lit("")).alias("normal"), U.is_archive_search(F.col("url")).alias("is_search"))
+
+
+# ---------------------------------------------------------------- gates
+
+
+@query(O.BLOCK_SITES)
+def block_sites(spark, sf_dir):
+    b = filters.url_block(F.col("url"), BLOCK_SITES, ["docs", "login page"])
+    return raw_pages(spark, sf_dir).select("page_id", b["type"].alias("type"), b["value"].alias("value")).where("type is not null")
+
+
+@query(O.BLOCK_WORDS)
+def block_words(spark, sf_dir):
+    words = ["then", "esha tion", "ndhe"]
+    return documents(spark, sf_dir).select("doc_id", *[filters.word_matches(F.col("text"), w).alias(f"w{i}") for i, w in enumerate(words)])
+
+
+@query(O.ROBOTS)
+def robots_filter(spark, sf_dir):
+    p = raw_pages(spark, sf_dir).select("page_id", "url")
+    origin = F.concat(U.scheme(F.col("url")), F.lit("://"), U.netloc(F.col("url")))
+    rules = "User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /docs # x\nAllow: /docs/a\nDisallow:\nDisallow: /p\n"
+    robots = p.select(origin.alias("origin")).distinct().withColumn("rules", F.when(F.length("origin") % 3 == 0, F.lit(None).cast("string")).otherwise(F.lit(rules)))
+    return filters.robots_allowed(p, robots, "lexforge").select("page_id", "allowed")
+
+
+# ---------------------------------------------------------------- pages
+
+
+@query(O.PAGE_TITLE)
+def page_title(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("title"))
+
+
+@query(O.page_text("journal"))
+def page_visible_text(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["journal"].alias("text"))
+
+
+@query(O.page_text("visible"))
+def page_full_text(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["visible"].alias("text"))
+
+
+@query(O.page_text("compact"))
+def page_compact_text(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["compact"].alias("text"))
+
+
+@query(O.page_text("training"))
+def page_training_text(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["training"].alias("text"))
+
+
+@query(O.PAGE_LINKS)
+def page_links(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", F.posexplode(H.parsed(F.col("html"), F.col("url"))["links"]).alias("pos", "link"))
+
+
+def _linked(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", "url", H.parsed(F.col("html"), F.col("url"))["links"].alias("links"), F.lit(0).alias("depth"))
+
+
+@query(O.CRAWL_CHILDREN)
+def crawl_children(spark, sf_dir):
+    return frontier.children(_linked(spark, sf_dir), 2, [], external=True)
+
+
+@query()
+def bfs_frontier(spark, sf_dir):
+    p = _linked(spark, sf_dir)
+    edges = p.select(U.normal(F.col("url")).alias("src"), F.posexplode("links").alias("pos", "dst"))
+    seeds = p.where("page_id < 3").select(U.normal(F.col("url")).alias("url"), F.col("page_id").cast("int").alias("pos"))
+    return frontier.breadth_first(edges, seeds, 3)
+
+
+TREE = [("r", "src", "dir", "s"), ("r", "a.py", "file", "1"), ("r", "yarn.lock", "file", "2"), ("s", "b.go", "file", "3"), ("s", "i.png", "file", "4"), ("s", "deep", "dir", "d"), ("d", "c.rs", "file", "5"), ("s", "sub", "rev", "x")]
+
+
+@query(O.DIRECTORY_WALK)
+def directory_walk(spark, sf_dir):
+    return frontier.walk(spark.createDataFrame(TREE, "dir_id string, name string, type string, target string"), "r", K.GENERATED_NAMES, K.ASSET_ENDINGS)
+
+
+@query()
+def notebook_clean(spark, sf_dir):
+    import json
+
+    nb = json.dumps({"cells": [{"cell_type": "markdown", "source": ["# T"]}, {"cell_type": "code", "source": "x=1", "outputs": [{"text": ["1\n"]}]}]})
+    return spark.createDataFrame([(1, nb), (2, " not json ")], "id int, raw string").select("id", H.notebook(F.col("raw")).alias("text"))
+
+
+@query()
+def payload_decode(spark, sf_dir):
+    rows = [(1, "é".encode(), None), (2, "表示".encode("cp932"), "shift_jis"), (3, b"\xff\xfe plain", "nope")]
+    d = spark.createDataFrame(rows, "id int, raw binary, charset string")
+    return d.select("id", payloads.decoded(F.col("raw"), F.col("charset")).alias("d"), payloads.sniffed(F.col("raw")).alias("is_text")).select("id", "d.text", "d.encoding", "is_text")
+
+
+@query()
+def search_results(spark, sf_dir):
+    rows = [(0, '<a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2Fa">A  b</a>'), (1, '<a data-e-a="heading" href="https://y.cz/">Y</a>'), (2, '<li class="b_algo"><h2><a href="https://z.com/q">Z <b>q</b></a></h2></li>')]
+    d = spark.createDataFrame(rows, "provider int, page string")
+    return d.select("provider", F.inline(search.hits(F.col("page"), F.col("provider"))))
+
+
+# ---------------------------------------------------------------- seeds
+
+
+def _hits(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("page_id", H.title(F.col("html")).alias("title"), "url")
+
+
+SEED_TOPIC = "docs page title"
+
+
+@query(O.SEED_RANK)
+def seed_rank(spark, sf_dir):
+    return ranking.seed_rank(_hits(spark, sf_dir), SEED_TOPIC).select("page_id", "discovery_score")
+
+
+@query(O.DIVERSE)
+def host_diverse_seeds(spark, sf_dir):
+    return ranking.diverse_seeds(_hits(spark, sf_dir), SEED_TOPIC, 80).select("page_id", "url", "discovery_score", "seed")
+
+
+@query(O.MERGE)
+def provider_merge(spark, sf_dir):
+    h = _hits(spark, sf_dir).select((F.col("page_id") % 3).alias("priority"), F.col("page_id").alias("pos"), "title", "url", F.lit("p").alias("provider"))
+    return ranking.merge_providers(h, 100).select("priority", "pos", "url")
+
+
+# ---------------------------------------------------------------- curation
+
+
+def _curated(spark, sf_dir):
+    return curation.statuses(curation.pages(raw_pages(spark, sf_dir)), ["example.com/es", "*.example.org/fr"], ["login"])
+
+
+@query(O.STATUS)
+def pipeline_status(spark, sf_dir):
+    return _curated(spark, sf_dir).select(F.col("seq").alias("page_id"), "status", "duplicate_reason", "follow", "topic", "document_type", "language", "text_sha256", F.col("training.score").alias("score"))
+
+
+@query(O.SITE_ROLLUP)
+def pipeline_site_rollup(spark, sf_dir):
+    return rollup.site_rollup(curation.events(_curated(spark, sf_dir)))
+
+
+@query(O.STATS)
+def pipeline_stats(spark, sf_dir):
+    return rollup.counters(curation.events(_curated(spark, sf_dir)))
+
+
+@query()
+def pipeline_crawl_statistics(spark, sf_dir):
+    s = rollup.crawl_statistics(curation.events(_curated(spark, sf_dir)), 10.0)
+    return s.withColumns({c: F.to_json(c) for c in ("topics", "methods")})
+
+
+@query()
+def pipeline_event_log(spark, sf_dir):
+    return rollup.event_log(curation.events(_curated(spark, sf_dir)))
+
+
+def _records(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", "source", "text", L.quality(F.col("text"), F.lit("html")).alias("q"), L.topics(F.col("source"), F.col("text"))[0].alias("topic"), L.document_type(F.lit("http://h/x"), F.col("source"), F.col("text")).alias("document_type"))
+    return d.select("doc_id", "text", "topic", "document_type", F.col("q.content_kind").alias("content_kind"), F.col("q.language").alias("language"), F.col("q.include").alias("include"), X.sha256(F.col("text")).alias("text_sha256"), F.octet_length("text").cast("long").alias("text_bytes"))
+
+
+@query(O.RECORDS)
+def archive_records(spark, sf_dir):
+    return _records(spark, sf_dir).select("doc_id", "topic", "document_type", "language", "include", "text_sha256", "text_bytes")
+
+
+@query(O.INSPECT)
+def archive_inspect(spark, sf_dir):
+    return rollup.inspect(_records(spark, sf_dir))
+
+
+@query(O.VERIFY)
+def archive_verify(spark, sf_dir):
+    r = _records(spark, sf_dir).withColumn("text", F.when(F.col("doc_id") % 500 == 7, F.concat("text", F.lit("x"))).otherwise(F.col("text")))
+    return rollup.verify(r, "doc_id")
+
+
+@query(O.EXPORT)
+def archive_export(spark, sf_dir):
+    return rollup.export(_records(spark, sf_dir), topic="other", document_type="article", training_only=True).select("doc_id", "text_sha256")
+
+
+@query(O.BUDGET)
+def budget_prefix(spark, sf_dir):
+    return rollup.budget_cut(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length("text"), "doc_id", 200_000).select("doc_id")
+
+
+@query()
+def codec_choice(spark, sf_dir):
+    d = documents(spark, sf_dir).select("doc_id", archives.best_method(archives.serialised(["doc_id", "text"])).alias("m"))
+    return d.select("doc_id", "m.method", "m.size")
+
+
+# ---------------------------------------------------------------- events
+
+
+@query(O.LOG_RING)
+def log_ring(spark, sf_dir):
+    return rollup.log_ring(table(spark, sf_dir, "events"), "event_id", 500).select("event_id", "event_type")
+
+
+@query(O.RATE_SLOTS)
+def host_rate_slots(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return rollup.rate_slots(e, "user_id", "at", ["at", "event_id"], 50_000_000).select("event_id", F.col("slot").cast("long").alias("slot"))
+
+
+@query(O.MOST_COMMON)
+def most_common_events(spark, sf_dir):
+    return rollup.most_common(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query(O.BYTES_LABEL)
+def bytes_label(spark, sf_dir):
+    d = spark.createDataFrame([(i, v) for i, v in enumerate([0, 1023, 1024, 1536, 1048576, 5 * 2**30, 3 * 2**41])], "id int, v long")
+    return d.select("id", X.bytes_label(F.col("v")).alias("label"))
+
+
+@query(O.BOUNDED)
+def bounded_config(spark, sf_dir):
+    d = spark.createDataFrame([(0, "0", "x", "99", "YES"), (1, "200000", "7", "-1", "no"), (2, None, "80", "0.5", None)], "id int, pages string, workers string, delay string, flag string")
+    return d.select("id", X.bounded_int(F.col("pages"), 1, 100_000, 500).alias("pages"), X.bounded_int(F.col("workers"), 1, 64, 5).alias("workers"), X.bounded_float(F.col("delay"), 0.0, 60.0, 0.05).alias("delay"), X.truthy(F.col("flag")).alias("flag"))
+
+
+@query(O.SLUGS)
+def slugs(spark, sf_dir):
+    return documents(spark, sf_dir).select("doc_id", X.slug(F.substring(F.col("text"), 1, 30)).alias("slug"))
+
+
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Curated pages rolled up by site."""
+    return pipeline_site_rollup(spark, sf_dir)
