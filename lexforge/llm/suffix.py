@@ -218,11 +218,12 @@ def _later(length: int):
     """Rows come by class or window, and place. Of each window all but the first go: dn, s, t with the first and last start of a run."""
 
     def run(batches):
-        last, waiting = None, None
+        last, waiting, before = None, None, None
         for batch in _and_end(batches):
             if batch is None:
                 whole, waiting = waiting, None
             else:
+                batch, before = _once(batch, before)
                 hashed = batch.filter(batch.column("held").is_null())
                 if hashed.num_rows:
                     k1, k2 = hashed.column("k1").to_numpy(), hashed.column("k2").to_numpy()
@@ -248,6 +249,18 @@ def _later(length: int):
     return run
 
 
+def _once(batch, before):
+    """A batch without rows that repeat the row before (repeated documents), and its last row."""
+    if not batch.num_rows:
+        return batch, before
+    cols = [batch.column(c).to_numpy() for c in ("k1", "k2", "dn", "x")]
+    same = np.ones(batch.num_rows, bool)
+    for c in cols:
+        same[1:] &= c[1:] == c[:-1]
+    same[0] = before == tuple(c[0] for c in cols)
+    return (batch.filter(pa.array(~same)) if same.any() else batch), tuple(c[-1] for c in cols)
+
+
 def _and_end(batches):
     yield from batches
     yield None
@@ -271,6 +284,7 @@ def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     copies = names.select("id", "tk").distinct().join(numbered, ["id", "tk"], "left_anti")
 
     scanned = src.mapInArrow(_scan(length), "id long, tk long, g binary, x binary").where(F.octet_length("g") > 0)
+    scanned = scanned.groupBy("id", "tk").agg(F.first("g").alias("g"), F.first("x").alias("x"))  # repeated rows are one document
     held = tables.save(scanned.join(numbered, ["id", "tk"]).select("dn", "g", "x"), "anchors")
     rows = held.mapInArrow(_rows, "g long, dn long, x long")
     shared = rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("g")
