@@ -64,7 +64,8 @@ def append(records: DataFrame, order: str = "seq", url: str = "canonical_url", d
 
 def _sequential(ids: DataFrame) -> DataFrame:
     """(id, u, t) -> (id, kept, why). Rounds: of the undecided rows, those that are first for both keys stay; rows that share a key with a
-    kept row go, with the reason. Each round decides the earliest undecided row of every connected group at least."""
+    kept row go. Each round decides the earliest undecided row of every connected group at least. The reason of a row that goes is its
+    address if a kept row before it has the same, else its text."""
     left, done = cut(ids), None
     while not left.isEmpty():
         low_u = left.where("u is not null").groupBy("u").agg(F.min("id").alias("mu"))
@@ -75,11 +76,15 @@ def _sequential(ids: DataFrame) -> DataFrame:
         by_t = kept.select("t", F.col("id").alias("kt"))
         seen = left.join(by_u, "u", "left").join(by_t, "t", "left")
         hit_u, hit_t = F.coalesce(F.col("ku") < F.col("id"), F.lit(False)), F.coalesce(F.col("kt") < F.col("id"), F.lit(False))
-        gone = seen.where(hit_u | hit_t).select("id", F.lit(False).alias("kept"), F.when(hit_u, "url").otherwise("text").alias("why"))
-        now = cut(kept.select("id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("why")).union(gone))
+        gone = seen.where(hit_u | hit_t).select("id", "u", F.lit(False).alias("kept"))
+        now = cut(kept.select("id", "u", F.lit(True).alias("kept")).union(gone))
         done = now if done is None else done.union(now)
         left = cut(left.join(now.select("id"), "id", "left_anti"))
-    return done if done is not None else ids.select("id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("why"))
+    if done is None:
+        return ids.select("id", F.lit(True).alias("kept"), F.lit(None).cast("string").alias("why"))
+    holder = done.where("kept and u is not null").select("u", F.col("id").alias("first"))
+    by_url = F.coalesce(F.col("first") < F.col("id"), F.lit(False))
+    return done.join(holder, "u", "left").select("id", "kept", F.when(~F.col("kept"), F.when(by_url, "url").otherwise("text")).alias("why"))
 
 
 def like_pairs(sets: DataFrame, percent: int = 86) -> DataFrame:
