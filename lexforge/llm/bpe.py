@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import plus, small_batches
+from .common import plus, small_batches, steps
 
 IDS = T.ArrayType(T.IntegerType())
 PIECE = 1 << 16
-GROUP = 1 << 20
+GROUP = 1 << 18
 #: A cut is safe before the space.
 CUT = re.compile(r"(?<=[^\s]) (?=[^\s])")
 
@@ -121,7 +121,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         codec = Codec.at(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             ids = codec.encode(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64())], [*batch.schema.names, "ids", "n_tokens"])
 
@@ -147,7 +147,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         codec = Codec.at(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             rows = []
             for ids in codec.encode(batch.column("text").to_pylist()):
                 rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
@@ -165,7 +165,7 @@ def round_trip(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         codec = Codec.at(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in steps(whole)):
             texts = batch.column("text").to_pylist()
             ids = codec.encode(texts)
             same = [codec.decode(x) == (t or "").encode() for x, t in zip(ids, texts, strict=True)]

@@ -203,9 +203,9 @@ def text_key(column: str = "text"):
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded size, so that a Python worker's memory doesn't follow the length of the texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is not None:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
