@@ -18,13 +18,14 @@ def language(c: Column, kind: Column | None = None) -> Column:
     words = F.regexp_extract_all(X.folded(sample), F.lit("[A-Za-zÀ-ž]+"), F.lit(0))
 
     every = sorted({w for own in K.LANGUAGE_WORDS.values() for w in own})
-    words = F.filter(words, lambda w: w.isin(*every))
 
-    def hits(own: list[str]) -> Column:
-        return F.size(F.filter(words, lambda w: w.isin(*own)))
+    def leader(found: Column) -> Column:
+        def hits(own: list[str]) -> Column:
+            return F.size(F.filter(found, lambda w: w.isin(*own)))
 
-    counts = [F.struct(hits(own).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(K.LANGUAGE_WORDS.items())]
-    best = F.array_max(F.array(*counts))
+        return F.array_max(F.array(*[F.struct(hits(own).alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name")) for i, (name, own) in enumerate(K.LANGUAGE_WORDS.items())]))
+
+    best = X.bound(F.filter(words, lambda w: w.isin(*every)), leader)
     by_words = X.bound(best, lambda b: F.when(b["n"] >= 2, b["name"]).otherwise("und"))
     hint = (
         F.when(sample.rlike("[\\u3040-\\u30ff]"), "ja")
@@ -141,16 +142,16 @@ def _typed(f: Column) -> Column:
     return out.otherwise("article")
 
 
-def _signals(found: list[tuple[str, str]], where) -> Column:
-    return F.array_compact(F.array(*[F.when(where(name).rlike("(?iU)" + pattern), F.lit(name)) for name, pattern in found]))
+def _signals(found: list[tuple[str, str]], where, flags: str) -> Column:
+    return F.array_compact(F.array(*[F.when(where(name).rlike(f"(?{flags})" + pattern), F.lit(name)) for name, pattern in found]))
 
 
 def provenance(raw: Column, readable: Column, title: Column, url: Column | None = None) -> Column:
     """Struct verdict, reason, ai_signals, human_signals, archive_signals. Bylines count in the readable text only."""
     raw, readable, title = (F.coalesce(x, F.lit("")) for x in (raw, readable, title))
     blob = F.concat(raw, F.lit("\n"), title, F.lit("\n"), F.substring(readable, 1, 20_000))
-    ai = _signals(K.AI_SIGNALS, lambda _: X.folded(blob))
-    human = _signals(K.HUMAN_SIGNALS, lambda name: readable if name == "byline_text" else blob)
+    ai = X.bound(X.folded(blob), lambda b: _signals(K.AI_SIGNALS, lambda _: b, "U"))
+    human = X.bound(blob, lambda b: _signals(K.HUMAN_SIGNALS, lambda name: readable if name == "byline_text" else b, "iU"))
     archive = F.array().cast("array<string>") if url is None else F.when(F.lower(U.netloc(url)).isin(*K.TREE_HOSTS), F.array(F.lit("software_heritage_archive"))).otherwise(F.array().cast("array<string>"))
     found = F.struct(ai.alias("ai"), human.alias("human"), archive.alias("archive"))
     return X.bound(found, lambda f: _judged(f["ai"], f["human"], f["archive"]))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 
+LINE_END = "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]"
 SPACES = "(?U)[\\s\\x1c-\\x1f]+"
 
 
@@ -101,13 +102,14 @@ def long_base64(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines, cut at every line boundary of Unicode; the last isn't empty."""
-    cut = F.split(c, "\\r\\n|[\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]", -1)
+    cut = F.split(c, LINE_END, -1)
     return F.when(F.element_at(cut, -1) == "", F.slice(cut, F.lit(1), F.size(cut) - 1)).otherwise(cut)
 
 
 def folded_lines(c: Column) -> Column:
     """Lines that aren't blank, without spare white space, case folded."""
-    return F.transform(F.filter(lines(c), lambda x: stripped(x) != ""), lambda x: folded(squeezed(stripped(x))))
+    flat = F.regexp_replace(folded(c), "(?U)[\\s\\x1f&&[^\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]]+", " ")
+    return F.filter(F.transform(F.split(flat, LINE_END), F.trim), lambda x: x != "")
 
 
 def repeated_line_ratio(c: Column) -> Column:

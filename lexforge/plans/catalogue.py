@@ -215,7 +215,7 @@ def quality_rollup(spark, sf_dir):
 
 
 def _training(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", "url", "html", H.title(F.col("html")).alias("title"), H.parsed(F.col("html"), F.col("url"))["training"].alias("text"))
+    return raw_pages(spark, sf_dir).select("page_id", "url", "html", H.title(F.col("html")).alias("title"), H.read(F.col("html"), F.col("url"), "training")["training"].alias("text"))
 
 
 @query(O.TOPICS)
@@ -312,31 +312,31 @@ def page_title(spark, sf_dir):
 
 @query(O.page_text("journal"))
 def page_visible_text(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["journal"].alias("text"))
+    return raw_pages(spark, sf_dir).select("page_id", H.read(F.col("html"), F.col("url"), "journal")["journal"].alias("text"))
 
 
 @query(O.page_text("visible"))
 def page_full_text(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["visible"].alias("text"))
+    return raw_pages(spark, sf_dir).select("page_id", H.read(F.col("html"), F.col("url"), "visible")["visible"].alias("text"))
 
 
 @query(O.page_text("compact"))
 def page_compact_text(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["compact"].alias("text"))
+    return raw_pages(spark, sf_dir).select("page_id", H.read(F.col("html"), F.col("url"), "compact")["compact"].alias("text"))
 
 
 @query(O.page_text("training"))
 def page_training_text(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", H.parsed(F.col("html"), F.col("url"))["training"].alias("text"))
+    return raw_pages(spark, sf_dir).select("page_id", H.read(F.col("html"), F.col("url"), "training")["training"].alias("text"))
 
 
 @query(O.PAGE_LINKS)
 def page_links(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", F.posexplode(H.parsed(F.col("html"), F.col("url"))["links"]).alias("pos", "link"))
+    return raw_pages(spark, sf_dir).select("page_id", F.posexplode(H.read(F.col("html"), F.col("url"), "links")["links"]).alias("pos", "link"))
 
 
 def _linked(spark, sf_dir):
-    return raw_pages(spark, sf_dir).select("page_id", "url", H.parsed(F.col("html"), F.col("url"))["links"].alias("links"), F.lit(0).alias("depth"))
+    return raw_pages(spark, sf_dir).select("page_id", "url", H.read(F.col("html"), F.col("url"), "links")["links"].alias("links"), F.lit(0).alias("depth"))
 
 
 @query(O.CRAWL_CHILDREN)

@@ -16,8 +16,8 @@ HTML = "text/html"
 
 def pages(raw: DataFrame, order: str = "page_id", training: bool = True) -> DataFrame:
     """raw(order, url, html) -> seq, url, title, text, links, content_kind, training, source_verification and sizes. Each page is parsed once."""
-    kind = U.content_kind(F.col("url"), F.lit(HTML))
-    p = raw.select(F.col(order).alias("seq"), "url", "html", H.parsed(F.col("html"), F.col("url")).alias("p")).withColumn("text", F.col("p.training") if training else F.col("p.visible"))
+    kind, kept = U.content_kind(F.col("url"), F.lit(HTML)), "training" if training else "visible"
+    p = raw.select(F.col(order).alias("seq"), "url", "html", H.read(F.col("html"), F.col("url"), kept, "links").alias("p")).withColumn("text", F.col(f"p.{kept}"))
     p = p.withColumn("title", H.title(F.col("html"))).withColumn("content_kind", kind).where(filters.long_enough(F.col("text")))
     return p.select(
         "seq",
