@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, GOLDEN, INVERSE, Tables, U, byte_table, mix, powers, small_batches, steps, text_key, utf8
+from .common import BASE, GOLDEN, INVERSE, Tables, U, byte_table, mix, plus, powers, small_batches, steps, text_key, utf8
 
 LAST = 2**63 - 1
 PLACE = U(34)  # bits of a position in a step of text
@@ -63,9 +63,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
         low = np.minimum(low[:-by], low[by:])
         done += by
     at = (low & ((U(1) << PLACE) - U(1))).astype(np.int64)
-    owner = np.searchsorted(off, np.arange(len(at)), side="right") - 1 if len(off) > 2 else np.zeros(len(at), np.int64)
-    valid = np.arange(len(at)) + length <= off[owner + 1]
-    start = np.flatnonzero(valid)
+    owner = np.repeat(np.arange(len(off) - 1, dtype=np.int32), np.diff(off))[: len(at)]
+    start = np.flatnonzero(np.arange(length, length + len(at)) <= off[1:][owner])
     if not len(start):
         return empty, empty, empty, empty, np.empty(0, U)
     a, own = at[start], owner[start]
@@ -110,7 +109,32 @@ def _rows(batches):
             part = batch.slice(i, 200)
             g, off = utf8(part.column("g"))
             x, _ = utf8(part.column("x"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.tobytes(), np.int64)), pa.array(np.repeat(part.column("dn").to_numpy(), np.diff(off) // 8)), pa.array(np.frombuffer(x.tobytes(), np.int64))], ["g", "dn", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.tobytes(), np.int64)), pa.array(np.repeat(part.column("dn").to_numpy(), np.diff(off) // 8)), pa.array(np.frombuffer(x.tobytes(), np.int64))], ["r", "dn", "x"])
+
+
+def _shared(batches):
+    """Rows come by rank and place. Those of unique rank leave; the others get `first`, whether they are the first of their rank. Only the
+    last row of a batch waits for the next, so a rank of any number of rows needs no more memory than another."""
+    tail, joined = None, False
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if tail is not None:
+            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+        r = batch.column("r").to_numpy()
+        same = np.zeros(len(r) + 1, bool)
+        same[1:-1] = r[1:] == r[:-1]
+        same[0] = joined
+        keep = (same[:-1] | same[1:])[:-1]
+        if keep.any():
+            yield _marked(batch.slice(0, len(r) - 1), ~same[:-2]).filter(pa.array(keep))
+        tail, joined = batch.slice(len(r) - 1), bool(same[-2])
+    if tail is not None and joined:
+        yield _marked(tail, np.zeros(1, bool))
+
+
+def _marked(batch, first):
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], [*batch.schema.names, "first"])
 
 
 def _covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -286,18 +310,13 @@ def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     scanned = src.mapInArrow(_scan(length), "id long, tk long, g binary, x binary").where(F.octet_length("g") > 0)
     scanned = scanned.groupBy("id", "tk").agg(F.first("g").alias("g"), F.first("x").alias("x"))  # repeated rows are one document
     held = tables.save(scanned.join(numbered, ["id", "tk"]).select("dn", "g", "x"), "anchors")
-    rows = held.mapInArrow(_rows, "g long, dn long, x long")
-    shared = rows.groupBy("g").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("g")
-    level = tables.save(rows.join(shared.hint("shuffle_hash"), "g", "left_semi"), "rank0")
-    tables.drop(held)
 
     def settled(now: DataFrame) -> DataFrame:
-        """rows of shared ranks, with whether each is the first of its rank."""
-        ends = now.groupBy("r").agg(F.min(F.struct("dn", "x")).alias("low"), F.max(F.struct("dn", "x")).alias("high")).where(F.col("low") != F.col("high")).select("r", "low")
-        return now.join(ends, "r").withColumn("first", F.struct("dn", "x") == F.col("low")).drop("low")
+        """Ranks sorted with their places: those shared, with whether each is the first of its rank."""
+        return now.repartition("r").sortWithinPartitions("r", "dn", "x").mapInArrow(_shared, plus(now.schema, first="boolean"))
 
-    base = tables.save(settled(level.withColumnRenamed("g", "r")), "firsts")
-    tables.drop(level)
+    base = tables.save(settled(held.mapInArrow(_rows, "r long, dn long, x long")), "firsts")
+    tables.drop(held)
     a, low, high = (F.shiftright("x", 12), F.shiftright("x", 12) - F.shiftright("x", 6).bitwiseAND(F.lit(63)), F.shiftright("x", 12) - F.col("x").bitwiseAND(F.lit(63)))
     now = base.select("dn", "x", "r", a.alias("end"))
     spans, ranks, gram, offset, turn = None, [], length // 2, 1, 0
