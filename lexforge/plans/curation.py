@@ -10,6 +10,7 @@ from ..functions import labels as L
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import dedup, filters, frontier
+from ..sources import payloads
 
 HTML = "text/html"
 
@@ -35,6 +36,60 @@ def pages(raw: DataFrame, order: str = "page_id", training: bool = True) -> Data
     )
 
 
+def assemble(responses: DataFrame, training: bool = True) -> DataFrame:
+    """Responses (url, final_url, content_type, charset, http_status, raw, and any more columns) to pages: textual ones are decoded, HTML and
+    notebooks read, other text only trimmed; pages under 40 characters go. Titles of other files are their names."""
+    final, kind, kept = F.col("final_url"), F.coalesce("content_type", F.lit("")), "training" if training else "visible"
+    own = [c for c in responses.columns if c not in ("url", "final_url", "content_type", "charset", "http_status", "raw")]
+    r = responses.where(U.is_textual(kind, final, payloads.sniffed(F.col("raw")))).withColumn("d", payloads.decoded(F.col("raw"), F.col("charset")))
+    page, body = kind.isin(*U.HTML), F.col("d.text")
+    r = r.withColumn("p", H.read(F.when(page, body), final, kept, "links")).withColumn("content_kind", U.content_kind(final, kind))
+    text = F.when(page, F.col(f"p.{kept}")).when((F.col("content_kind") == "notebook") & F.lit(training), H.notebook(body)).otherwise(H.clean_newlines(body))
+    named = F.coalesce(F.try_element_at(U.values(final, "filename"), F.lit(1)), F.element_at(F.split(U.path(final), "/"), -1))
+    r = r.withColumn("text", text).withColumn("title", F.when(page, H.title(body)).otherwise(named)).where(filters.long_enough(F.col("text")))
+    return r.select(
+        *own,
+        F.col("url").alias("asked_url"),
+        final.alias("url"),
+        "title",
+        "text",
+        F.when(page, F.col("p.links")).otherwise(F.array().cast("array<string>")).alias("links"),
+        "content_kind",
+        kind.alias("content_type"),
+        "http_status",
+        F.col("d.encoding").alias("source_encoding"),
+        F.octet_length("raw").cast("long").alias("source_bytes"),
+        F.octet_length("text").cast("long").alias("text_bytes"),
+        L.quality(F.col("text"), F.col("content_kind")).alias("training"),
+        L.provenance(body, F.col("text"), F.col("title"), final).alias("source_verification"),
+    )
+
+
+def checks(asked: DataFrame, pages_: DataFrame, allowed: DataFrame | None = None) -> DataFrame:
+    """Search hits (url, title, provider) with what a look at each page shows: checked, robots_blocked or unavailable."""
+    p = pages_.select(F.col("asked_url").alias("_a"), F.col("url").alias("_u"), F.col("title").alias("_t"), "source_bytes", "text_bytes", "http_status", "content_type", "content_kind", "training", "source_verification")
+    j = asked.join(p, asked["url"] == p["_a"], "left")
+    if allowed is not None:
+        j = j.join(allowed.select(F.col("url").alias("_o"), "allowed"), j["url"] == F.col("_o"), "left").drop("_o")
+    ok = F.coalesce("allowed", F.lit(True)) if allowed is not None else F.lit(True)
+    status = F.when(~ok, "robots_blocked").when(F.col("_u").isNull(), "unavailable").otherwise("checked")
+    reason = F.when(status == "robots_blocked", "robots.txt disallowed this URL.").when(status == "unavailable", "The page could not be fetched or did not contain enough supported text.").otherwise(F.col("source_verification.reason"))
+    seen = status == "checked"
+    return j.select(
+        F.when(seen & (F.col("_t") != ""), F.col("_t")).otherwise(asked["title"]).alias("title"),
+        F.when(seen, F.col("_u")).otherwise(asked["url"]).alias("url"),
+        "provider",
+        U.site(F.when(seen, F.col("_u")).otherwise(asked["url"])).alias("site"),
+        status.alias("status"),
+        F.when(seen, F.col("source_verification.verdict")).otherwise("unknown").alias("verdict"),
+        reason.alias("reason"),
+        *[F.when(seen, F.col(c)).otherwise(0).alias(c) for c in ("source_bytes", "text_bytes", "http_status")],
+        F.when(seen, F.col("content_type")).otherwise("").alias("content_type"),
+        F.coalesce(F.when(seen, F.col("training.language")), F.lit("und")).alias("language"),
+        F.when(seen, F.col("training.score")).alias("score"),
+    )
+
+
 def records(p: DataFrame) -> DataFrame:
     """Pages with the labels of a record."""
     found = L.topics(F.col("title"), F.col("text"))
@@ -51,17 +106,19 @@ def records(p: DataFrame) -> DataFrame:
     )
 
 
-def statuses(p: DataFrame, sites: list[str] = (), words: list[str] = (), human_only: bool = False, code_only: bool = False) -> DataFrame:
+def statuses(p: DataFrame, sites: list[str] = (), words: list[str] = (), human_only: bool = False, code_only: bool = False, known: DataFrame | None = None, training: bool = True) -> DataFrame:
     """Records with block, status (the first gate that a page fails, else duplicate or stored), duplicate_reason and follow."""
     r = records(p)
     block = F.coalesce(filters.url_block(F.col("url"), sites, words), filters.page_block(F.col("url"), F.col("title"), F.col("text"), words))
-    gate = F.when(F.col("block").isNotNull(), "blocked").when(~filters.passes_quality(F.col("training")), "training_filtered")
+    gate = F.when(F.col("block").isNotNull(), "blocked")
+    if training:
+        gate = gate.when(~filters.passes_quality(F.col("training")), "training_filtered")
     if human_only:
         gate = gate.when(~filters.passes_provenance(F.col("source_verification")), "filtered")
     if code_only:
         gate = gate.when(~L.has_code(F.col("url"), F.col("content_kind")), "code_filtered")
     r = dedup.cut(r.withColumn("block", block).withColumn("gate", gate))
-    kept = dedup.append(r.where("gate is null").select("seq", "canonical_url", "text_sha256"))
+    kept = dedup.append(r.where("gate is null").select("seq", "canonical_url", "text_sha256"), known=known)
     out = r.join(kept.select("seq", "stored", "duplicate_reason"), "seq", "left")
     status = F.coalesce("gate", F.when(F.col("stored"), "stored").otherwise("duplicate"))
     return out.withColumn("status", status).withColumn("follow", frontier.follows(F.col("status"), code_only=code_only)).drop("gate", "stored")

@@ -108,6 +108,24 @@ def local_files(spark: SparkSession, path: str, most: int = 8_000_000) -> DataFr
 CORPUS = "id string, url string, source string, content_type string, retrieved_at string, characters long, text string"
 
 
+def responses(spark: SparkSession, sources: list[str], get: Callable[[str], tuple | None]) -> DataFrame:
+    """Addresses are fetched, other sources read as files."""
+    web = [s for s in sources if re.match(r"^https?://", s, re.IGNORECASE)]
+    out = fetch(spark.createDataFrame([(s,) for s in web], "url string"), get)
+    for s in sources:
+        if s not in web:
+            out = out.unionByName(local_files(spark, s))
+    return out
+
+
+BELIEFS = "topic string, position string, coverage double, document_count long, sources array<string>, evidence array<struct<score:double,document_id:string,source:string,url:string,sentence:string>>, method string, recorded_at string"
+
+
+def beliefs(spark: SparkSession, path: str) -> DataFrame:
+    """Beliefs kept as one JSON array; those without evidence have no count."""
+    return spark.read.schema(BELIEFS).json(path, multiLine=True)
+
+
 def corpus(spark: SparkSession, path: str) -> DataFrame:
     """A corpus kept as one JSON array."""
     return spark.read.schema(CORPUS).json(path, multiLine=True)
