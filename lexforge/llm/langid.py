@@ -158,21 +158,21 @@ def fit(docs: DataFrame, per_language: int = 1500, bits: int = 20, probes: int =
     return Filters(languages, bits, probes, table, np.minimum(fill**probes, 0.99), common)
 
 
-def predict(docs: DataFrame, filters: Filters) -> DataFrame:
-    """docs with lang_pred and score (both replaced if there); everything else is carried through."""
+def predict(docs: DataFrame, filters: Filters, language: str = "lang_pred", score: str = "score") -> DataFrame:
+    """docs with the columns `language` and `score` (replaced if there); everything else is carried through."""
     spark = docs.sparkSession
     small_batches(spark)
     shared = spark.sparkContext.broadcast(filters)
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    kept = [c for c in docs.columns if c not in (language, score)]
     docs = docs.select(*kept)
 
     def run(batches):
         for batch in batches:
             for part in steps(batch):
                 langs, scores = shared.value.predict(*utf8(part.column("text")), part.column("text").to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*part.schema.names, language, score])
 
-    return docs.mapInArrow(run, plus(docs.schema, lang_pred="string", score="double"))
+    return docs.mapInArrow(run, plus(docs.schema, **{language: "string", score: "double"}))
 
 
 def identify(docs: DataFrame, **how) -> DataFrame:
@@ -184,4 +184,5 @@ def identify(docs: DataFrame, **how) -> DataFrame:
 def reject(docs: DataFrame, least_score: float = 0.2, **how) -> DataFrame:
     """The documents whose language is known: not `und`, and at least `least_score` of their n-grams are the language's."""
     filters = fit(docs, **how)
-    return predict(docs, filters).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select(*docs.columns)
+    judged = predict(docs, filters, "_li_language", "_li_score")
+    return judged.where((F.col("_li_language") != "und") & (F.col("_li_score") >= least_score)).select(*docs.columns)

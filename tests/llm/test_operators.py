@@ -478,6 +478,8 @@ def test_language_edges(docs, spark):
     got = {r["doc_id"]: r for r in langid.predict(e, f).collect()}
     assert all(got[i]["lang_pred"] == "und" and got[i]["score"] == 0 for i in (1, 2, 3))
     assert got[4]["lang_pred"] in f.languages and got[None]["lang_pred"] in f.languages
+    kept = langid.reject(docs.withColumn("score", docs["doc_id"]))
+    assert kept.columns == [*docs.columns, "score"] and kept.where("score <> doc_id").count() == 0 and kept.where("doc_id in (5, 6, 7)").count() == 0
     empty = langid.fit(docs.where("lang = 'none'"))
     assert langid.predict(e, empty).where("lang_pred <> 'und'").count() == 0
 
