@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from lexforge.llm import bpe, exact, langid, mixing, near
-from lexforge.llm.common import shared_dir
+from lexforge.llm.common import Tables
 from lexforge.llm.queries import vocabulary
 
 
@@ -43,8 +41,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, root = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    tables, docs = Tables(spark), spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{root}/{name}")
-        docs = spark.read.parquet(f"{root}/{name}")
+        before, docs = docs, tables.save(stage(spark, docs, sf_dir), name)
+        tables.drop(before)
     return docs
