@@ -73,6 +73,29 @@ SELECT c.conv_id, CAST(c.turn AS VARCHAR) AS call_id, c.turn, c.turn AS position
   CASE WHEN length(c.text) > 400 THEN 'long:prompt' ELSE '' END AS problems,
   '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS record
 FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.turn = c.turn + 1
+""",
+    "op5_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 4 THEN list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT i, j FROM p WHERE 100 * c >= 80 * (na + nb - c)),
+both_ AS (SELECT i, j FROM l UNION ALL SELECT j, i FROM l),
+reach(i, j) AS (SELECT i, j FROM both_ UNION SELECT r.i, b.j FROM reach r JOIN both_ b ON b.i = r.j),
+low AS (SELECT i, min(j) AS j FROM reach GROUP BY 1)
+SELECT s.doc_id, len(sh) AS n_shingles, least(s.doc_id, coalesce(low.j, s.doc_id)) AS component_id, s.doc_id = least(s.doc_id, coalesce(low.j, s.doc_id)) AS kept FROM s LEFT JOIN low ON low.i = s.doc_id
+""",
+    "op7_source_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents),
+g AS (SELECT source, CAST(sum(size) AS BIGINT) AS size FROM d GROUP BY 1),
+w AS (SELECT source, size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w, CAST(size AS DOUBLE) * 3 AS cap FROM g),
+r AS (SELECT *, cap / w AS ratio FROM w),
+l AS (SELECT *, (sum(size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, coalesce(least(cap, w * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)), cap) AS target FROM l),
+k AS (SELECT *, CASE WHEN size > 0 THEN least(target / size, 3.0) ELSE 0.0 END AS rate FROM t),
+c AS (SELECT d.doc_id, d.size, k.size AS source_size, k.target, CAST(floor(k.rate) + CASE WHEN CAST(('0x' || left(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 12)) AS BIGINT) / 281474976710656.0 < k.rate - floor(k.rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """,
     "op9_exact_dedup": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
