@@ -344,7 +344,7 @@ def crawl_children(spark, sf_dir):
     return frontier.children(_linked(spark, sf_dir), 2, [], external=True)
 
 
-@query()
+@query(O.BFS)
 def bfs_frontier(spark, sf_dir):
     p = _linked(spark, sf_dir)
     edges = p.select(U.normal(F.col("url")).alias("src"), F.posexplode("links").alias("pos", "dst"))
@@ -360,7 +360,7 @@ def directory_walk(spark, sf_dir):
     return frontier.walk(spark.createDataFrame(TREE, "dir_id string, name string, type string, target string"), "r", K.GENERATED_NAMES, K.ASSET_ENDINGS)
 
 
-@query()
+@query(O.NOTEBOOK)
 def notebook_clean(spark, sf_dir):
     import json
 
@@ -368,14 +368,14 @@ def notebook_clean(spark, sf_dir):
     return spark.createDataFrame([(1, nb), (2, " not json ")], "id int, raw string").select("id", H.notebook(F.col("raw")).alias("text"))
 
 
-@query()
+@query(O.DECODE)
 def payload_decode(spark, sf_dir):
     rows = [(1, "é".encode(), None), (2, "表示".encode("cp932"), "shift_jis"), (3, b"\xff\xfe plain", "nope")]
     d = spark.createDataFrame(rows, "id int, raw binary, charset string")
     return d.select("id", payloads.decoded(F.col("raw"), F.col("charset")).alias("d"), payloads.sniffed(F.col("raw")).alias("is_text")).select("id", "d.text", "d.encoding", "is_text")
 
 
-@query()
+@query(O.SEARCH)
 def search_results(spark, sf_dir):
     rows = [(0, '<a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fx.org%2Fa">A  b</a>'), (1, '<a data-e-a="heading" href="https://y.cz/">Y</a>'), (2, '<li class="b_algo"><h2><a href="https://z.com/q">Z <b>q</b></a></h2></li>')]
     d = spark.createDataFrame(rows, "provider int, page string")
@@ -436,7 +436,7 @@ def pipeline_crawl_statistics(spark, sf_dir):
     return s.withColumns({c: F.to_json(c) for c in ("topics", "methods")})
 
 
-@query()
+@query(O.EVENT_LOG)
 def pipeline_event_log(spark, sf_dir):
     return rollup.event_log(curation.events(_curated(spark, sf_dir)))
 

@@ -343,6 +343,23 @@ PAGE_LINKS = f"WITH {LINK_CTE} SELECT page_id, pos, link FROM links_"
 CRAWL_CHILDREN = f"""WITH {LINK_CTE}, c AS (SELECT *, row_number() OVER (PARTITION BY url, {canonical('link')} ORDER BY pos) AS k FROM links_)
 SELECT url AS parent, link, 1 AS depth, row_number() OVER (PARTITION BY url ORDER BY pos) - 1 AS pos FROM c WHERE k = 1"""
 
+def _level(k: int) -> str:
+    """The pages that level k opens, numbered after all before them."""
+    before = " UNION ALL ".join(f"SELECT url, seq FROM b{i}" for i in range(k))
+    return f"""f{k} AS (SELECT e.dst AS url, min(struct_pack(s := b.seq, p := e.pos)) AS key FROM b{k - 1} b JOIN edges e ON e.src = b.url WHERE e.dst NOT IN (SELECT url FROM ({before})) GROUP BY 1),
+b{k} AS (SELECT url, {k} AS depth, (SELECT max(seq) FROM ({before})) + row_number() OVER (ORDER BY key) AS seq FROM f{k})"""
+
+
+BFS = f"""WITH {LINK_CTE},
+edges AS (SELECT {normal('url')} AS src, link AS dst, pos FROM links_),
+b0 AS (SELECT {normal('url')} AS url, 0 AS depth, row_number() OVER (ORDER BY page_id) AS seq FROM pages WHERE page_id < 3),
+{_level(1)}, {_level(2)}, {_level(3)}
+SELECT * FROM b0 UNION ALL SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3"""
+
+NOTEBOOK = "SELECT * FROM (VALUES (1, '# T' || chr(10) || chr(10) || '```python' || chr(10) || 'x=1' || chr(10) || '```' || chr(10) || chr(10) || '1'), (2, 'not json')) v(id, text)"
+DECODE = "SELECT * FROM (VALUES (1, 'é', 'utf-8', true), (2, '表示', 'cp932', true), (3, chr(63731) || chr(63730) || ' plain', 'cp932', true)) v(id, text, encoding, is_text)"
+SEARCH = "SELECT * FROM (VALUES (0, 'A b', 'https://x.org/a'), (1, 'Y', 'https://y.cz/'), (2, 'Z q', 'https://z.com/q')) v(provider, title, url)"
+
 DIRECTORY_WALK = """
 WITH RECURSIVE t(dir_id, name, type, target) AS (VALUES ('r', 'src', 'dir', 's'), ('r', 'a.py', 'file', '1'), ('r', 'yarn.lock', 'file', '2'), ('s', 'b.go', 'file', '3'), ('s', 'i.png', 'file', '4'), ('s', 'deep', 'dir', 'd'), ('d', 'c.rs', 'file', '5'), ('s', 'sub', 'rev', 'x')),
 w AS (SELECT name AS path, type, target FROM t WHERE dir_id = 'r' UNION ALL SELECT w.path || '/' || t.name, t.type, t.target FROM w JOIN t ON t.dir_id = w.target WHERE w.type = 'dir')
@@ -394,6 +411,14 @@ STATUS = f"WITH RECURSIVE {CURATED} SELECT page_id, status, duplicate_reason, st
 _SUMS = """count(*) AS pages, count(*) FILTER (status = 'stored') AS stored, count(*) FILTER (status IN ('blocked', 'training_filtered')) AS filtered, 0 AS code_filtered, count(*) FILTER (status = 'duplicate') AS duplicates, 0 AS failed,
   CAST(sum(octet_length(encode(html))) AS BIGINT) AS source_bytes, CAST(sum(octet_length(encode(text))) AS BIGINT) AS text_bytes, 0 AS compressed_bytes"""
 SITE_ROLLUP = f"WITH RECURSIVE {CURATED} SELECT {NETLOC} AS site, {_SUMS} FROM st GROUP BY 1"
+_DETAIL = """CASE status WHEN 'blocked' THEN 'blocked ' || CASE WHEN site_hit IS NOT NULL THEN 'site: ' || site_hit ELSE 'word: login' END
+  WHEN 'training_filtered' THEN 'too_short' || CASE WHEN ratio > 0.5 THEN ', high_repeated_line_ratio' ELSE '' END || '; score ' || score || '/100'
+  ELSE reason || '; training score ' || score || '/100' || CASE WHEN status = 'duplicate' THEN '; duplicate by ' || duplicate_reason ELSE '' END END"""
+_SITE_HIT = f"CASE WHEN ({NETLOC} = 'example.com' OR ends_with({NETLOC}, '.example.com')) AND (rtrim({PATH}, '/') = '/es' OR starts_with({PATH}, '/es/')) THEN 'example.com/es' WHEN ({NETLOC} = 'example.org' OR ends_with({NETLOC}, '.example.org')) AND (rtrim({PATH}, '/') = '/fr' OR starts_with({PATH}, '/fr/')) THEN '*.example.org/fr' END"
+_REASON = "CASE WHEN ai <> '' THEN '" + K.REASONS["ai_flagged"] + "' WHEN human <> '' THEN '" + K.REASONS["human_signals"] + "' ELSE '" + K.REASONS["unknown"] + "' END"
+EVENT_LOG = f"""WITH RECURSIVE {CURATED}, z AS (SELECT st.*, coalesce(pr.ratio, 0) AS ratio, {_SITE_HIT} AS site_hit, {_AIS} AS ai, {_HUMANS} AS human FROM st LEFT JOIN pr USING (page_id)),
+y AS (SELECT *, {_REASON} AS reason FROM z)
+SELECT page_id AS seq, url, {NETLOC} AS site, status, octet_length(encode(html)) AS source_bytes, octet_length(encode(text)) AS text_bytes, 0 AS compressed_bytes, {_DETAIL} AS details FROM y"""
 STATS = f"""WITH RECURSIVE {CURATED} SELECT count(*) AS checked, count(*) FILTER (status = 'stored') AS stored, count(*) FILTER (status = 'duplicate') AS duplicates, count(*) FILTER (status = 'training_filtered') AS training_filtered,
   0 AS code_filtered, count(*) FILTER (status = 'blocked') AS blocked, 0 AS failed, 0 AS out_of_scope, 0 AS robots_blocked, 0 AS filtered,
   CAST(sum(octet_length(encode(html))) FILTER (status = 'stored') AS BIGINT) AS source_bytes, CAST(sum(octet_length(encode(text))) FILTER (status = 'stored') AS BIGINT) AS text_bytes, 0 AS compressed_bytes FROM st"""
