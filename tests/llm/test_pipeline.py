@@ -35,3 +35,24 @@ def test_stages(spark, sf, tmp_path):
 def test_run(spark, sf):
     assert pipeline.run(spark, sf).count() > 0
     assert [n for n, _ in pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "source_mixing", "encoding"]
+
+
+@pytest.mark.parametrize("kind", ["odd", "empty", "unlabelled"])
+def test_odd_tables(spark, tmp_path, kind):
+    """Nulls in every column, empty and long texts, repeated rows, no rows at all, no labels: no stage breaks, and columns stay."""
+    long = "the of and in " * 30_000
+    rows = [(1, "the of and in to nd " * 9, "en", "a", 1), (1, "the of and in to nd " * 9, "en", "a", 1), (2, None, None, None, None), (None, "der die das und ist " * 9, "de", None, 1), (3, "", "en", "b", 0), (4, " \n", "de", "b", 2), (5, long, "en", "a", 9), (6, long + "x", "en", "a", 9), (7, "42 !", None, "c", 1)]
+    if kind == "empty":
+        rows = []
+    if kind == "unlabelled":
+        rows = [(a, b, None, d, e) for a, b, _, d, e in rows]
+    docs = spark.createDataFrame([(*r, "extra") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, ids string")
+    for k, (name, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, "unused").write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        if k < 4:
+            assert now.columns == docs.columns
+        if name == "near_dedup" and kind == "odd":
+            assert sorted((r["doc_id"] is None, r["doc_id"]) for r in now.collect() if r["doc_id"] is not None) == [(False, 1), (False, 5)]
+        docs = now
+    assert docs.where("not decodes").count() == 0
