@@ -142,16 +142,38 @@ def _typed(f: Column) -> Column:
     return out.otherwise("article")
 
 
-def _signals(found: list[tuple[str, str]], where, flags: str) -> Column:
-    return F.array_compact(F.array(*[F.when(where(name).rlike(f"(?{flags})" + pattern), F.lit(name)) for name, pattern in found]))
+#: What a text must hold for a signal's pattern to match: plain searches that spare most texts the patterns.
+NEEDS = {
+    "explicit_ai_generation": ["generated", "written", "created", "produced"],
+    "chatgpt_or_openai": ["chatgpt", "openai", "gpt"],
+    "other_ai_writer": ["claude", "gemini", "copilot", "jasper", "llm", "large language model"],
+    "synthetic_content": ["synthetic", "generated"],
+    "author_metadata": ["author"],
+    "publisher_metadata": ["publisher", "site_name"],
+    "publication_date": ["publish", "pubdate"],
+    "byline_text": ["by"],
+}
+
+
+def _signals(found: list[tuple[str, str]], where, small: Column, flags: str) -> Column:
+    """Names of the patterns that match; `small` is the whole text in small letters."""
+
+    def matches(name: str, pattern: str) -> Column:
+        some = F.lit(False)
+        for word in NEEDS[name]:
+            some = some | small.contains(word)
+        return some & where(name).rlike(f"(?{flags})" + pattern)
+
+    return F.array_compact(F.array(*[F.when(matches(name, pattern), F.lit(name)) for name, pattern in found]))
 
 
 def provenance(raw: Column, readable: Column, title: Column, url: Column | None = None) -> Column:
     """Struct verdict, reason, ai_signals, human_signals, archive_signals. Bylines count in the readable text only."""
     raw, readable, title = (F.coalesce(x, F.lit("")) for x in (raw, readable, title))
     blob = F.concat(raw, F.lit("\n"), title, F.lit("\n"), F.substring(readable, 1, 20_000))
-    ai = X.bound(X.folded(blob), lambda b: _signals(K.AI_SIGNALS, lambda _: b, "U"))
-    human = X.bound(blob, lambda b: _signals(K.HUMAN_SIGNALS, lambda name: readable if name == "byline_text" else b, "iU"))
+    ai = X.bound(X.folded(blob), lambda b: _signals(K.AI_SIGNALS, lambda _: b, b, "U"))
+    both = F.struct(blob.alias("blob"), F.lower(F.concat(blob, readable)).alias("small"))
+    human = X.bound(both, lambda b: _signals(K.HUMAN_SIGNALS, lambda name: readable if name == "byline_text" else b["blob"], b["small"], "iU"))
     archive = F.array().cast("array<string>") if url is None else F.when(F.lower(U.netloc(url)).isin(*K.TREE_HOSTS), F.array(F.lit("software_heritage_archive"))).otherwise(F.array().cast("array<string>"))
     found = F.struct(ai.alias("ai"), human.alias("human"), archive.alias("archive"))
     return X.bound(found, lambda f: _judged(f["ai"], f["human"], f["archive"]))
