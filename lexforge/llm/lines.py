@@ -1,9 +1,11 @@
 """Line dedup by pairwise alignment.
 
-Each document becomes the hashes of its lines (no text is shuffled until the end). For each line that several documents share the
-first document that has it (smallest doc_id) is found by an aggregate; a later document is aligned with each of the first documents of its
-lines. Rare lines bring the partners that matter; a common line adds one pair a document (n documents with one line make n - 1 pairs,
-never all pairs), so no line has to be left out for being too common, and the order of partners doesn't change the result. The alignment is a patience diff over line hashes: common ends are trimmed, lines unique on both
+Each document becomes the hashes of its lines (no text is shuffled until the end). The result is that of aligning each document with every
+earlier one (smaller doc_id). Only pairs that can share a block need it: each document has keys, the least runs of adjacent lines that weigh
+`least` bytes, and a common block is covered by keys of both documents. A document is aligned with the first holder of each of its keys, which is one pair
+for each key and document, never all pairs. Where a key then still has a line that isn't deleted, because the alignment took another passage, the next
+holders follow, twice as many in each turn, until all have been tried or nothing of the key is left. No line is left out for being common or
+short. The alignment is a patience diff over line hashes: common ends are trimmed, lines unique on both
 sides are anchors by a longest increasing subsequence, and the gaps are aligned likewise. An aligned common block (lines that follow
 each other on both sides) of at least `least` bytes is deleted from the later document.
 
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, Tables, U, small_batches, span_hashes, steps, text_key, utf8
+from .common import BASE, GOLDEN, INVERSE, SPACE, Tables, U, mix, powers, small_batches, span_hashes, steps, text_key, utf8
 
 BLANK = 0
 
@@ -120,82 +122,140 @@ def _scan(batches):
             )
 
 
-def _distinct(shortest: int):
+def block_keys(h: np.ndarray, n: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, start, end) of the least runs of lines that weigh `least` bytes: the shortest one from each line on and the shortest one up to
+    each line. A common block is covered by such runs that lie inside it: documents that share none share no block."""
+    with np.errstate(over="ignore"):
+        weight = np.concatenate([[0], np.cumsum(np.where(h == BLANK, 0, n).astype(np.int64))])
+        at = np.arange(len(weight))
+        end, start = np.searchsorted(weight, weight + least), np.searchsorted(weight, weight - least, side="right") - 1
+        on, back = end < len(weight), start >= 0
+        start, end = np.concatenate([at[on], start[back]]), np.concatenate([end[on], at[back]])
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(h + GOLDEN) * powers(BASE, len(h))[: len(h)], dtype=U)])
+        return mix((sums[end] - sums[start]) * powers(INVERSE, len(h))[start] + (end - start).astype(U) * GOLDEN), start, end
+
+
+def _keys(least: int):
     def run(batches):
         for batch in batches:
-            out, rows = [], []
+            out = []
             for i in range(batch.num_rows):
                 h = np.frombuffer(batch.column("lines")[i].as_buffer(), U)
                 n = np.frombuffer(batch.column("sizes")[i].as_buffer(), np.int32)
-                h = np.unique(h[(h != BLANK) & (n > shortest)])
-                out.append(h)
-                rows.append(len(h))
-            who = pa.array(np.repeat(np.arange(batch.num_rows), rows), pa.int64())
-            lines = np.concatenate(out) if out else np.empty(0, U)
-            yield pa.RecordBatch.from_arrays([pa.array(lines.view(np.int64), pa.int64()), batch.column("id").take(who), batch.column("tk").take(who)], ["line", "id", "tk"])
+                out.append(np.unique(block_keys(h, n, least)[0]))
+            who = pa.array(np.repeat(np.arange(batch.num_rows), [len(k) for k in out]), pa.int64())
+            keys = np.concatenate(out) if out else np.empty(0, U)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64), pa.int64()), batch.column("id").take(who), batch.column("tk").take(who)], ["key", "id", "tk"])
 
     return run
 
 
+def _holders(batches):
+    """Rows come by key and document: all but the first of each key, with the number of earlier ones and the first. Only one row is remembered."""
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, i, t = (batch.column(c).to_numpy() for c in ("key", "id", "tk"))
+        at = np.arange(len(key))
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        start = np.maximum.accumulate(np.where(new, at, 0))
+        rank, eid, etk = at - start, i[start], t[start]
+        if last is not None and last[0] == key[0]:
+            same = start == 0
+            rank[same] += last[1] + 1
+            eid[same], etk[same] = last[2], last[3]
+        last = (key[-1], rank[-1], eid[-1], etk[-1])
+        later = pa.array(rank > 0)
+        every = [*(batch.column(c) for c in ("key", "id", "tk")), pa.array(rank), pa.array(eid), pa.array(etk)]
+        yield pa.RecordBatch.from_arrays(every, ["key", "id", "tk", "rank", "eid", "etk"]).filter(later)
+
+
 def _aligned(least: int):
-    """Rows come by later document: itself first, then its partners. One document and one partner are held at a time."""
+    """Rows come by later document: itself first, then its partners. One document and one partner are held at a time. Of the keys in
+    `asked` those come back that still have a line which isn't deleted."""
 
     def run(batches):
-        own, key, gone = None, None, None
+        own, key, gone, asked = None, None, None, None
+
+        def closed():
+            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
+            still = np.empty(0, np.int64)
+            if len(asked) and not gone.all():
+                k, start, end = block_keys(np.array(own, U), np.array(sizes, np.int32), least)
+                total = np.concatenate([[0], np.cumsum(gone)])
+                still = np.intersect1d(k[total[end] - total[start] < end - start].view(np.int64), asked)
+            return [(*key, edge.astype(np.int64).tolist(), still.tolist())] if len(edge) or len(still) else []
+
         for batch in batches:
             ids, tks, kinds = (batch.column(c).to_pylist() for c in ("id", "tk", "kind"))
             done = []
-
-            def close():
-                if gone is not None and gone.any():
-                    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-                    done.append((*key, edge.astype(np.int64).tolist()))  # noqa: B023
-
             for i in range(batch.num_rows):
                 if (ids[i], tks[i]) != key:
-                    close()
-                    key, own, gone = (ids[i], tks[i]), None, None
+                    if own is not None:
+                        done += closed()
+                    key, own = (ids[i], tks[i]), None
                 h = np.frombuffer(batch.column("lines")[i].as_buffer(), U)
                 if kinds[i] == 0:
                     own, sizes = h.tolist(), np.frombuffer(batch.column("sizes")[i].as_buffer(), np.int32).tolist()
-                    gone = np.zeros(len(own), bool)
+                    gone, asked = np.zeros(len(own), bool), batch.column("asked")[i].values.to_numpy()
+                    before = batch.column("ranges")[i].as_py() or []
+                    for a, b in zip(before[::2], before[1::2], strict=True):
+                        gone[a:b] = True
                 elif own is not None:
                     for a, b in blocks(own, sizes, h.tolist(), least):
                         gone[a:b] = True
             if done:
                 yield _rows(done)
-        if gone is not None and gone.any():
-            edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.view(np.int8), [0]])))
-            yield _rows([(*key, edge.astype(np.int64).tolist())])
+        if own is not None and (done := closed()):
+            yield _rows(done)
 
     return run
 
 
 def _rows(done):
-    return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int64()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.list_(pa.int64()))], ["id", "tk", "ranges"])
+    ids, tks, ranges, still = zip(*done, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(tks, pa.int64()), pa.array(ranges, pa.list_(pa.int64())), pa.array(still, pa.list_(pa.int64()))], ["id", "tk", "ranges", "asked"])
 
 
 LAST = 2**63 - 1
 
 
-def removals(docs: DataFrame, least: int = 100, shortest: int = 20) -> DataFrame:
+def removals(docs: DataFrame, least: int = 100) -> DataFrame:
     """id (doc_id, null as the largest number), tk, ranges: bounds of the deleted runs of lines, of each document that loses any."""
     spark = docs.sparkSession
     small_batches(spark)
     tables = Tables(spark)
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), "text", text_key().alias("tk"))
     scan = src.mapInArrow(_scan, "doc_id long, tk long, lines binary, sizes binary").withColumnRenamed("doc_id", "id")
-    lines = tables.save(scan, "lines")
-    held = lines.select("id", "tk", "lines", "sizes").mapInArrow(_distinct(shortest), "line long, id long, tk long")
-    # the first document and the number of rows of each line
-    first = held.groupBy("line").agg(F.min(F.struct("id", "tk")).alias("first"), F.max(F.struct("id", "tk")).alias("last")).where(F.col("first") != F.col("last")).select("line", "first")
-    pairs = held.join(first, "line").where(F.struct("id", "tk") != F.col("first")).select("id", "tk", F.col("first.id").alias("eid"), F.col("first.tk").alias("etk")).distinct()
-    pairs = tables.save(pairs, "pairs")
-    one = lines.groupBy("id", "tk").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes"))
-    later = one.join(pairs.select("id", "tk").distinct(), ["id", "tk"]).select("id", "tk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("eid"), F.lit(0).cast("long").alias("etk"), "lines", "sizes")
-    partner = pairs.join(one.select(F.col("id").alias("eid"), F.col("tk").alias("etk"), "lines"), ["eid", "etk"]).select("id", "tk", F.lit(1).alias("kind"), "eid", "etk", "lines", F.lit(None).cast("binary").alias("sizes"))
-    both = later.union(partner).repartition("id", "tk").sortWithinPartitions("id", "tk", "kind", "eid", "etk")
-    return tables.save(both.mapInArrow(_aligned(least), "id long, tk long, ranges array<long>"), "removals")
+    lines = tables.save(scan.groupBy("id", "tk").agg(F.first("lines").alias("lines"), F.first("sizes").alias("sizes")), "lines")
+    keys = lines.mapInArrow(_keys(least), "key long, id long, tk long").repartition("key").sortWithinPartitions("key", "id", "tk")
+    held = tables.save(keys.mapInArrow(_holders, "key long, id long, tk long, rank long, eid long, etk long"), "held")
+    none = F.array().cast("array<long>")
+    pairs = held.groupBy("id", "tk").agg(F.collect_set(F.struct("eid", "etk")).alias("partners"), F.collect_list(F.when(F.col("rank") > 1, F.col("key"))).alias("asked")).withColumn("ranges", none)
+    # turn by turn the holders before `reach` have been tried; whose keys are all deleted needs no more of them
+    reach, out = 1, None
+    while True:
+        pairs = tables.save(pairs, "pairs")
+        if out is not None and pairs.isEmpty():
+            break
+        later = lines.join(pairs, ["id", "tk"]).select("id", "tk", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("eid"), F.lit(0).cast("long").alias("etk"), "lines", "sizes", "asked", "ranges")
+        partner = pairs.select("id", "tk", F.explode("partners").alias("e")).select("id", "tk", "e.eid", "e.etk").join(lines.select(F.col("id").alias("eid"), F.col("tk").alias("etk"), "lines"), ["eid", "etk"])
+        partner = partner.select("id", "tk", F.lit(1).alias("kind"), "eid", "etk", "lines", F.lit(None).cast("binary").alias("sizes"), none.alias("asked"), none.alias("ranges"))
+        both = later.union(partner).repartition("id", "tk").sortWithinPartitions("id", "tk", "kind", "eid", "etk")
+        now = tables.save(both.mapInArrow(_aligned(least), "id long, tk long, ranges array<long>, asked array<long>"), "removals").withColumn("turn", F.lit(reach))
+        out = now if out is None else out.union(now)
+        tables.drop(pairs)
+        open_ = now.select("id", "tk", "ranges", F.explode("asked").alias("key")).join(held.select("key", "id", "tk", "rank"), ["key", "id", "tk"])
+        others = held.select("key", F.col("id").alias("eid"), F.col("tk").alias("etk"), F.col("rank").alias("erank")).where((F.col("erank") >= reach) & (F.col("erank") < 2 * reach))
+        found = open_.join(others, "key").where(F.col("erank") < F.col("rank"))
+        pairs = found.groupBy("id", "tk").agg(F.collect_set(F.struct("eid", "etk")).alias("partners"), F.collect_set(F.when(F.col("rank") > 2 * reach, F.col("key"))).alias("asked"), F.first("ranges").alias("ranges"))
+        reach *= 2
+    out = out.groupBy("id", "tk").agg(F.max_by("ranges", "turn").alias("ranges")).where(F.size("ranges") > 0)
+    out = tables.save(out, "removals")
+    tables.drop(lines, held, pairs)
+    return out
 
 
 def _cut(batches):
@@ -220,9 +280,9 @@ def _cut(batches):
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(text, pa.string()), pa.array(kept, pa.int64()), pa.array(lost, pa.int64()), pa.array(cut, pa.int64())], [*rest, "text", "n_kept", "n_removed", "n_blocks"])
 
 
-def deduplicate(docs: DataFrame, least: int = 100, shortest: int = 20) -> DataFrame:
+def deduplicate(docs: DataFrame, least: int = 100) -> DataFrame:
     """doc_id, text (without the deleted lines), n_kept, n_removed (lines), n_blocks."""
-    gone = removals(docs, least, shortest).withColumnRenamed("tk", "gk")
+    gone = removals(docs, least).withColumnRenamed("tk", "gk")
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
     # always a sorted join: the texts' way doesn't change with the number of removals
     joined = src.join(gone.hint("merge"), (F.coalesce("doc_id", F.lit(LAST)) == F.col("id")) & (F.col("tk") == F.col("gk")), "left").select("doc_id", "text", "ranges")

@@ -319,6 +319,49 @@ def test_line_dedup(docs, none):
     assert lines.digests(none).count() == 0
 
 
+def all_pairs_lines(pairs, least=100):
+    """Every later document against every earlier one."""
+    uniq, out, code = sorted({(order(i), text(t)) for i, t in pairs}), {}, {}
+    cut = {k: k[1].split("\n") if k[1] else [] for k in uniq}
+    num = {k: [0 if not x.strip(" \t\n\x0b\x0c\r") else code.setdefault(x, len(code) + 1) for x in ls] for k, ls in cut.items()}
+    for n, k in enumerate(uniq):
+        gone = [False] * len(cut[k])
+        for e in uniq[:n]:
+            for a, b in lines.blocks(num[k], [len(x.encode()) + 1 for x in cut[k]], num[e], least):
+                gone[a:b] = [True] * (b - a)
+        left = [x for x, g in zip(cut[k], gone, strict=True) if not g]
+        out[k] = (len(left), sum(gone), hashlib.sha256("\n".join(left).encode()).hexdigest())
+    return out
+
+
+def same_as_all_pairs(spark, given):
+    want = all_pairs_lines(given)
+    got = lines.digests(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((order(r["doc_id"]), r["n_kept"], r["n_removed"], r["kept_sha256"]) for r in got) == sorted((order(i), *want[order(i), text(t)]) for i, t in given)
+    return {r["doc_id"]: r["n_removed"] for r in got}
+
+
+def test_line_dedup_tries_later_holders(spark):
+    few = [f"shared line number {i} of the block" for i in range(5)]
+    alone = [f"a line that only one document has {i}" for i in range(9)]
+    p, q = "P" * 120, "Q" * 120
+    given = [(1, "\n".join(x for pair in zip(few, alone, strict=False) for x in pair)), (2, "\n".join([alone[5], *few])), (3, "\n".join([*few, alone[6]]))]
+    given += [(11, f"{p}\n{alone[7]}\n{q}"), (12, q), (13, f"{q}\n{alone[8]}\n{p}")]
+    lost = same_as_all_pairs(spark, given)
+    assert lost[2] == 0 and lost[3] == 5 and lost[12] == 1 and lost[13] == 2
+
+
+def test_line_dedup_against_every_earlier_document(spark):
+    rng = random.Random(8)
+    some = ["", " ", "}", *[f"short {i}" for i in range(5)], *[f"a line of middling length, number {i}, and so on" for i in range(10)], *[c * 110 for c in "abcdef"]]
+    runs = [[rng.choice(some) for _ in range(rng.randrange(2, 7))] for _ in range(8)]
+    given = []
+    for i in range(60):
+        parts = [rng.choice(runs) if rng.random() < 0.7 else [rng.choice(some), f"own {i} {k}"] for k in range(rng.randrange(1, 7))]
+        given.append((i if i % 20 else None, "\n".join(x for part in parts for x in part)))
+    assert sum(same_as_all_pairs(spark, given).values()) > 100
+
+
 def test_patience_is_an_alignment():
     rng = random.Random(4)
     for _ in range(200):
