@@ -6,7 +6,8 @@ earlier one (smaller doc_id). Only pairs that can share a block need it: each do
 for each key and document, never all pairs. Where a key then still has a line that isn't deleted, because the alignment took another passage, the next
 holders follow, twice as many in each turn, until all have been tried or nothing of the key is left. No line is left out for being common or
 short. The alignment is a patience diff over line hashes: common ends are trimmed, lines unique on both
-sides are anchors by a longest increasing subsequence, and the gaps are aligned likewise. An aligned common block (lines that follow
+sides are anchors by a longest increasing subsequence, and the gaps are aligned likewise; in a gap without such lines the heaviest common block
+is aligned, and then what lies before and after it. An aligned common block (lines that follow
 each other on both sides) of at least `least` bytes is deleted from the later document.
 
 A deleted line still stands in an earlier document. Defined cases: null and empty text have no lines and lose nothing; blank
@@ -50,8 +51,73 @@ def line_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return h, end - start + 1, per
 
 
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned (i, j), increasing in both."""
+def places(lines: list[int], block: list[int]):
+    """Where `block` stands in `lines`, without overlaps."""
+    data, sought, at = np.array(lines, U).tobytes(), np.array(block, U).tobytes(), 0
+    while (at := data.find(sought, at)) >= 0:
+        if at % 8:
+            at += 8 - at % 8
+        else:
+            yield at // 8
+            at += len(sought)
+
+
+def heaviest(a: list[int], b: list[int], weights: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(place in a, place in b, lines) of the common block of most weight, and of its further copies in order; none if it weighs less than
+    `least`. A suffix automaton of b, in which a run of lines that a doesn't have is one state: time and memory grow with the lines."""
+    has = set(a)
+    follow, link, size, ends = [{}], [-1], [0], [-1]
+    last, foreign = 0, False
+    for j, x in enumerate(b):
+        if x not in has:
+            foreign = True
+            continue
+        for symbol in (None, x) if foreign else (x,):
+            new, p = len(size), last
+            follow.append({})
+            link.append(0)
+            size.append(size[last] + 1)
+            ends.append(j)
+            while p >= 0 and symbol not in follow[p]:
+                follow[p][symbol] = new
+                p = link[p]
+            if p >= 0:
+                q = follow[p][symbol]
+                if size[p] + 1 != size[q]:
+                    copy = len(size)
+                    follow.append(dict(follow[q]))
+                    link.append(link[q])
+                    size.append(size[p] + 1)
+                    ends.append(ends[q])
+                    while p >= 0 and follow[p].get(symbol) == q:
+                        follow[p][symbol] = copy
+                        p = link[p]
+                    link[q] = copy
+                    q = copy
+                link[new] = q
+            last = new
+        foreign = False
+    total = np.concatenate([[0], np.cumsum(weights)]).tolist()
+    best, at, state, n = 0, None, 0, 0
+    for i, x in enumerate(a):
+        while state and x not in follow[state]:
+            state = link[state]
+            n = size[state]
+        if x in follow[state]:
+            state, n = follow[state][x], n + 1
+            if total[i + 1] - total[i + 1 - n] > best:
+                best, at = total[i + 1] - total[i + 1 - n], (i + 1 - n, ends[state] + 1 - n, n)
+    if at is None or best < least:
+        return []
+    p, q, n = at
+    return [(p + i, q + j, n) for i, j in zip(places(a[p:], a[p : p + n]), places(b[q:], a[p : p + n]), strict=False)]
+
+
+def patience(a: list[int], b: list[int], weights: list[int] | None = None, least: int = 1) -> list[tuple[int, int]]:
+    """Aligned (i, j), increasing in both. `weights` of a's lines, 1 by default, 0 if blank: where no line is unique, common blocks of at least
+    `least` are aligned. A block inside a gap doesn't touch what is aligned outside it, so a lighter one would add nothing."""
+    if weights is None:
+        weights = [int(x != BLANK) for x in a]
     out, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         i, m, j, n = todo.pop()
@@ -84,6 +150,15 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
             chain.append(unique[k])
             k = back[k]
         if not chain:
+            if sum(weights[k] for k in range(i, m) if a[k] in seen_b) < least:
+                continue
+            p, q = i, j
+            for x, y, size in heaviest(a[i:m], b[j:n], weights[i:m], least):
+                todo.append((p, i + x, q, j + y))
+                p, q = i + x + size, j + y + size
+                out += zip(range(i + x, p), range(j + y, q), strict=True)
+            if p > i or q > j:
+                todo.append((p, m, q, n))
             continue
         chain = [(i - 1, j - 1), *chain[::-1], (m, n)]
         for (p, q), (r, s) in zip(chain[:-1], chain[1:], strict=True):
@@ -96,12 +171,13 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
 def blocks(later: list[int], sizes: list[int], earlier: list[int], least: int) -> list[tuple[int, int]]:
     """Line ranges of `later` that are aligned common blocks of at least `least` bytes in lines that aren't blank."""
     out, run = [], []
+    weights = [n if x != BLANK else 0 for x, n in zip(later, sizes, strict=True)]
 
     def close():
-        if run and sum(sizes[i] for i, _ in run if later[i] != BLANK) >= least:
+        if run and sum(weights[i] for i, _ in run) >= least:
             out.append((run[0][0], run[-1][0] + 1))
 
-    for pair in patience(later, earlier):
+    for pair in patience(later, earlier, weights, least):
         if run and (pair[0] != run[-1][0] + 1 or pair[1] != run[-1][1] + 1):
             close()
             run = []

@@ -372,6 +372,30 @@ def test_patience_is_an_alignment():
     assert lines.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
 
 
+def test_repeated_passages_are_aligned():
+    """No line of PQRS is unique: one of the copies is aligned all the same; two where both sides have two."""
+    one, two = [10, 1, 2, 3, 4, 11], [20, 1, 2, 3, 4, 21, 1, 2, 3, 4, 22]
+    for later, earlier in ((two, one), (one, two)):
+        assert [b - a for a, b in lines.blocks(later, [30] * len(later), earlier, 100)] == [4]
+        assert not lines.blocks(later, [20] * len(later), earlier, 100)
+    other = [30, 31, 1, 2, 3, 4, 32, 0, 1, 2, 3, 4, 33]
+    assert lines.blocks(two, [30] * len(two), other, 100) == [(1, 5), (6, 10)]
+    # a long gap of repeated lines
+    a, b = ([x for i in range(20_000) for x in (1, k + i)] for k in (100, 50_000))
+    assert len(lines.blocks([7, *a], [120] * (len(a) + 1), [8, *b], 100)) == 20_000
+
+
+def test_heaviest_block():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.randrange(1, 6) for _ in range(rng.randrange(1, 14))] for _ in range(2))
+        w = [rng.randrange(1, 9) for _ in a]
+        want = max((sum(w[i : i + n]) for i in range(len(a)) for n in range(1, len(a) - i + 1) if any(b[j : j + n] == a[i : i + n] for j in range(len(b)))), default=0)
+        got = lines.heaviest(a, b, w, 1)
+        assert all(a[i : i + n] == b[j : j + n] for i, j, n in got) and (sum(w[got[0][0] : got[0][0] + got[0][2]]) if got else 0) == want
+        assert not lines.heaviest(a, b, w, want + 1)
+
+
 # ---------------------------------------------------------------- 7
 
 
