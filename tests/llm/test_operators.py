@@ -372,6 +372,12 @@ def test_patience_is_an_alignment():
     assert lines.patience([1, 2, 3, 4], [1, 9, 3, 4]) == [(0, 0), (2, 2), (3, 3)]
 
 
+def test_line_dedup_of_short_lines(spark):
+    verse = "\n".join(f"v{i} {{" for i in range(30))
+    lost = same_as_all_pairs(spark, [(1, f"one\n{verse}\nend"), (2, f"two\n{verse}\nstop"), (3, "\n".join(verse.split("\n")[:10]))])
+    assert lost == {1: 0, 2: 30, 3: 0}
+
+
 def test_repeated_passages_are_aligned():
     """No line of PQRS is unique: one of the copies is aligned all the same; two where both sides have two."""
     one, two = [10, 1, 2, 3, 4, 11], [20, 1, 2, 3, 4, 21, 1, 2, 3, 4, 22]
