@@ -2,12 +2,13 @@
 
 A byte goes if a string of `length` (100) bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in the same
 one. Ranking every position would cost a row for each byte of the corpus, so only anchors are ranked: in each window of 100
-bytes the start of the 50-byte string with the smallest hash (leftmost of equals). Equal windows have the same anchor at the same
-place, about every 26th byte is an anchor, and each anchor owns a run of neighbouring window starts; the runs tile the document.
+bytes the start of the 51-byte string with the smallest hash (leftmost of equals). Equal windows have the same anchor at the same
+place, about every 26th byte is an anchor, and each anchor owns a run of neighbouring window starts; the runs tile the document. A window
+holds 50 such strings, so neighbouring anchors are at most 50 bytes apart and their strings leave no byte out.
 
 1. Copies of whole documents are set aside by content hash: all but the first are removed entirely.
-2. Rank 0 of an anchor names its 50 bytes. Anchors of unique rank own only windows that don't repeat, and leave.
-3. Doubling: the rank at 1, 2 and 4 anchors names the pair of an anchor's rank and the rank at the growing offset (with the
+2. Rank 0 of an anchor names its 51 bytes. Anchors of unique rank own only windows that don't repeat, and leave.
+3. Doubling, in three rounds: the rank at 1, 2 and 4 anchors names the pair of an anchor's rank and the rank at the growing offset (with the
    distance in bytes). Spark sorts the pairs, ties get one new rank, unique pairs leave. A rank whose span is past the threshold settles all
    windows inside its span at once: in every place but the first they repeat. Only equality of ranks matters here, so a rank
    is a 64-bit name, not a number in order; a settled span joins at least two of them and their distance.
@@ -48,12 +49,17 @@ def rolling(data: np.ndarray, size: int, seed: int) -> np.ndarray:
         return mix((sums[size:] - sums[:-size]) * powers(INVERSE, n)[: n - size + 1] + GOLDEN)
 
 
+def gram_size(length: int) -> int:
+    """Bytes that an anchor's rank 0 names: no fewer than neighbouring anchors can be apart (length - gram + 1), or a byte could escape both."""
+    return length // 2 + 1
+
+
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text, anchor, first start, last start, hash) of each run, in order; places are within the text."""
     empty = np.empty(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty, np.empty(0, U)
-    gram = length // 2
+    gram = gram_size(length)
     h = rolling(data, gram, 11)
     key = (h & ~((U(1) << PLACE) - U(1))) | np.arange(len(h), dtype=U)
     width, low = length - gram + 1, key
@@ -319,7 +325,7 @@ def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     tables.drop(held)
     a, low, high = (F.shiftright("x", 12), F.shiftright("x", 12) - F.shiftright("x", 6).bitwiseAND(F.lit(63)), F.shiftright("x", 12) - F.col("x").bitwiseAND(F.lit(63)))
     now = base.select("dn", "x", "r", a.alias("end"))
-    spans, ranks, gram, offset, turn = None, [], length // 2, 1, 0
+    spans, ranks, gram, offset, turn = None, [], gram_size(length), 1, 0
     by_place = Window.partitionBy("dn").orderBy("x")
     while True:
         now = now.withColumn("a", a).withColumn("low", low).withColumn("high", high)

@@ -84,6 +84,36 @@ def test_suffix_random(spark):
     assert sorted(map(tuple, suffix.digests(d).collect())) == sorted((i, *want[(i, t)]) for i, t in pairs)
 
 
+def test_suffix_byte_between_anchors(spark):
+    """Texts that differ in one byte only, where strings of half the length at anchors that are far apart leave it out."""
+    rng, pairs, planted = random.Random(11), [], 0
+    while planted < 6:
+        t = bytearray(rng.choice(b"abcdefghij ") for _ in range(500))
+
+        def low(t):
+            h = suffix.rolling(np.frombuffer(bytes(t), np.uint8), 50, 11) >> suffix.PLACE
+            return [s + int(h[s : s + 51].argmin()) for s in range(len(t) - 99)]
+
+        before = low(t)
+        for s in np.flatnonzero(np.diff(before) == 51):
+            u = bytearray(t)
+            u[before[s] + 50] = ord("x")
+            now = low(u)
+            if (now[s], now[s + 1]) == (before[s], before[s + 1]):
+                pairs += [(len(pairs), t.decode()), (len(pairs) + 1, u.decode())]
+                planted += 1
+                break
+    want = brute_suffix(pairs)
+    assert sorted(map(tuple, suffix.digests(spark.createDataFrame(pairs, "doc_id long, text string")).collect())) == sorted((i, *want[(i, t)]) for i, t in pairs)
+
+
+@pytest.mark.parametrize("length", [20, 21, 100, 101])
+def test_anchors_leave_no_byte_out(length):
+    data = np.random.default_rng(3).integers(97, 107, 200_000).astype(np.uint8)
+    _, a, _, _, _ = suffix.anchors(data, np.array([0, len(data)]), length)
+    assert np.diff(a).max() <= suffix.gram_size(length)
+
+
 # ---------------------------------------------------------------- 2
 
 
