@@ -187,6 +187,13 @@ def cross_page_summary_dedup(spark, sf_dir):
     return dedup.unique_sentences(d, "doc_id", "summary", 300).select("doc_id", "unique_summary")
 
 
+@query()
+def cross_page_summary_dedup_900(spark, sf_dir):
+    """The same on summaries of the reference's default size, 900 characters. No SQL: a test compares it with brute force."""
+    d = documents(spark, sf_dir).select("doc_id", ranking.summary(F.col("text"))["summary"].alias("summary"))
+    return dedup.unique_sentences(d, "doc_id", "summary").select("doc_id", "unique_summary")
+
+
 # ---------------------------------------------------------------- labels
 
 

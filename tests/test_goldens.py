@@ -208,6 +208,24 @@ def test_unique_sentences(spark):
     assert got[1] == got[2] == a and got[3].startswith("Kilo")
 
 
+def test_cross_page_summaries_of_full_size(spark, sf):
+    """Sentences of all summaries in order, each against every kept one before it."""
+    from lexforge.plans import catalogue
+
+    d = catalogue.documents(spark, sf).select("doc_id", F.udf(lambda t: ranking.summarise(t or "")[0])("text").alias("s"))
+    d = d.select("doc_id", "s", X.candidates(F.col("s")).alias("p")).withColumn("w", F.transform("p", X.summary_tokens))
+    kept, want = [], {}
+    for r in d.orderBy("doc_id").collect():
+        left = []
+        for sentence, words in zip(r["p"], map(set, r["w"]), strict=True):
+            if not any(len(words & k) * 100 >= 86 * len(words | k) for k in kept):
+                kept.append(words)
+                left.append(sentence)
+        want[r["doc_id"]] = (" ".join(left) or r["s"])[:900]
+    assert {r["doc_id"]: r["unique_summary"] for r in catalogue.QUERIES["cross_page_summary_dedup_900"](spark, sf).collect()} == want
+    assert max(map(len, want.values())) > 300
+
+
 def test_searches(spark):
     docs = spark.createDataFrame([(1, "s", "Cats surely like many different warm quiet places. Dogs surely like many different loud busy places."), (2, "r", None), (3, "q", "")], "doc_id long, source string, text string")
     assert [r["score"] for r in ranking.search_sentences(docs, "cats").collect()] == [1.0]
