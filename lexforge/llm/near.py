@@ -260,7 +260,8 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
     small_batches(spark)
     tables = Tables(spark)
     every = tables.save(sketches(docs, size, m), "sketches")
-    classes = every.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "tk")).alias("own"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tk")  # null ids come last
+    classes = every.where(F.col("cid").isNotNull()).groupBy("cid").agg(F.min("doc_id").alias("low"), F.min(row).alias("stays"), F.min(F.struct("doc_id", "tk")).alias("own"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = tables.save(classes, "classes")
 
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rows * k + 1, 2 * rows)) for k in range(m // rows)])
@@ -314,17 +315,18 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
         links = links.union(found)
         labels = tables.save(components(tables, links), "labels")
 
-    named = classes.select("cid", "low").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", F.coalesce("label", "cid").alias("label"))
-    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
-    named = tables.save(named.join(lowest, "label").select("cid", "component_id"), "named")
+    named = classes.select("cid", "low", "stays").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "low", "stays", F.coalesce("label", "cid").alias("label"))
+    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.min("stays").alias("stays"))
+    named = tables.save(named.select("cid", "label").join(lowest, "label").select("cid", "component_id", "stays"), "named")
     tables.drop(full, classes)
     out = every.join(named, "cid", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = F.when(F.col("n") > 0, row == F.col("stays")).otherwise(F.lit(True))
+    return out.select("doc_id", "tk", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
 def deduplicate(docs: DataFrame, **how) -> DataFrame:
-    """The documents that stay: the one of smallest doc_id of each component."""
+    """The documents that stay: of each component the one of smallest (doc_id, text hash), null ids last."""
     gone = near_groups(docs, **how).where(~F.col("kept")).select(F.col("doc_id").alias("_nd_id"), F.col("tk").alias("_nd_tk")).distinct()
     # always a sorted join: the texts' way doesn't change with the number of copies
     return docs.join(gone.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_nd_id")) & (text_key() == F.col("_nd_tk")), "left_anti")

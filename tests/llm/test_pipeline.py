@@ -56,3 +56,14 @@ def test_odd_tables(spark, tmp_path, kind):
             assert sorted((r["doc_id"] is None, r["doc_id"]) for r in now.collect() if r["doc_id"] is not None) == [(False, 1), (False, 5)]
         docs = now
     assert docs.where("not decodes").count() == 0
+
+
+def test_near_copies_of_null_and_shared_ids(spark):
+    """One of each group stays, whatever its ids are; texts without words are no copies."""
+    group = lambda word: [" ".join([word] + [f"{word}{i}" for i in range(60)] + [f"end{k}"]) for k in range(3)]
+    a, b, c = group("a"), group("b"), group("c")
+    rows = [(None, a[0]), (None, a[1]), (None, a[2]), (4, b[0]), (4, b[1]), (5, b[2]), (None, c[0]), (7, c[1]), (6, c[2]), (None, ""), (None, " "), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r["doc_id"], r["text"]) for r in pipeline.STAGES[2][1](spark, docs, "unused").collect()]
+    assert [sum(x in g for _, x in left) for g in (a, b, c)] == [1, 1, 1]
+    assert {i for i, x in left if x in b or x in c} == {4, 6} and len(left) == 6
