@@ -561,6 +561,38 @@ def test_trie(ordered):
     assert dict(out) == counts and len(out) == len(counts)
 
 
+def test_tries_decide(spark, sf):
+    """In the query's own path one trie holds many strings: labels are split, subtrees spilled, and terminals give owners and sizes."""
+    from collections import Counter
+
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()] + ["a b", "ab", "abc", None, ""]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    batches = exact._dealt(d, False).coalesce(1).sortWithinPartitions("_xd_norm").toArrow().combine_chunks().to_batches(max_chunksize=7)
+    done = []
+    trie = exact.PatriciaTrie(done.append)
+    assert len(list(exact._inserted(batches, trie))) == sum(b.num_rows for b in batches)
+    trie.close()
+    sizes = Counter(exact._normal(t) for t in texts)
+    assert trie.splits > 20 and trie.spilled > 100
+    assert sorted(v[1] for v in done) == sorted(sizes.values())
+    out = [r for b in exact._terminals(iter(batches)) for r in b.to_pylist()]
+    owners = {r["terminal"]: r for r in out if r["members"] is None}
+    assert len(owners) == len(sizes) and sorted(i for r in out for i in r["members"] or ()) == list(range(len(texts)))
+    for r in out:
+        for i in r["members"] or ():
+            mine = owners[r["terminal"]]
+            assert exact._normal(texts[i]) == exact._normal(texts[mine["keep_id"]]) and mine["group_size"] == sizes[exact._normal(texts[i])]
+
+
+def test_hot_text_in_steps(spark, monkeypatch):
+    monkeypatch.setattr(exact, "HELD_ROWS", 5)
+    d = spark.createDataFrame([(i, "hot text " + "  " * (i == 17) if i % 3 else f"own {i}") for i in range(60)], "doc_id long, text string").coalesce(2)
+    got = {r["doc_id"]: r for r in exact.groups(d).collect()}
+    assert len(got) == 60 and all(got[i]["keep_id"] == 17 and got[i]["group_size"] == 40 for i in range(60) if i % 3)
+    assert all(got[i]["kept"] == (i == 17 or i % 3 == 0) for i in range(60))
+    assert {r["doc_id"] for r in exact.deduplicate(d).collect()} == {17, *range(0, 60, 3)}
+
+
 # ---------------------------------------------------------------- 10
 
 
