@@ -6,19 +6,19 @@ is corrected for false positives with the fill of that language's slice, (hits /
 language with the largest corrected share wins.
 
 The fit is on a bounded sample of labelled rows: `per_language` rows of each language at most, those with the smallest hash of
-doc_id. An n-gram enters a language's filter if at least `least` sampled texts of that language have it and its share of the
+doc_id; rows whose hash is too large for that, by their language's count, go before the hashes are sorted, so a language that has a
+third of all rows costs its task no more than another. An n-gram enters a language's filter if at least `least` sampled texts of that language have it and its share of the
 language's texts is at least `purity` of the largest share that any language has. The table has a fixed size whatever the corpus
 (8 bytes << bits for up to 64 languages; words per slot grow with the languages), and is what gets broadcast.
 
-Defined cases: null text or no letter: `und`, score 0. Letters but no n-gram, or none known: the most frequent sampled language,
+Defined cases: null text or no letter (a character that `str.isalpha` takes; digits, number signs and symbols aren't letters): `und`, score 0. Letters but no n-gram, or none known: the most frequent sampled language,
 score 0. No labelled rows at all: `und`, score 0. Ties go to the language first by code point. Whole texts are read whatever
 their length. Repeated rows get equal answers. Empty table: empty result. Extra columns don't matter; a null doc_id is not held
-out and not learned from.
+out and not learned from. `reject` carries all columns through unless they are named `_li_language` or `_li_score`.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,10 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U, mix, plus, small_batches, steps, utf8
+from .common import GOLDEN, Tables, U, mix, plus, small_batches, steps, utf8
 
 N = 4
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that count as letters: A-Z made small, a-z, and all of a multi-byte character; the rest is a break.
 FOLD = np.full(256, 32, np.uint8)
 FOLD[97:123] = np.arange(97, 123)
@@ -81,7 +80,7 @@ class Filters:
         share = np.clip(share, 0, 1)
         langs, scores = [], []
         for i, text in enumerate(texts):
-            if not text or not k or not LETTER.search(text):
+            if not text or not k or not any(map(str.isalpha, text)):
                 langs.append("und")
                 scores.append(0.0)
                 continue
@@ -118,13 +117,23 @@ def _sample_grams(batches):
             yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in key >> 32], pa.string()), pa.array(key & 0xFFFFFFFF, pa.int64()), pa.array(n, pa.int64())], ["lang", "gram", "n"])
 
 
+def sampled(labelled: DataFrame, most: int) -> DataFrame:
+    """doc_id, lang of the `most` rows of each language with the smallest hashes. Hashes are even, so of n rows those below a share of
+    `most` / n, and eight standard deviations more, hold them all; only these are ranked."""
+    n = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    share = (F.lit(float(most)) + F.lit(8.0 * most**0.5 + 64)) / F.col("n")
+    place = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5  # 0 to 1, in order of the hash
+    few = labelled.select("doc_id", "lang").join(n, "lang").where(place <= share).select("doc_id", "lang").distinct()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    return few.withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, per_language: int = 1500, bits: int = 20, probes: int = 2, least: int = 2, purity: float = 0.1) -> Filters:
     """Filters of a sample of at most `per_language` labelled rows a language, none of them held out."""
     spark: SparkSession = docs.sparkSession
     small_batches(spark)
     labelled = docs.where(~held_out() & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = labelled.select("doc_id", "lang").distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang")
+    chosen = Tables(spark).save(sampled(labelled, per_language), "sample")
     # `per_language` rows a language at most, so they can be broadcast
     sample = labelled.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
     sizes = {r["lang"]: r["n"] for r in chosen.groupBy("lang").agg(F.count("*").alias("n")).collect()}

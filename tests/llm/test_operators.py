@@ -619,6 +619,68 @@ def test_language_edges(docs, spark):
     assert langid.predict(e, empty).where("lang_pred <> 'und'").count() == 0
 
 
+def test_language_sample(spark):
+    """The rows of smallest hash, whatever share of the table a language has; rows that repeat count once."""
+    rng = random.Random(4)
+    d = spark.createDataFrame([(i % 3000, rng.choice(["a"] * 30 + ["b"] * 3 + ["c"])) for i in range(4000)], "doc_id long, lang string")
+    got = {tuple(r) for r in langid.sampled(d, 40).collect()}
+    hashed = {}
+    for r in d.selectExpr("doc_id", "lang", "xxhash64(doc_id) h").distinct().collect():
+        hashed.setdefault(r["lang"], []).append((r["h"], r["doc_id"]))
+    assert got == {(i, lang) for lang, hs in hashed.items() for _, i in sorted(hs)[:40]}
+
+
+def brute_language(labelled, texts, least=2, purity=0.1):
+    """Exact sets of n-grams in place of filters, character by character."""
+
+    def grams(t):
+        b = [32, *(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c > 127 else 32 for c in t.encode()), 32]
+        return [tuple(b[i : i + 4]) for i in range(len(b) - 3) if b[i + 1] != 32 and b[i + 2] != 32]
+
+    count, sizes = {}, {}
+    for lang, t in labelled:
+        sizes[lang] = sizes.get(lang, 0) + 1
+        for g in set(grams(t)):
+            by = count.setdefault(g, {})
+            by[lang] = by.get(lang, 0) + 1
+    known = {lang: set() for lang in sizes}
+    for g, by in count.items():
+        top = max(n / sizes[lang] for lang, n in by.items())
+        for lang, n in by.items():
+            if n >= least and n / sizes[lang] >= purity * top:
+                known[lang].add(g)
+    names, out = sorted(sizes), []
+    common = max(names, key=lambda x: sizes[x]) if names else None
+    for t in texts:
+        if not names or not t or not any(c.isalpha() for c in t):
+            out.append(("und", 0.0))
+            continue
+        gs = grams(t)
+        share = [sum(g in known[x] for g in gs) / max(1, len(gs)) for x in names]
+        best = max(range(len(names)), key=lambda i: (share[i], -i))
+        out.append((names[best], share[best]) if share[best] else (common, 0.0))
+    return out
+
+
+def test_language_against_exact_sets(spark, sf):
+    """Same languages and scores as exact n-gram sets of the same rows; ties, repeated rows, nulls and short texts among them."""
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(9001, "½ ²", None), (9002, "Ⅷ ① 42", None), (9003, "q", None), (9004, "", None), (9005, None, "en"), (9006, "日本", "en"), (9006, "日本", "en"), (None, "Das ist ein Text", "de"), (9007, "a" * 300_000, None)]
+    d = d.union(spark.createDataFrame(odd, d.schema))
+    given = d.collect()
+    out_ = lambda i: i is not None and zlib.crc32(str(i).encode()) % 3 == 1
+    labelled = [(r["lang"], r["text"]) for r in given if r["lang"] and r["text"] is not None and r["doc_id"] is not None and not out_(r["doc_id"])]
+    want = {}
+    for r, (lang, score) in zip(given, brute_language(labelled, [r["text"] for r in given]), strict=True):
+        want[r["doc_id"], r["text"]] = (lang, score)
+    texts = {r["doc_id"]: r["text"] for r in given}
+    got = langid.identify(d).collect()
+    assert len(got) == len(given)
+    for r in got:
+        lang, score = want[r["doc_id"], texts[r["doc_id"]]]
+        assert r["lang_pred"] == lang and abs(r["score"] - score) < 0.01 and r["held_out"] == out_(r["doc_id"])
+
+
 def test_language_filters_against_sets():
     """No n-gram that was put in is missed, and false positives stay near the corrected rate."""
     rng = np.random.default_rng(3)
