@@ -93,8 +93,25 @@ r AS (SELECT *, cap / w AS ratio FROM w),
 l AS (SELECT *, (sum(size) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level FROM r WINDOW o AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT *, coalesce(least(cap, w * (SELECT arg_min(level, ratio) FROM l WHERE level <= ratio)), cap) AS target FROM l),
 k AS (SELECT *, CASE WHEN size > 0 THEN least(target / size, 3.0) ELSE 0.0 END AS rate FROM t),
-c AS (SELECT d.doc_id, d.size, k.size AS source_size, k.target, CAST(floor(k.rate) + CASE WHEN CAST(('0x' || left(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 12)) AS BIGINT) / 281474976710656.0 < k.rate - floor(k.rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
-  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source)
+a AS (SELECT d.doc_id, d.size, k.source, k.size AS source_size, k.target, k.rate, CAST(('0x' || left(md5('7:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 12)) AS BIGINT) AS h,
+  CASE WHEN d.size * 4 > k.size THEN 0 WHEN d.size * 16 > k.size THEN 1 WHEN d.size * 64 > k.size THEN 2 WHEN d.size * 256 > k.size THEN 3 WHEN d.size * 1024 > k.size THEN 4 WHEN d.size * 4096 > k.size THEN 5 ELSE 6 END AS k
+  FROM d JOIN k ON d.source IS NOT DISTINCT FROM k.source),
+g0 AS (SELECT source, k, CASE WHEN k < 6 THEN h END AS h, CAST(sum(size) AS BIGINT) AS s FROM a WHERE size > 0 GROUP BY 1, 2, 3),
+u AS (SELECT *, CAST(coalesce(sum(s) OVER (PARTITION BY source, k ORDER BY h ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS c, CAST(sum(s) OVER (PARTITION BY source, k) AS DOUBLE) AS w,
+  CAST(('0x' || left(md5('7:' || k || ':' || coalesce(source, 'null')), 12)) AS BIGINT) / 281474976710656.0 AS u FROM g0),
+p0 AS (SELECT source, rate - floor(rate) AS share, CAST(0 AS DOUBLE) AS words, CAST(0 AS DOUBLE) AS taken FROM k),
+"""
+    + "".join(
+        f"""f{k} AS (SELECT p.*, p.words + x.w AS now, least(greatest((share * (p.words + x.w) - taken) / x.w, 0.0), 1.0) AS f FROM p{k} p LEFT JOIN (SELECT DISTINCT source, w FROM u WHERE k = {k}) x ON x.source IS NOT DISTINCT FROM p.source),
+x{k} AS (SELECT u.source, u.k, u.h, u.s FROM u JOIN f{k} f ON u.source IS NOT DISTINCT FROM f.source AND u.k = {k} WHERE CASE WHEN u.c - u.u * u.w < 0 THEN u.c - u.u * u.w + u.w ELSE u.c - u.u * u.w END < f.f * u.w),
+p{k + 1} AS (SELECT f.source, f.share, coalesce(f.now, f.words) AS words, f.taken + coalesce(y.s, 0) AS taken FROM f{k} f LEFT JOIN (SELECT source, CAST(sum(s) AS DOUBLE) AS s FROM x{k} GROUP BY 1) y ON y.source IS NOT DISTINCT FROM f.source),
+"""
+        for k in range(6)
+    )
+    + """f6 AS (SELECT p.source, least(greatest((share * (p.words + x.w) - taken) / x.w, 0.0), 1.0) AS f FROM p6 p LEFT JOIN (SELECT DISTINCT source, w FROM u WHERE k = 6) x ON x.source IS NOT DISTINCT FROM p.source),
+x AS (SELECT * FROM x0 UNION ALL SELECT * FROM x1 UNION ALL SELECT * FROM x2 UNION ALL SELECT * FROM x3 UNION ALL SELECT * FROM x4 UNION ALL SELECT * FROM x5),
+c AS (SELECT a.doc_id, a.size, a.source_size, a.target, CAST(floor(a.rate) + CASE WHEN CASE WHEN a.k < 6 THEN x.h IS NOT NULL ELSE coalesce(a.h / 281474976710656.0 < f6.f, false) END THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM a JOIN f6 ON f6.source IS NOT DISTINCT FROM a.source LEFT JOIN x ON x.source IS NOT DISTINCT FROM a.source AND x.k = a.k AND x.h = a.h)
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies FROM c
 """,
     "op9_exact_dedup": r"""
