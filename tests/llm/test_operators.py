@@ -485,10 +485,10 @@ def test_mixing_comes_near_its_targets(spark, sf):
     rng = random.Random(1)
     d = spark.createDataFrame([(i, " ".join(["w"] * rng.randrange(5, 60)), f"s{i % 4}") for i in range(8000)], "doc_id long, text string, source string")
     assert all(abs(x - 1) < 0.02 for x in strays(mixing.plan(d), d.select("doc_id", "source")).values())
-    # a source of few and very unequal documents: one holds a third of its words; a common one is up to 6 % of the least target
-    d = spark.createDataFrame([(i, " ".join(["w"] * (900 if i < 3 else rng.randrange(5, 60))), f"s{i % 3}") for i in range(150)], "doc_id long, text string, source string")
+    # a source of few and very unequal documents: one holds a fifth of its words
+    d = spark.createDataFrame([(i, " ".join(["w"] * (400 if i < 3 else rng.randrange(5, 60))), f"s{i % 3}") for i in range(150)], "doc_id long, text string, source string")
     for seed in range(4):
-        assert all(abs(x - 1) < 0.07 for x in strays(mixing.plan(d, seed=seed), d.select("doc_id", "source")).values())
+        assert all(abs(x - 1) < 0.05 for x in strays(mixing.plan(d, seed=seed), d.select("doc_id", "source")).values())
     d = spark.read.parquet(f"{os.path.dirname(sf.rstrip('/'))}/sf0.01/documents.parquet")
     assert all(abs(x - 1) < 0.05 for x in strays(mixing.plan(d), d.select("doc_id", "source")).values())
 
