@@ -119,11 +119,11 @@ def _sample_grams(batches):
 
 def sampled(labelled: DataFrame, most: int) -> DataFrame:
     """doc_id, lang of the `most` rows of each language with the smallest hashes. Hashes are even, so of n rows those below a share of
-    `most` / n, and eight standard deviations more, hold them all; only these are ranked."""
+    `most` / n, and eight standard deviations more, hold them all; only these are ranked. The counts are a row a language, which `fit` also lists on the driver."""
     n = labelled.groupBy("lang").agg(F.count("*").alias("n"))
     share = (F.lit(float(most)) + F.lit(8.0 * most**0.5 + 64)) / F.col("n")
     place = F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5  # 0 to 1, in order of the hash
-    few = labelled.select("doc_id", "lang").join(n, "lang").where(place <= share).select("doc_id", "lang").distinct()
+    few = labelled.select("doc_id", "lang").join(F.broadcast(n), "lang").where(place <= share).select("doc_id", "lang").distinct()
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     return few.withColumn("r", rank).where(F.col("r") <= most).select("doc_id", "lang")
 
