@@ -68,7 +68,7 @@ ORACLES = {
 WITH m AS (SELECT conv_id, turn, role, min(coalesce(text, '')) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY 1, 2, 3),
 c AS (SELECT conv_id, turn, text FROM m WHERE role = 'user'),
 r AS (SELECT conv_id, turn, text FROM m WHERE role = 'assistant')
-SELECT c.conv_id, CAST(c.turn AS VARCHAR) AS call_id, c.turn, c.turn AS position, r.turn AS result_turn, 'reply' AS name,
+SELECT c.conv_id, CAST(c.turn AS VARCHAR) AS call_id, 'implied' AS kind, c.turn, row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) - 1 AS position, r.turn AS result_turn, 'reply' AS name,
   CASE WHEN length(c.text) > 400 THEN 'invalid' WHEN r.turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
   CASE WHEN length(c.text) > 400 THEN 'long:prompt' ELSE '' END AS problems,
   '{"arguments":{"prompt":' || CAST(to_json(c.text) AS VARCHAR) || ',"turn":' || c.turn || '},"id":"' || c.turn || '","name":"reply","result":' || coalesce(CAST(to_json(r.text) AS VARCHAR), 'null') || '}' AS record

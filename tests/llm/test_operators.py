@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on small documents with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import json
 import os
 import random
 import re
@@ -196,24 +197,121 @@ def test_sharding(docs, none):
 
 
 def test_chat(spark):
-    call = '{"tool_calls":[{"id":"b","name":"reply","arguments":{"turn":"3","prompt":"hi"},"depends":["a"]},{"id":"a","name":"reply","arguments":{"prompt":"é\\"","x":"1"}}]}'
+    call = '{"tool_calls":[{"id":"b","name":"reply","arguments":{"turn":3,"prompt":"hi"},"depends":["a"]},{"id":"a","name":"reply","arguments":{"prompt":"é\\"","x":"1"}}]}'
+    two = '{"tool_calls":[{"id":"c","name":"reply","arguments":{"turn":"7","prompt":5}},{"id":"3","name":"reply","arguments":"{\\"turn\\":1, \\"prompt\\":\\"p\\"}"},{"id":"d","name":"reply","arguments":[1]},{"name":"reply"},7]}'
     m = [
         (1, 0, "system", "s"), (1, 1, "user", "Hi\n"), (1, 2, "assistant", "Yo"), (1, 2, "assistant", "Yo"), (1, 3, "user", None),
-        (2, 0, "assistant", call), (2, 1, "tool", '{"tool_call_id":"a","content":"R"}'), (None, 0, "user", "x"), (3, None, "user", "x"),
-        (4, 0, "assistant", '{"tool_calls":[{"id":"p","name":"none","arguments":{},"depends":["q"]}]}'), (4, 1, "assistant", '{"tool_calls":[{"id":"q","name":"none","arguments":{},"depends":["p"]}]}'),
+        (2, 0, "assistant", call), (2, 0, "assistant", two), (2, 1, "tool", '{"tool_call_id":"a","content":"R"}'), (2, 1, "tool", '{"tool_call_id":"b","content":{"z":[1, {"y":2,"x":null}],"a":0.5}}'),
+        (2, 3, "user", "three"), (2, 4, "assistant", "four"), (2, 4, "tool", '{"tool_call_id":"3","content":null}'),
+        (None, 0, "user", "x"), (3, None, "user", "x"),
+        (4, 0, "assistant", '{"tool_calls":[{"id":"p","name":"none","arguments":{},"depends":["q"]}]}'), (4, 1, "assistant", '{"tool_calls":[{"id":"q","name":"none","arguments":{"k":{"b":1,"a":{"d":1,"c":[true,null]}}},"depends":["p"]}]}'),
         (5, 0, "user", "x" * 401), (6, 0, "assistant", '{"tool_calls": broken'),
     ]
     d = spark.createDataFrame([(*r, 1) for r in m], "conv_id long, turn long, role string, text string, position int")
-    got = {(r["conv_id"], r["call_id"]): r for r in chat.link(d).collect()}
-    assert got[1, "1"]["record"] == '{"arguments":{"prompt":"Hi\\n","turn":1},"id":"1","name":"reply","result":"Yo"}'
-    assert got[1, "1"]["status"] == "linked" and got[1, "3"]["status"] == "unanswered"
-    assert got[2, "a"]["problems"] == "missing:turn,unknown:x" and got[2, "a"]["result_turn"] == 1
-    assert got[2, "a"]["position"] < got[2, "b"]["position"]
-    assert got[4, "p"]["position"] is None and got[4, "q"]["problems"] == "tool:none"
-    assert got[5, "0"]["problems"] == "long:prompt" and len(got) == 7
+    rows = chat.link(d).collect()
+    got = {(r["conv_id"], r["call_id"], r["kind"][0]): r for r in rows}
+    assert got[1, "1", "i"]["record"] == '{"arguments":{"prompt":"Hi\\n","turn":1},"id":"1","name":"reply","result":"Yo"}'
+    assert got[1, "1", "i"]["status"] == "linked" and got[1, "3", "i"]["status"] == "unanswered"
+    assert got[2, "a", "s"]["problems"] == "missing:turn,unknown:x" and got[2, "a", "s"]["result_turn"] == 1
+    assert got[2, "a", "s"]["position"] < got[2, "b", "s"]["position"]
+    # both results of one turn are linked, nested values keep their types and come in order of their keys
+    assert got[2, "b", "s"]["record"] == '{"arguments":{"prompt":"hi","turn":3},"id":"b","name":"reply","result":"{\\"a\\":0.5,\\"z\\":[1,{\\"x\\":null,\\"y\\":2}]}"}'
+    assert got[2, "c", "s"]["problems"] == "type:prompt,type:turn" and got[2, "c", "s"]["record"].startswith('{"arguments":{"prompt":5,"turn":"7"}')
+    # a stated id that looks like a turn
+    assert got[2, "3", "s"]["status"] == "linked" and got[2, "3", "s"]["result_turn"] == 4 and got[2, "3", "i"]["record"].endswith('"result":"four"}')
+    assert got[2, "d", "s"]["problems"] == "type:arguments"
+    assert got[4, "p", "s"]["position"] is None and got[4, "q", "s"]["problems"] == "tool:none" and '{"k":{"a":{"c":[true,null],"d":1},"b":1}}' in got[4, "q", "s"]["record"]
+    assert got[5, "0", "i"]["problems"] == "long:prompt" and len(got) == len(rows) == 11
     assert chat.link(spark.createDataFrame([], d.schema)).count() == 0
 
 
+def brute_chat(table):
+    """Linking written out over plain lists: {(conversation, kind, id): (turn, result turn, problems, record, level)}."""
+    calls, results = {}, {}
+
+    def put(into, k, v):
+        into[k] = min(into.get(k, v), v, key=lambda x: (x[0], x[1] is not None, x[1] or ""))
+
+    def canon(x):
+        return json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+    for conv, turn, role, t in set(table):
+        if conv is None or turn is None:
+            continue
+        t = t or ""
+        try:
+            j = json.loads(t) if t.lstrip(" ").startswith("{") else None
+        except ValueError:
+            j = None
+        if role == "user":
+            put(calls, (conv, "implied", str(turn)), (turn, t))
+        if role == "assistant":
+            put(results, (conv, "implied", str(turn - 1)), (turn, t))
+            for c in (j or {}).get("tool_calls") or []:
+                if c.get("id") is not None:
+                    put(calls, (conv, "stated", c["id"]), (turn, canon(c)))
+        if role == "tool" and j and j.get("tool_call_id") is not None:
+            c = j.get("content")
+            put(results, (conv, "stated", j["tool_call_id"]), (turn, c if c is None or isinstance(c, str) else canon(c)))
+    out, needs = {}, {}
+    for (conv, kind, i), (turn, x) in calls.items():
+        c = {"name": "reply", "arguments": {"prompt": x, "turn": turn}} if kind == "implied" else json.loads(x)
+        args = c.get("arguments", {})
+        wrong = []
+        if c.get("name") != "reply":
+            wrong = [f"tool:{c.get('name') or ''}"]
+        else:
+            wrong += [f"unknown:{k}" for k in args if k not in ("prompt", "turn")] + [f"missing:{k}" for k in ("prompt", "turn") if k not in args]
+            wrong += ["type:prompt"] * ("prompt" in args and not isinstance(args["prompt"], str)) + ["type:turn"] * ("turn" in args and type(args["turn"]) is not int)
+            wrong += ["long:prompt"] * (isinstance(args.get("prompt"), str) and len(args["prompt"]) > 400)
+        r = results.get((conv, kind, i), (None, None))
+        out[conv, kind, i] = (turn, r[0], ",".join(sorted(wrong)), canon({"arguments": args, "id": i, "name": c.get("name"), "result": r[1]}))
+        needs[conv, kind, i] = {(conv, kind, d) for d in c.get("depends") or [] if (conv, kind, d) in calls}
+    return out, needs
+
+
+def test_chat_against_brute_force(spark):
+    """Random conversations with cycles, ids that clash with turns, forward and backward dependencies, nested and wrong arguments, repeated rows."""
+    rng = random.Random(12)
+    table = []
+    for conv in range(40):
+        ids = [rng.choice(["a", "b", "c", "d", "0", "1", "2", "5"]) for _ in range(rng.randrange(1, 9))]
+        for turn in range(rng.randrange(1, 9)):
+            kind = rng.choice(["user", "assistant", "calls", "tool", "tool", "calls"])
+            if kind == "calls":
+                made = []
+                for _ in range(rng.randrange(1, 4)):
+                    args = {"prompt": rng.choice(["p", 4, "é\n\"", "x" * 401, None]), "turn": rng.choice([1, "1", 1.5, [1], True]), "zz": {"b": [1, {"d": 0, "c": "ü"}], "a": None}}
+                    made.append({"name": rng.choice(["reply", "reply", "other"]), "id": rng.choice(ids), "arguments": {k: args[k] for k in rng.sample(sorted(args), rng.randrange(4))}, "depends": rng.sample(ids, rng.randrange(min(3, len(ids) + 1)))})
+                table.append((conv, turn, "assistant", json.dumps({"tool_calls": made}, ensure_ascii=False)))
+            elif kind == "tool":
+                table += [(conv, turn, "tool", json.dumps({"tool_call_id": rng.choice(ids), "content": rng.choice(["r", None, {"b": 1, "a": [2]}])})) for _ in range(2)]
+            else:
+                table.append((conv, turn, kind, rng.choice([None, "", "words\t", "{not json"])))
+    table += table[:30] + [(None, 1, "user", "x"), (1, None, "user", "x"), (2, 3, None, "x")]
+    want, needs = brute_chat(table)
+    rows = chat.link(spark.createDataFrame(table, "conv_id long, turn long, role string, text string").repartition(4)).collect()
+    got = {(r["conv_id"], r["kind"], r["call_id"]): r for r in rows}
+    assert len(rows) == len(got) and got.keys() == want.keys()
+    for k, w in want.items():
+        assert (got[k]["turn"], got[k]["result_turn"], got[k]["problems"], got[k]["record"]) == w
+    # positions: exactly the calls that reach no cycle have one, after all they need, and a conversation's run from 0
+    free = set()
+    while more := {k for k in needs if k not in free and needs[k] <= free}:
+        free |= more
+    assert {k for k, r in got.items() if r["position"] is not None} == free and len(free) < len(needs)
+    assert all(got[d]["position"] < got[k]["position"] for k in free for d in needs[k])
+    for conv in {k[0] for k in free}:
+        at = sorted(r["position"] for k, r in got.items() if k[0] == conv and k in free)
+        assert at == list(range(len(at)))
+
+
+def test_chat_numbers_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK", 3)
+    d = spark.createDataFrame([(1, 2 * i, "user", "x") for i in range(20)], "conv_id long, turn long, role string, text string")
+    assert {r["turn"]: r["position"] for r in chat.link(d).collect()} == {2 * i: i for i in range(20)}
+
+
 # ---------------------------------------------------------------- 5
 
 
