@@ -1,27 +1,30 @@
 """Removal of repeated byte strings by distributed prefix doubling over sampled positions.
 
 A byte goes if a string of `length` (100) bytes that covers it also starts earlier: in a document of smaller doc_id, or earlier in the same
-one. Ranking every position would cost a row for each byte of the corpus, so only anchors are ranked: in each window of 100
-bytes the start of the 51-byte string with the smallest hash (leftmost of equals). Equal windows have the same anchor at the same
+one. Ranking every position would cost a row for each byte of the corpus in every round, so anchors are ranked: in each window of `length`
+bytes the start of the 51-byte string (half the length, and one) with the smallest hash, leftmost of equals. Equal windows have the same anchor at the same
 place, about every 26th byte is an anchor, and each anchor owns a run of neighbouring window starts; the runs tile the document. A window
 holds 50 such strings, so neighbouring anchors are at most 50 bytes apart and their strings leave no byte out.
 
 1. Copies of whole documents are set aside by content hash: all but the first are removed entirely.
-2. Rank 0 of an anchor names its 51 bytes. Anchors of unique rank own only windows that don't repeat, and leave.
-3. Doubling, in three rounds: the rank at 1, 2 and 4 anchors names the pair of an anchor's rank and the rank at the growing offset (with the
-   distance in bytes). Spark sorts the pairs, ties get one new rank, unique pairs leave. A rank whose span is past the threshold settles all
-   windows inside its span at once: in every place but the first they repeat. Only equality of ranks matters here, so a rank
-   is a 64-bit name, not a number in order; a settled span joins at least two of them and their distance.
-4. What is left are windows at the edges of repeats: those of anchors that aren't the first with their rank 0 and that step 3 hasn't settled,
-   and, to compare, the unsettled ones of other anchors with those ranks. Anchors come sorted by rank 0 and place with the bytes of their
+2. Spark sorts the anchors by their string (96 bits of it) and place and numbers the strings in this order: rank 0. Anchors of unique rank own
+   only windows that don't repeat, and leave.
+3. Doubling: in each round an anchor's rank is paired with the rank at the growing offset (1, 2, 4 ... anchors) and the distance in bytes; Spark sorts the
+   pairs, equal pairs get one new number, unique pairs leave. A rank whose span is past the threshold settles all
+   windows inside its span at once: in every place but the first they repeat. After three rounds spans of ordinary text reach beyond the next
+   anchor's windows; where anchors lie more densely (runs of one character) the rounds go on until every shared rank does.
+4. What is left are windows at the edges of repeats, which begin or end between anchors: those of anchors that aren't the first with their rank 0 and that
+   step 3 hasn't settled, and, to compare, the unsettled ones of other anchors with those ranks. Anchors come sorted by rank 0 and place with the bytes of their
    runs, and of equal windows at equal distance from the anchor all but the first go. Ranks of more than `wide` anchors don't meet in one
-   task: their windows are sorted one by one by a 128-bit hash of their bytes, which spreads them and gives the same answer.
+   step: their windows are rows of their own (128-bit hashes), sorted likewise.
 
-Groups of any size only meet in counts, minima and sorted streams; a document's own list is the largest thing in memory. No
-pairs of documents are formed, and nothing is capped.
+Ranks are numbers of exact pairs, so a span's equality rests on that of its strings alone. Groups of any size only meet in counts, minima and sorted streams; a document's own list is the largest thing in memory. No
+pairs of documents are formed, and nothing is capped. Ranks that more anchors share than a task's fair part (told from one document in 64; a
+bounded number, broadcast) aren't dealt to one task: their first places are minima, which are combined before they move. Which ranks those are changes plans only.
 
-Defined cases: null and empty text: 0 bytes, nothing removed. Texts under 100 bytes keep all. Rows that repeat (doc_id, text) are one
-document, and each gets its answer; different texts with one doc_id come in order of a text hash; null ids come last. Empty table: empty result.
+Defined cases: null and empty text: 0 bytes, nothing removed. Texts under `length` bytes keep all; `length` may be 4 to 30,000. Rows that repeat (doc_id, text) are one
+document, and each gets its answer; different texts with one doc_id come in order of a text hash; null ids come last. Very long texts are
+ranked in overlapping pieces. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -32,10 +35,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BASE, GOLDEN, INVERSE, Tables, U, byte_table, mix, plus, powers, small_batches, steps, text_key, utf8
+from .common import BASE, GOLDEN, INVERSE, STEP_BYTES, Tables, U, byte_table, mix, plus, powers, small_batches, steps, text_key, utf8
 
 LAST = 2**63 - 1
 PLACE = U(34)  # bits of a position in a step of text
+#: Ranks of at least HEAVY anchors may be split, told from one document in SAMPLE.
+HEAVY, SAMPLE = 20_000, 64
+#: Window starts that one row asks for at most: bits of a number.
+ASKED = 60
+
+
+def _sums(data: np.ndarray, seed: int) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, U)
+    np.cumsum(byte_table(seed)[data] * powers(BASE, len(data))[: len(data)], out=sums[1:])
+    return sums
 
 
 def rolling(data: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -44,18 +57,42 @@ def rolling(data: np.ndarray, size: int, seed: int) -> np.ndarray:
     if n < size:
         return np.empty(0, U)
     with np.errstate(over="ignore"):
-        sums = np.zeros(n + 1, U)
-        np.cumsum(byte_table(seed)[data] * powers(BASE, n)[:n], out=sums[1:])
+        sums = _sums(data, seed)
         return mix((sums[size:] - sums[:-size]) * powers(INVERSE, n)[: n - size + 1] + GOLDEN)
 
 
+def rolling_at(data: np.ndarray, size: int, seed: int, at: np.ndarray) -> np.ndarray:
+    """The same at some places only, in order; texts of any length are read in pieces."""
+    out = np.empty(len(at), U)
+    with np.errstate(over="ignore"):
+        for start in range(0, len(data), STEP_BYTES):
+            i, j = np.searchsorted(at, [start, start + STEP_BYTES])
+            if i < j:
+                part, here = data[start : start + STEP_BYTES + size], at[i:j] - start
+                sums = _sums(part, seed)
+                out[i:j] = mix((sums[here + size] - sums[here]) * powers(INVERSE, len(part))[here] + GOLDEN)
+    return out
+
+
 def gram_size(length: int) -> int:
     """Bytes that an anchor's rank 0 names: no fewer than neighbouring anchors can be apart (length - gram + 1), or a byte could escape both."""
     return length // 2 + 1
 
 
 def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(text, anchor, first start, last start, hash) of each run, in order; places are within the text."""
+    """(text, anchor, first start, last start, hash) of each run, in order; places are within the text. One long text comes in pieces."""
+    if len(off) == 2 and len(data) > 2 * STEP_BYTES:
+        cols = [[], [], [], []]
+        for start in range(0, len(data) - length + 1, STEP_BYTES):
+            part = data[start : start + STEP_BYTES + length - 1]
+            _, a, low, high, h = anchors(part, np.array([0, len(part)]), length)
+            for c, x in zip(cols, (a + start, low + start, high + start, h), strict=True):
+                c.append(x)
+        a, low, high, h = (np.concatenate(c) for c in cols)
+        new = np.ones(len(a), bool)
+        new[1:] = a[1:] != a[:-1]  # a run may be cut by the end of a piece
+        first = np.flatnonzero(new)
+        return np.zeros(len(first), np.int64), a[first], low[first], high[np.append(first[1:], len(a)) - 1], h[first]
     empty = np.empty(0, np.int64)
     if len(data) < length:
         return empty, empty, empty, empty, np.empty(0, U)
@@ -83,64 +120,127 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     return text, a[first] - base, start[first] - base, start[last] - base, h[a[first]]
 
 
-def pack(a, low, high):
-    """Anchor with the bounds of its run, in one number: both lie less than 64 (length / 2 at most) before the anchor."""
-    return a * 4096 + (a - low) * 64 + (a - high)
+def width(length: int) -> int:
+    """Bits of the distance of an anchor from the bounds of its run, which lie less than half of `length` before it."""
+    return length.bit_length()
+
+
+def pack(a, low, high, bits: int):
+    """Anchor with the bounds of its run, in one number."""
+    return a << 2 * bits | (a - low) << bits | (a - high)
 
 
-def unpack(x):
-    a = x >> 12
-    return a, a - (x >> 6 & 63), a - (x & 63)
+def unpack(x, bits: int):
+    a, m = x >> 2 * bits, (1 << bits) - 1
+    return a, a - (x >> bits & m), a - (x & m)
 
 
 def _scan(length: int):
+    """Of each text its anchors: 64 and 32 bits of their strings, and, as runs tile the text, the steps from anchor to anchor and the runs' lengths."""
+
     def run(batches):
         for batch in batches:
             for part in steps(batch):
-                text, a, low, high, h = anchors(*utf8(part.column("text")), length)
+                data, off = utf8(part.column("text"))
+                text, a, low, high, h = anchors(data, off, length)
+                h2 = (rolling_at(data, gram_size(length), 12, a + off[text]) >> U(32)).astype(np.uint32)
                 cut = np.searchsorted(text, np.arange(part.num_rows + 1)).tolist()
-                x = pack(a, low, high)
                 spans = list(zip(cut[:-1], cut[1:], strict=True))
+                first = np.array([i for i, j in spans if i < j], np.int64)
+                step = np.diff(a, prepend=0)
+                step[first] = a[first]
+                x = np.stack([step, high - low + 1], axis=1).astype(np.uint16)
+                made = [pa.array([v[i:j].tobytes() for i, j in spans], pa.binary()) for v in (h, h2, x)]
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("tk"), *made], ["id", "tk", "g", "g2", "x"])
+
+    return run
+
+
+def _rows(bits: int):
+    """One row for each anchor."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 200):
+                part = batch.slice(i, 200)
+                g, off = utf8(part.column("g"))
+                g2, _ = utf8(part.column("g2"))
+                x, _ = utf8(part.column("x"))
+                n = np.diff(off) // 8
+                own, first = np.repeat(np.arange(len(n)), n), (off[:-1] // 8)[n > 0]
+                step, count = np.frombuffer(x.tobytes(), np.uint16).astype(np.int64).reshape(-1, 2).T
+                at, end = np.cumsum(step), np.cumsum(count)
+                before = np.zeros((2, len(n)), np.int64)
+                before[:, n > 0] = at[first] - step[first], end[first] - count[first]
+                at, end = at - before[0][own], end - before[1][own]
+                x = pack(at, end - count, end - 1, bits)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("tk"), pa.array([h[i:j].tobytes() for i, j in spans], pa.binary()), pa.array([x[i:j].tobytes() for i, j in spans], pa.binary())], ["id", "tk", "g", "x"]
+                    [pa.array(np.frombuffer(g.tobytes(), np.int64)), pa.array(np.frombuffer(g2.tobytes(), np.uint32).astype(np.int64)), pa.array(part.column("dn").to_numpy()[own]), pa.array(x)], ["g", "g2", "dn", "x"]
                 )
 
     return run
 
 
-def _rows(batches):
-    """One row for each anchor."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, 200):
-            part = batch.slice(i, 200)
-            g, off = utf8(part.column("g"))
-            x, _ = utf8(part.column("x"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g.tobytes(), np.int64)), pa.array(np.repeat(part.column("dn").to_numpy(), np.diff(off) // 8)), pa.array(np.frombuffer(x.tobytes(), np.int64))], ["r", "dn", "x"])
+def _numbered(keys: list[str]):
+    """Rows come by keys and place. Those of unique keys leave; the others get `n`, the number of their keys in this order, and `first`, whether
+    they are the first with them. Only the last row of a batch waits for the next, so a group of any number of rows needs no more memory than another."""
 
+    def run(batches):
+        from pyspark import TaskContext
 
-def _shared(batches):
-    """Rows come by rank and place. Those of unique rank leave; the others get `first`, whether they are the first of their rank. Only the
-    last row of a batch waits for the next, so a rank of any number of rows needs no more memory than another."""
-    tail, joined = None, False
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        if tail is not None:
-            batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
-        r = batch.column("r").to_numpy()
-        same = np.zeros(len(r) + 1, bool)
-        same[1:-1] = r[1:] == r[:-1]
-        same[0] = joined
-        keep = (same[:-1] | same[1:])[:-1]
-        if keep.any():
-            yield _marked(batch.slice(0, len(r) - 1), ~same[:-2]).filter(pa.array(keep))
-        tail, joined = batch.slice(len(r) - 1), bool(same[-2])
-    if tail is not None and joined:
-        yield _marked(tail, np.zeros(1, bool))
-
-
-def _marked(batch, first):
-    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(first)], [*batch.schema.names, "first"])
+        context = TaskContext.get()
+        made = (context.partitionId() if context else 0) << 40
+        tail, joined = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if tail is not None:
+                batch = pa.Table.from_batches([tail, batch]).combine_chunks().to_batches()[0]
+            size = batch.num_rows
+            same = np.zeros(size + 1, bool)
+            same[1:-1] = True
+            for k in keys:
+                v = batch.column(k).to_numpy()
+                same[1:-1] &= v[1:] == v[:-1]
+            same[0] = joined
+            n = made + np.cumsum(~same[:size])
+            keep = (same[:-1] | same[1:])[:-1]
+            if keep.any():
+                yield _marked(batch.slice(0, size - 1), n[:-1], ~same[: size - 1]).filter(pa.array(keep))
+            made = int(n[-1]) - (not same[size - 1])  # the waiting row's own number is given when it comes again
+            tail, joined = batch.slice(size - 1), bool(same[size - 1])
+        if tail is not None and joined:
+            yield _marked(tail, np.array([made]), np.zeros(1, bool))
+
+    return run
+
+
+def _marked(batch, n, first):
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(first)], [*batch.schema.names, "n", "first"])
+
+
+def fair(spark, total: int) -> int:
+    """Rows of one rank that a task may well take: a quarter of its part, so that not more than four ranks a task are above."""
+    return max(HEAVY, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def ranked(tables: Tables, source: DataFrame, rows_of, keys: list[str], total: int) -> DataFrame:
+    """rows_of(source), which has the keys, dn and x: those whose keys are shared, with `n` and `first`. `source` has one dn for each document."""
+    rows, least = rows_of(source), fair(source.sparkSession, total)
+    hot = None
+    if total >= least:
+        few = rows_of(source.where(F.pmod(F.xxhash64("dn"), F.lit(SAMPLE)) == 0))
+        hot = few.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") * SAMPLE >= least).select(*keys, (-1 - F.monotonically_increasing_id()).alias("n"))
+        hot = tables.save(hot, "hot")
+        hot = None if hot.isEmpty() else hot
+    cold = rows if hot is None else rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    cold = cold.repartition(*keys).sortWithinPartitions(*keys, "dn", "x").mapInArrow(_numbered(keys), plus(rows.schema, n="long", first="boolean"))
+    if hot is None:
+        return cold
+    lowest = rows.join(F.broadcast(hot), keys).groupBy(*keys, "n").agg(F.min(F.struct("dn", "x")).alias("lowest"))
+    lowest = tables.save(lowest, "lowest")
+    warm = rows.join(F.broadcast(lowest), keys).withColumn("first", F.struct("dn", "x") == F.col("lowest"))
+    return cold.unionByName(warm.select(*cold.columns))
 
 
 def _covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -151,8 +251,12 @@ def _covered(spans: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(mark[:n]) > 0
 
 
-def _unsettled(batches):
+def _unsettled(width_: int):
     """dn, rows (g, x, first), spans -> g, dn, x, first of the anchors that own a window outside the spans."""
+    return lambda batches: _outside(batches, width_)
+
+
+def _outside(batches, width_: int):
     for batch in batches:
         gs, xs, firsts, dns = [], [], [], []
         spans = batch.column("spans")
@@ -162,7 +266,7 @@ def _unsettled(batches):
             if spans[i].is_valid and len(spans[i].values):
                 s = spans[i].values
                 bounds = np.stack([s.field(0).to_numpy(), s.field(1).to_numpy()], axis=1)
-                _, low, high = unpack(x)
+                _, low, high = unpack(x, width_)
                 total = np.concatenate([[0], np.cumsum(_covered(bounds, int(high.max()) + 1))])
                 keep = total[high + 1] - total[low] < high - low + 1
                 g, x, first = g[keep], x[keep], first[keep]
@@ -176,7 +280,9 @@ def _unsettled(batches):
 
 def _windows(length: int):
     """The unsettled windows of the given anchors. An anchor of a class of bounded size gives one row: its class, the bytes of its run and
-    a mask of the starts in question. An anchor of a wide class gives a row for each window: a 128-bit hash of its bytes."""
+    a mask of the starts in question (runs of more than ASKED starts give several). An anchor of a wide class gives a row for each window: a
+    128-bit hash of its bytes."""
+    bits_ = width(length)
 
     def run(batches):
         for batch in batches:
@@ -186,25 +292,27 @@ def _windows(length: int):
                 dn = row.column("dn")[0].as_py()
                 given = row.column("rows")[0].values
                 g, x, wide = (given.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                _, low, high = unpack(x)
+                a, low, high = unpack(x, bits_)
                 n = int(high.max()) + 1
                 free = np.ones(n, bool)
                 s = row.column("spans")[0]
                 if s.is_valid and len(s.values):
                     free = ~_covered(np.stack([s.values.field(0).to_numpy(), s.values.field(1).to_numpy()], axis=1), n)
                 raw, out = data.tobytes(), []
-                for i, j, y, c, w in zip(low.tolist(), high.tolist(), x.tolist(), g.tolist(), wide.tolist(), strict=True):
+                for at, low_, high_, c, w in zip(a.tolist(), low.tolist(), high.tolist(), g.tolist(), wide.tolist(), strict=True):
                     if not w:
-                        bits = int.from_bytes(np.packbits(free[i : j + 1], bitorder="little").tobytes(), "little")
-                        if bits:
-                            out.append((c, y, bits, raw[i : j + length]))
+                        for i in range(low_, high_ + 1, ASKED):
+                            j = min(high_, i + ASKED - 1)
+                            bits = int.from_bytes(np.packbits(free[i : j + 1], bitorder="little").tobytes(), "little")
+                            if bits:
+                                out.append((c, pack(at, i, j, bits_), bits, raw[i : j + length]))
                 if out:
                     c, y, bits, held = zip(*out, strict=True)
                     yield _window_rows(c, [0] * len(out), dn, y, bits, held)
                 if wide.any():
                     at = np.flatnonzero(free & _covered(np.stack([low[wide], high[wide]], axis=1), n))
                     if len(at):
-                        h1, h2 = rolling(data, length, 21)[at], rolling(data, length, 22)[at]
+                        h1, h2 = rolling_at(data, length, 21, at), rolling_at(data, length, 22, at)
                         yield _window_rows(h1.view(np.int64), h2.view(np.int64), dn, at, None, None)
 
     return run
@@ -222,7 +330,7 @@ def _repeats(k1, dn, x, bits, held: pa.Array, length: int) -> tuple[np.ndarray,
     """(dn, first, last) of runs of starts whose window stands at an earlier place of the same class. Rows are in order of class and place, and
     classes are whole. A window's place in its class is its distance to the anchor, so equal windows of a class have equal distances."""
     data, off = utf8(held)
-    a, low, high = unpack(x)
+    a, low, high = unpack(x, width(length))
     count = high - low + 1
     row = np.repeat(np.arange(len(x)), count)
     k = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
@@ -303,7 +411,9 @@ def _spans(d, s, t):
 def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     """id, tk, copy, spans: for each document that loses bytes, whether all of it repeats an earlier document, else bounds (first, last) of
     the starts of repeated strings. id is doc_id, or the largest number for null; tk tells texts of one doc_id apart."""
-    spark = docs.sparkSession
+    if not 4 <= length <= 30_000:
+        raise ValueError("length must be from 4 to 30,000 bytes")
+    spark, bits, gram = docs.sparkSession, width(length), gram_size(length)
     small_batches(spark)
     tables = Tables(spark)
     src = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), text_key().alias("tk"))
@@ -313,42 +423,57 @@ def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     numbered = tables.save(first.repartitionByRange("id", "tk").sortWithinPartitions("id", "tk").withColumn("dn", F.monotonically_increasing_id()), "numbered")
     copies = names.select("id", "tk").distinct().join(numbered, ["id", "tk"], "left_anti")
 
-    scanned = src.mapInArrow(_scan(length), "id long, tk long, g binary, x binary").where(F.octet_length("g") > 0)
-    scanned = scanned.groupBy("id", "tk").agg(F.first("g").alias("g"), F.first("x").alias("x"))  # repeated rows are one document
-    held = tables.save(scanned.join(numbered, ["id", "tk"]).select("dn", "g", "x"), "anchors")
+    scanned = src.mapInArrow(_scan(length), "id long, tk long, g binary, g2 binary, x binary").where(F.octet_length("g") > 0)
+    scanned = scanned.groupBy("id", "tk").agg(*[F.first(c).alias(c) for c in ("g", "g2", "x")])  # repeated rows are one document
+    held = tables.save(scanned.join(numbered, ["id", "tk"]).select("dn", "g", "g2", "x"), "anchors")
+    total = held.agg(F.sum(F.octet_length("g"))).first()[0] or 0
+    base = ranked(tables, held, lambda t: t.mapInArrow(_rows(bits), "g long, g2 long, dn long, x long"), ["g", "g2"], total // 8)
+    base = tables.save(base.select(F.col("n").alias("r"), "dn", "x", "first"), "firsts")
+    tables.drop(held)
 
-    def settled(now: DataFrame) -> DataFrame:
-        """Ranks sorted with their places: those shared, with whether each is the first of its rank."""
-        return now.repartition("r").sortWithinPartitions("r", "dn", "x").mapInArrow(_shared, plus(now.schema, first="boolean"))
+    mask = F.lit((1 << bits) - 1)
+    a, low, high = F.shiftright("x", 2 * bits), F.shiftright("x", 2 * bits) - F.shiftright("x", bits).bitwiseAND(mask), F.shiftright("x", 2 * bits) - F.col("x").bitwiseAND(mask)
 
-    base = tables.save(settled(held.mapInArrow(_rows, "r long, dn long, x long")), "firsts")
-    tables.drop(held)
-    a, low, high = (F.shiftright("x", 12), F.shiftright("x", 12) - F.shiftright("x", 6).bitwiseAND(F.lit(63)), F.shiftright("x", 12) - F.col("x").bitwiseAND(F.lit(63)))
-    now = base.select("dn", "x", "r", a.alias("end"))
-    spans, ranks, gram, offset, turn = None, [], gram_size(length), 1, 0
-    by_place = Window.partitionBy("dn").orderBy("x")
+    def paired(offset: int, turn: int):
+        """Each anchor's rank with that at the offset, where the spans meet; `after` is the anchor behind it."""
+
+        def rows(t: DataFrame) -> DataFrame:
+            by_place = Window.partitionBy("dn").orderBy("x")
+            t = t.withColumn("a", a).withColumn("low", low).withColumn("high", high)
+            t = t.select("*", *[F.lead(c, offset).over(by_place).alias(f"next_{c}") for c in ("r", "a", "low", "end")])
+            meets = (F.col("next_low") == F.col("high") + 1) if turn == 0 else (F.col("next_a") == F.col("end"))
+            after = F.col("next_a") if turn == 0 else F.col("after")
+            return t.where(meets).select("r", (F.col("next_a") - F.col("a")).alias("far"), "next_r", "dn", "x", F.col("next_end").alias("end"), after.alias("after"))
+
+        return rows
+
+    now = base.select("r", "dn", "x", a.alias("end"), a.alias("after"))
+    spans, ranks, offset, turn = None, [], 1, 0
     while True:
-        now = now.withColumn("a", a).withColumn("low", low).withColumn("high", high)
-        ahead = {c: F.lead(c, offset).over(by_place) for c in ("r", "a", "low", "end")}
-        now = now.select("*", *[v.alias(f"next_{c}") for c, v in ahead.items()])
-        meets = (F.col("next_low") == F.col("high") + 1) if turn == 0 else (F.col("next_a") == F.col("end"))
-        pair = F.xxhash64(F.lit(turn), "r", F.col("next_a") - F.col("a"), "next_r")
-        now = now.where(meets).select("dn", "x", pair.alias("r"), F.col("next_end").alias("end"))
-        now = tables.save(settled(now), "ranks")
+        now = ranked(tables, now, paired(offset, turn), ["r", "far", "next_r"], now.count()).select(F.col("n").alias("r"), "dn", "x", "end", "after", "first")
+        now = tables.save(now, "ranks")
         ranks.append(now)
         past = F.col("end") + gram - a >= length
         new = now.where(~F.col("first") & past).select("dn", a.alias("s"), (F.col("end") + gram - length).alias("t"))
         spans = new if spans is None else spans.union(new)
         offset, turn = max(1, 2**turn), turn + 1
-        if turn == 3:
-            break
+        if turn >= 3:
+            # spans that reach past the windows up to the anchor behind need not grow
+            now = now.where(F.col("end") + gram < F.col("after") + length)
+            if now.isEmpty():
+                break
     spans = tables.save(spans.groupBy("dn").agg(F.collect_list(F.struct("s", "t")).alias("spans")), "spans")
     tables.drop(*ranks)
     per_doc = base.groupBy("dn").agg(F.collect_list(F.struct(F.col("r").alias("g"), "x", "first")).alias("rows")).join(spans, "dn", "left")
-    loose = tables.save(per_doc.mapInArrow(_unsettled, "g long, dn long, x long, first boolean"), "unsettled")
+    loose = tables.save(per_doc.mapInArrow(_unsettled(bits), "g long, dn long, x long, first boolean"), "unsettled")
     tables.drop(base)
-    asked = loose.groupBy("g").agg(F.count("*").alias("c"), F.bool_or(~F.col("first")).alias("q")).where("q").select("g", (F.col("c") > wide).alias("wide"))
-    chosen = loose.join(asked, "g").groupBy("dn").agg(F.collect_list(F.struct("g", "x", "wide")).alias("rows")).join(spans, "dn", "left").join(numbered, "dn")
+    asked = loose.groupBy("g").agg(F.count("*").alias("c"), F.bool_or(~F.col("first")).alias("q")).where("q").select("g", (F.col("c") > wide).alias("wide"), "c")
+    asked = tables.save(asked, "asked")
+    # ranks above a task's fair part are few: they meet their anchors where those are
+    heavy = F.broadcast(asked.where(F.col("c") >= fair(spark, total // 8)).drop("c"))
+    asked = asked.where(F.col("c") < fair(spark, total // 8)).drop("c")
+    chosen = loose.join(heavy, "g", "left_anti").join(asked, "g").unionByName(loose.join(heavy, "g"))
+    chosen = chosen.groupBy("dn").agg(F.collect_list(F.struct("g", "x", "wide")).alias("rows")).join(spans, "dn", "left").join(numbered, "dn")
     chosen = tables.save(chosen.select("id", "tk", "dn", "rows", "spans"), "chosen")
     tables.drop(loose)
     windows = src.join(chosen, ["id", "tk"]).select("dn", "text", "rows", "spans").mapInArrow(_windows(length), "k1 long, k2 long, dn long, x long, bits long, held binary")

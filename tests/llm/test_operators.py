@@ -66,8 +66,11 @@ def brute_suffix(pairs, n=100):
     return out
 
 
-@pytest.mark.parametrize("wide", [1000, 1])
-def test_suffix(spark, docs, wide, monkeypatch):
+@pytest.mark.parametrize("wide,heavy", [(1000, 20_000), (1, 20_000), (1000, 2)])
+def test_suffix(spark, docs, wide, heavy, monkeypatch):
+    monkeypatch.setattr(suffix, "HEAVY", heavy)
+    if heavy == 2:  # ranks of two anchors are split, and each is seen
+        monkeypatch.setattr(suffix, "SAMPLE", 1)
     plain = suffix.starts
     monkeypatch.setattr(suffix, "starts", lambda d, length: plain(d, length, wide))
     # texts of one id come in order of a hash, so the brute-force version gets one text an id
@@ -109,6 +112,52 @@ def test_suffix_byte_between_anchors(spark):
     assert sorted(map(tuple, suffix.digests(spark.createDataFrame(pairs, "doc_id long, text string")).collect())) == sorted((i, *want[(i, t)]) for i, t in pairs)
 
 
+@pytest.mark.parametrize("length", [4, 60, 200, 1000])
+def test_suffix_of_other_lengths(spark, length):
+    rng = random.Random(length)
+    words = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 400))) for _ in range(6)]
+    pairs = [(i, "".join(rng.choice([w, w[rng.randrange(len(w)) :], "=" * rng.randrange(2500), f"own {i} {rng.random()}"]) for w in rng.sample(words, 3))) for i in range(25)]
+    want = brute_suffix(pairs, length)
+    assert sorted(map(tuple, suffix.digests(spark.createDataFrame(pairs, "doc_id long, text string"), length).collect())) == sorted((i, *want[(i, t)]) for i, t in pairs)
+
+
+def test_suffix_odd_tables(spark, none):
+    assert suffix.digests(none).count() == 0
+    with pytest.raises(ValueError):
+        suffix.digests(none, 3)
+    short = spark.createDataFrame([(1, None), (2, "x"), (None, "")], "doc_id long, text string")
+    assert sorted((order(r[0]), *r[1:4]) for r in suffix.digests(short).collect()) == [(1, 0, 0, 0), (2, 1, 0, 0), (2**63 - 1, 0, 0, 0)]
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Anchors of a text are the same whether it is read at once or in pieces."""
+    data = np.random.default_rng(3).integers(97, 101, 60_000).astype(np.uint8)
+    data[20_000:30_000] = 61
+    whole = suffix.anchors(data, np.array([0, len(data)]), 100)
+    at = suffix.rolling_at(data, 51, 12, whole[1])
+    monkeypatch.setattr(suffix, "STEP_BYTES", 7_000)
+    for x, y in zip(whole, suffix.anchors(data, np.array([0, len(data)]), 100), strict=True):
+        assert (x == y).all()
+    assert (suffix.rolling_at(data, 51, 12, whole[1]) == at).all() and (at == suffix.rolling(data, 51, 12)[whole[1]]).all()
+
+
+def test_numbers_by_order():
+    """Sorted keys in batches of any size: equal ones get one number in ascending order, unique ones leave."""
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    for size in (1, 2, 3, 50):
+        keys = sorted((rng.randrange(9), rng.randrange(3)) for _ in range(40))
+        t = pa.table({"k": [k for k, _ in keys], "l": [v for _, v in keys], "dn": list(range(40))})
+        out = [r for b in suffix._numbered(["k", "l"])(iter(t.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+        shared = [k for k in keys if keys.count(k) > 1]
+        assert [(r["k"], r["l"]) for r in out] == shared and [r["first"] for r in out] == [i == 0 or shared[i - 1] != k for i, k in enumerate(shared)]
+        by = {}
+        for r in out:
+            by.setdefault((r["k"], r["l"]), set()).add(r["n"])
+        assert all(len(v) == 1 for v in by.values()) and [min(by[k]) for k in sorted(by)] == sorted(set().union(*by.values()))
+
+
 @pytest.mark.parametrize("length", [20, 21, 100, 101])
 def test_anchors_leave_no_byte_out(length):
     data = np.random.default_rng(3).integers(97, 107, 200_000).astype(np.uint8)
