@@ -19,8 +19,9 @@ holds 50 such strings, so neighbouring anchors are at most 50 bytes apart and th
    step: their windows are rows of their own (128-bit hashes), sorted likewise.
 
 Ranks are numbers of exact pairs, so a span's equality rests on that of its strings alone. Groups of any size only meet in counts, minima and sorted streams; a document's own list is the largest thing in memory. No
-pairs of documents are formed, and nothing is capped. Ranks that more anchors share than a task's fair part (told from one document in 64; a
-bounded number, broadcast) aren't dealt to one task: their first places are minima, which are combined before they move. Which ranks those are changes plans only.
+pairs of documents are formed, and nothing is capped. Ranks that more anchors share than a task's fair part (told from one document in 64; four
+a task at most) are dealt to all tasks. The first place of each task counts as first in step 3, so it isn't settled there, and step 4 compares these few. Which
+ranks those are changes plans only.
 
 Defined cases: null and empty text: 0 bytes, nothing removed. Texts under `length` bytes keep all; `length` may be 4 to 30,000. Rows that repeat (doc_id, text) are one
 document, and each gets its answer; different texts with one doc_id come in order of a text hash; null ids come last. Very long texts are
@@ -74,6 +75,19 @@ def rolling_at(data: np.ndarray, size: int, seed: int, at: np.ndarray) -> np.nda
     return out
 
 
+def strings(data: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit name of data[i:i + size] for each i, not yet mixed."""
+    with np.errstate(over="ignore"):
+        sums = _sums(data, 11)
+        return (sums[size:] - sums[:-size]) * powers(INVERSE, len(data))[: len(data) - size + 1]
+
+
+def order_of(h: np.ndarray) -> np.ndarray:
+    """What anchors are the smallest by: one product, whose upper bits depend on all of h."""
+    with np.errstate(over="ignore"):
+        return h * GOLDEN
+
+
 def gram_size(length: int) -> int:
     """Bytes that an anchor's rank 0 names: no fewer than neighbouring anchors can be apart (length - gram + 1), or a byte could escape both."""
     return length // 2 + 1
@@ -97,8 +111,8 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     if len(data) < length:
         return empty, empty, empty, empty, np.empty(0, U)
     gram = gram_size(length)
-    h = rolling(data, gram, 11)
-    key = (h & ~((U(1) << PLACE) - U(1))) | np.arange(len(h), dtype=U)
+    h = strings(data, gram)
+    key = (order_of(h) & ~((U(1) << PLACE) - U(1))) | np.arange(len(h), dtype=U)
     width, low = length - gram + 1, key
     done = 1
     while done < width:  # minimum over `width` by doubling
@@ -117,7 +131,7 @@ def anchors(data: np.ndarray, off: np.ndarray, length: int) -> tuple[np.ndarray,
     last = np.append(first[1:], len(start)) - 1
     text = own[first]
     base = off[text]
-    return text, a[first] - base, start[first] - base, start[last] - base, h[a[first]]
+    return text, a[first] - base, start[first] - base, start[last] - base, mix(h[a[first]])
 
 
 def width(length: int) -> int:
@@ -181,9 +195,10 @@ def _rows(bits: int):
     return run
 
 
-def _numbered(keys: list[str]):
+def _numbered(keys: list[str], hot: np.ndarray | None = None):
     """Rows come by keys and place. Those of unique keys leave; the others get `n`, the number of their keys in this order, and `first`, whether
-    they are the first with them. Only the last row of a batch waits for the next, so a group of any number of rows needs no more memory than another."""
+    they are the first with them. Only the last row of a batch waits for the next, so a group of any number of rows needs no more memory than another.
+    Rows of split keys (whose hash, in the sorted `hot`, they bring along) all stay; their number is that of the hash, below 0."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -205,17 +220,22 @@ def _numbered(keys: list[str]):
             same[0] = joined
             n = made + np.cumsum(~same[:size])
             keep = (same[:-1] | same[1:])[:-1]
+            if hot is not None:
+                keep |= batch.column("hot").is_valid().to_numpy(zero_copy_only=False)[:-1]
             if keep.any():
-                yield _marked(batch.slice(0, size - 1), n[:-1], ~same[: size - 1]).filter(pa.array(keep))
+                yield _marked(batch.slice(0, size - 1), n[:-1], ~same[: size - 1], hot).filter(pa.array(keep))
             made = int(n[-1]) - (not same[size - 1])  # the waiting row's own number is given when it comes again
             tail, joined = batch.slice(size - 1), bool(same[size - 1])
-        if tail is not None and joined:
-            yield _marked(tail, np.array([made]), np.zeros(1, bool))
+        if tail is not None and (joined or (hot is not None and tail.column("hot").null_count == 0)):
+            yield _marked(tail, np.array([made]), np.array([not joined]), hot)
 
     return run
 
 
-def _marked(batch, n, first):
+def _marked(batch, n, first, hot):
+    if hot is not None:
+        own = batch.column("hot")
+        n = np.where(own.is_valid().to_numpy(zero_copy_only=False), -1 - np.searchsorted(hot, own.fill_null(0).to_numpy()), n)
     return pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(first)], [*batch.schema.names, "n", "first"])
 
 
@@ -224,23 +244,26 @@ def fair(spark, total: int) -> int:
     return max(HEAVY, total // (4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
-def ranked(tables: Tables, source: DataFrame, rows_of, keys: list[str], total: int) -> DataFrame:
-    """rows_of(source), which has the keys, dn and x: those whose keys are shared, with `n` and `first`. `source` has one dn for each document."""
-    rows, least = rows_of(source), fair(source.sparkSession, total)
-    hot = None
+def ranked(tables: Tables, source: DataFrame, rows_of, keys: list[str], total: int, name: str) -> DataFrame:
+    """A table of rows_of(source), which has the keys, dn and x: those whose keys are shared, with `n` and `first`. `source` has one dn for each
+    document. Keys above a task's fair part are listed (`fair` bounds how many), and their rows dealt to all tasks: they have numbers below 0 and a first place
+    in each task, one of which is the first of all."""
+    rows, spark = rows_of(source), source.sparkSession
+    least = fair(spark, total)
+    hot = []
     if total >= least:
         few = rows_of(source.where(F.pmod(F.xxhash64("dn"), F.lit(SAMPLE)) == 0))
-        hot = few.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") * SAMPLE >= least).select(*keys, (-1 - F.monotonically_increasing_id()).alias("n"))
-        hot = tables.save(hot, "hot")
-        hot = None if hot.isEmpty() else hot
-    cold = rows if hot is None else rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    cold = cold.repartition(*keys).sortWithinPartitions(*keys, "dn", "x").mapInArrow(_numbered(keys), plus(rows.schema, n="long", first="boolean"))
-    if hot is None:
-        return cold
-    lowest = rows.join(F.broadcast(hot), keys).groupBy(*keys, "n").agg(F.min(F.struct("dn", "x")).alias("lowest"))
-    lowest = tables.save(lowest, "lowest")
-    warm = rows.join(F.broadcast(lowest), keys).withColumn("first", F.struct("dn", "x") == F.col("lowest"))
-    return cold.unionByName(warm.select(*cold.columns))
+        hot = few.groupBy(*keys).agg(F.count("*").alias("c")).where(F.col("c") * SAMPLE >= least).select(*keys, F.xxhash64(*keys).alias("hash")).collect()
+    if not hot:
+        dealt = rows.repartition(*keys).sortWithinPartitions(*keys, "dn", "x")
+        return tables.save(dealt.mapInArrow(_numbered(keys), plus(rows.schema, n="long", first="boolean")), name)
+    same = F.xxhash64(*keys).isin([r["hash"] for r in hot])
+    for k in keys:
+        same &= F.col(k).isin([r[k] for r in hot])
+    rows = rows.withColumn("hot", F.when(same, F.xxhash64(*keys)))
+    deal = F.when(F.col("hot").isNotNull(), F.xxhash64("dn")).otherwise(F.lit(0))
+    dealt = rows.repartition(*keys, deal).sortWithinPartitions(*keys, "dn", "x")
+    return tables.save(dealt.mapInArrow(_numbered(keys, np.unique([r["hash"] for r in hot])), plus(rows.schema, n="long", first="boolean")), name)
 
 
 def _covered(spans: np.ndarray, n: int) -> np.ndarray:
@@ -427,47 +450,56 @@ def starts(docs: DataFrame, length: int = 100, wide: int = 1000) -> DataFrame:
     scanned = scanned.groupBy("id", "tk").agg(*[F.first(c).alias(c) for c in ("g", "g2", "x")])  # repeated rows are one document
     held = tables.save(scanned.join(numbered, ["id", "tk"]).select("dn", "g", "g2", "x"), "anchors")
     total = held.agg(F.sum(F.octet_length("g"))).first()[0] or 0
-    base = ranked(tables, held, lambda t: t.mapInArrow(_rows(bits), "g long, g2 long, dn long, x long"), ["g", "g2"], total // 8)
-    base = tables.save(base.select(F.col("n").alias("r"), "dn", "x", "first"), "firsts")
+    base = ranked(tables, held, lambda t: t.mapInArrow(_rows(bits), "g long, g2 long, dn long, x long"), ["g", "g2"], total // 8, "firsts")
+    at, base = base, base.select(F.col("n").alias("r"), "dn", "x", "first")
     tables.drop(held)
 
     mask = F.lit((1 << bits) - 1)
-    a, low, high = F.shiftright("x", 2 * bits), F.shiftright("x", 2 * bits) - F.shiftright("x", bits).bitwiseAND(mask), F.shiftright("x", 2 * bits) - F.col("x").bitwiseAND(mask)
+
+    def parts(x: str):
+        """Anchor and bounds of its run."""
+        a = F.shiftright(x, 2 * bits)
+        return a, a - F.shiftright(x, bits).bitwiseAND(mask), a - F.col(x).bitwiseAND(mask)
 
     def paired(offset: int, turn: int):
-        """Each anchor's rank with that at the offset, where the spans meet; `after` is the anchor behind it."""
+        """Each anchor's rank with that at the offset, where the spans meet. Equal pairs have one shape: the distance, the distance of the last
+        anchor of the span and that of the anchor behind the first, 21 bits each."""
 
         def rows(t: DataFrame) -> DataFrame:
             by_place = Window.partitionBy("dn").orderBy("x")
-            t = t.withColumn("a", a).withColumn("low", low).withColumn("high", high)
-            t = t.select("*", *[F.lead(c, offset).over(by_place).alias(f"next_{c}") for c in ("r", "a", "low", "end")])
-            meets = (F.col("next_low") == F.col("high") + 1) if turn == 0 else (F.col("next_a") == F.col("end"))
-            after = F.col("next_a") if turn == 0 else F.col("after")
-            return t.where(meets).select("r", (F.col("next_a") - F.col("a")).alias("far"), "next_r", "dn", "x", F.col("next_end").alias("end"), after.alias("after"))
+            ahead = ["r", "x"] if turn == 0 else ["r", "x", "shape"]
+            t = t.select("dn", *ahead, *[F.lead(c, offset).over(by_place).alias(f"next_{c}") for c in ahead])
+            (a, _, high), (then, low, _) = parts("x"), parts("next_x")
+            far = then - a
+            meets = (low == high + 1) if turn == 0 else (far == span("shape"))
+            reach, gap = (far, far) if turn == 0 else (far + span("next_shape"), F.col("shape").bitwiseAND(F.lit((1 << 21) - 1)))
+            return t.where(meets).select("r", "next_r", (F.shiftleft(far, 42) + F.shiftleft(reach, 21) + gap).alias("shape"), "dn", "x")
 
         return rows
 
-    now = base.select("r", "dn", "x", a.alias("end"), a.alias("after"))
+    def span(shape: str):
+        return F.shiftright(shape, 21).bitwiseAND(F.lit((1 << 21) - 1))
+
+    now, reach, first_at = base.select("r", "dn", "x"), span("shape") + gram, parts("x")[0]
     spans, ranks, offset, turn = None, [], 1, 0
     while True:
-        now = ranked(tables, now, paired(offset, turn), ["r", "far", "next_r"], now.count()).select(F.col("n").alias("r"), "dn", "x", "end", "after", "first")
-        now = tables.save(now, "ranks")
-        ranks.append(now)
-        past = F.col("end") + gram - a >= length
-        new = now.where(~F.col("first") & past).select("dn", a.alias("s"), (F.col("end") + gram - length).alias("t"))
+        made = ranked(tables, now, paired(offset, turn), ["r", "next_r", "shape"], now.count(), "ranks")
+        ranks.append(made)
+        new = made.where(~F.col("first") & (reach >= length)).select("dn", first_at.alias("s"), (first_at + reach - length).alias("t"))
         spans = new if spans is None else spans.union(new)
+        now = made.select(F.col("n").alias("r"), "dn", "x", "shape")
         offset, turn = max(1, 2**turn), turn + 1
         if turn >= 3:
             # spans that reach past the windows up to the anchor behind need not grow
-            now = now.where(F.col("end") + gram < F.col("after") + length)
+            now = now.where(reach < F.col("shape").bitwiseAND(F.lit((1 << 21) - 1)) + length)
             if now.isEmpty():
                 break
     spans = tables.save(spans.groupBy("dn").agg(F.collect_list(F.struct("s", "t")).alias("spans")), "spans")
     tables.drop(*ranks)
     per_doc = base.groupBy("dn").agg(F.collect_list(F.struct(F.col("r").alias("g"), "x", "first")).alias("rows")).join(spans, "dn", "left")
     loose = tables.save(per_doc.mapInArrow(_unsettled(bits), "g long, dn long, x long, first boolean"), "unsettled")
-    tables.drop(base)
-    asked = loose.groupBy("g").agg(F.count("*").alias("c"), F.bool_or(~F.col("first")).alias("q")).where("q").select("g", (F.col("c") > wide).alias("wide"), "c")
+    tables.drop(at)
+    asked = loose.groupBy("g").agg(F.count("*").alias("c"), F.bool_or(~F.col("first") | (F.col("g") < 0)).alias("q")).where("q").select("g", (F.col("c") > wide).alias("wide"), "c")
     asked = tables.save(asked, "asked")
     # ranks above a task's fair part are few: they meet their anchors where those are
     heavy = F.broadcast(asked.where(F.col("c") >= fair(spark, total // 8)).drop("c"))

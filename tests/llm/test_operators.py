@@ -96,7 +96,7 @@ def test_suffix_byte_between_anchors(spark):
         t = bytearray(rng.choice(b"abcdefghij ") for _ in range(500))
 
         def low(t):
-            h = suffix.rolling(np.frombuffer(bytes(t), np.uint8), 50, 11) >> suffix.PLACE
+            h = suffix.order_of(suffix.strings(np.frombuffer(bytes(t), np.uint8), 50)) >> suffix.PLACE
             return [s + int(h[s : s + 51].argmin()) for s in range(len(t) - 99)]
 
         before = low(t)
