@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import constants as K
 from . import types as Y
-from .text import folded, squeezed
+from .text import bound, folded, squeezed
 
 #: The parts of an address: scheme, authority, path, query, fragment.
 PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#([\s\S]*))?$"
@@ -128,16 +128,24 @@ def _base_name(c: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(c, "/+$", ""), "([^/]*)$", 1)
 
 
+def _extension(names: Column) -> Column:
+    ends = F.transform(names, lambda n: F.regexp_extract(_base_name(n), r"^\.*[^./][^/]*?(\.[^./]+)$", 1))
+    return folded(F.coalesce(F.try_element_at(F.filter(ends, lambda e: e != ""), F.lit(1)), F.lit("")))
+
+
 def extension(url: Column) -> Column:
     """Ending of the first name that has one, with its dot; a leading dot makes no ending, nor does a dot at the end."""
-    ends = F.transform(_names(url), lambda n: F.regexp_extract(_base_name(n), r"^\.*[^./][^/]*?(\.[^./]+)$", 1))
-    return folded(F.coalesce(F.try_element_at(F.filter(ends, lambda e: e != ""), F.lit(1)), F.lit("")))
+    return _extension(_names(url))
+
+
+def _resource(names: Column) -> Column:
+    named = F.filter(F.transform(names, _base_name), lambda n: ~n.isin("", ".", ".."))
+    return folded(F.coalesce(F.try_element_at(named, F.lit(1)), F.lit("")))
 
 
 def resource(url: Column) -> Column:
     """Last name of the first source that has one."""
-    named = F.filter(F.transform(_names(url), _base_name), lambda n: ~n.isin("", ".", ".."))
-    return folded(F.coalesce(F.try_element_at(named, F.lit(1)), F.lit("")))
+    return _resource(_names(url))
 
 
 HTML = ["text/html", "application/xhtml+xml"]
@@ -146,10 +154,15 @@ HTML = ["text/html", "application/xhtml+xml"]
 def content_kind(url: Column, kind: Column | None = None) -> Column:
     """What a resource holds: archive_index, notebook, generated, asset, code, data, source, catalog, text or html; the first rule that fits."""
     kind = F.lit("") if kind is None else F.coalesce(kind, F.lit(""))
-    p, name, end = F.lower(path(url)), resource(url), extension(url)
+    facts = F.struct(F.lower(path(url)).alias("p"), F.lower(netloc(url)).alias("at"), kind.alias("kind"), _names(url).alias("names"))
+    return bound(facts, lambda f: bound(F.struct(f["p"].alias("p"), f["at"].alias("at"), f["kind"].alias("kind"), _resource(f["names"]).alias("name"), _extension(f["names"]).alias("end")), _kind_of))
+
+
+def _kind_of(f: Column) -> Column:
+    p, kind, name, end = f["p"], f["kind"], f["name"], f["end"]
     generated = name.isin(*K.GENERATED_NAMES) | name.endswith(".lock")
     code = end.isin(*K.CODE_ENDINGS) & ~(kind.isin(*HTML) & end.isin(".html", ".htm"))
-    tree = F.lower(netloc(url)).contains("archive.softwareheritage.org")
+    tree = f["at"].contains("archive.softwareheritage.org")
     index = F.lit(False)
     for x in ("/browse/search", "/browse/origin/", "/browse/directory/", "/browse/snapshot/", "/browse/revision/"):
         index = index | p.contains(x)
@@ -194,7 +207,8 @@ def browse_url(origin: Column, visit: Column) -> Column:
     return F.concat(F.lit("https://archive.softwareheritage.org/browse/origin/directory/?origin_url="), encoded(origin), extra)
 
 
-def _last(url: Column, key: str) -> Column:
+def last_value(url: Column, key: str) -> Column:
+    """The last value of a query key; empty where there is none."""
     return F.coalesce(F.try_element_at(F.filter(pairs(url), lambda p: p["k"] == key), F.lit(-1))["v"], F.lit(""))
 
 
@@ -204,8 +218,14 @@ def _has(url: Column, key: str) -> Column:
 
 def link_kind(url: Column) -> Column:
     """directory, content, raw, or empty for what isn't part of a tree."""
-    p = F.lower(path(url))
-    origin, named = _has(url, "origin_url"), _has(url, "path") | _has(url, "filename")
+    keys = F.transform(pairs(url), lambda q: q["k"])
+    facts = F.struct(F.lower(path(url)).alias("p"), F.lower(netloc(url)).alias("at"), keys.alias("keys"))
+    return bound(facts, _link_kind_of)
+
+
+def _link_kind_of(f: Column) -> Column:
+    p, has = f["p"], lambda k: F.array_contains(f["keys"], k)
+    origin, named = has("origin_url"), has("path") | has("filename")
     kind = (
         F.when(p.contains("/browse/origin/directory") & origin, "directory")
         .when(p.contains("/browse/origin/content") & origin & named, "content")
@@ -214,20 +234,19 @@ def link_kind(url: Column) -> Column:
         .when(p.contains("/browse/directory/") & origin, "directory")
         .otherwise("")
     )
-    return F.when(F.lower(netloc(url)).isin(*K.TREE_HOSTS), kind).otherwise("")
+    return F.when(f["at"].isin(*K.TREE_HOSTS), kind).otherwise("")
 
 
 def tree_path(url: Column) -> Column:
-    named = F.when(_has(url, "path"), _last(url, "path")).otherwise(_last(url, "filename"))
+    named = F.when(_has(url, "path"), last_value(url, "path")).otherwise(last_value(url, "filename"))
     return F.regexp_replace(decoded(named), "^/+|/+$", "")
 
 
 def link_key(url: Column) -> Column:
     """What a link stands for: one key for all views of a file of a repository, else the canonical address."""
-    kind, c = link_kind(url), canonical(url)
-    end = F.when(tree_path(url) != "", tree_path(url)).otherwise(F.lower(path(url)))
-    key = F.concat_ws(":", F.lit("swh"), kind, _last(url, "origin_url"), _last(url, "visit_type"), end)
-    return F.when(kind != "", key).when(c != "", c).otherwise(url)
+    end = bound(tree_path(url), lambda t: F.when(t != "", t).otherwise(F.lower(path(url))))
+    parts = F.struct(link_kind(url).alias("kind"), canonical(url).alias("c"))
+    return bound(parts, lambda f: F.when(f["kind"] != "", F.concat_ws(":", F.lit("swh"), f["kind"], last_value(url, "origin_url"), last_value(url, "visit_type"), end)).when(f["c"] != "", f["c"]).otherwise(url))
 
 
 def child_depth(parent: Column, child: Column, depth: Column) -> Column:

@@ -12,10 +12,13 @@ from ..functions import text as X
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder of the session, or one of our own where it names none."""
+    """A reliable checkpoint in the shared folder of the session. Only a local session may name none: executors elsewhere couldn't read ours."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lexforge-"))
+        at = sc.getConf().get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lexforge-"))
     return df.checkpoint()
 
 
@@ -89,15 +92,15 @@ def _sequential(ids: DataFrame) -> DataFrame:
 
 def like_pairs(sets: DataFrame, percent: int = 86) -> DataFrame:
     """Different sets (rep, terms) -> (early, late): pairs of Jaccard similarity percent / 100 or more, exactly. Sets meet on one of their
-    rarest terms (prefix filter), if their sizes allow it."""
+    rarest terms (prefix filter), if their sizes and the places of the term in both allow it: what lies behind the first shared term must hold enough."""
     whole = sets
     df = whole.select(F.explode("terms").alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     word = whole.select("rep", F.size("terms").alias("n"), F.explode("terms").alias("w")).join(df, "w")
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "w"))
     need = F.col("n") - F.ceil(F.col("n") * (percent / 100) - 1e-9) + 1
-    prefix = word.withColumn("k", place).where(F.col("k") <= need).select("rep", "n", "w")
-    a, b = prefix.toDF("a", "na", "w"), prefix.toDF("b", "nb", "w")
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+    prefix = word.withColumn("k", place).where(F.col("k") <= need).select("rep", "n", "w", "k")
+    a, b = prefix.toDF("a", "na", "w", "ka"), prefix.toDF("b", "nb", "w", "kb")
+    close = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & ((1 + F.least(F.col("na") - F.col("ka"), F.col("nb") - F.col("kb"))) * (100 + percent) >= (F.col("na") + F.col("nb")) * percent)
     pairs = a.join(b, "w").where((F.col("a") < F.col("b")) & close).select("a", "b").distinct()
     full = pairs.join(whole.toDF("ta", "a"), "a").join(whole.toDF("tb", "b"), "b")
     common = F.size(F.array_intersect("ta", "tb"))

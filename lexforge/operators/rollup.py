@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import labels as L
 from ..functions import text as X
 from ..functions import urls as U
+from .dedup import cut
 
 SEEN = ("training_filtered", "filtered", "code_filtered", "duplicate", "stored")
 
@@ -71,13 +73,34 @@ def most_common(rows: DataFrame, col: str, order: str) -> DataFrame:
 
 
 def inspect(records: DataFrame) -> DataFrame:
-    """(facet, value, n, bytes): totals and counts of an archive by topic, content kind, language, document type and inclusion, in one pass."""
+    """(facet, value, n, bytes): totals and counts of an archive by topic, content kind, language, document type and inclusion, in one pass. Records
+    with `method` and `member_bytes` are counted by method too, with compressed_bytes and raw_bytes of their members."""
+    packed = "member_bytes" in records.columns
+    more = [F.struct(F.lit("method").alias("facet"), F.coalesce("method", F.lit("")).alias("value"))] if packed else []
     facets = F.array(
+        *more,
         F.struct(F.lit("total").alias("facet"), F.lit("").alias("value")),
         *[F.struct(F.lit(c).alias("facet"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("value")) for c in ("topic", "content_kind", "language", "document_type")],
         F.struct(F.lit("include").alias("facet"), F.when(F.col("include"), "included").otherwise("filtered").alias("value")),
     )
-    return records.select("text_bytes", F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(F.count("*").alias("n"), F.sum("text_bytes").alias("bytes"))
+    sums = [F.count("*").alias("n"), F.sum("text_bytes").alias("bytes"), *([F.sum("member_bytes").alias("compressed_bytes"), F.sum("raw_bytes").alias("raw_bytes")] if packed else [])]
+    return records.select("text_bytes", *(["member_bytes", "raw_bytes"] if packed else []), F.explode(facets).alias("f")).groupBy("f.facet", "f.value").agg(*sums)
+
+
+def samples(records: DataFrame, order: str, show: int = 3, chars: int = 400) -> DataFrame:
+    """The first records in the archive's order, with the beginning of their texts: a report, hence its limits."""
+    title = F.when(F.coalesce("title", F.lit("")) == "", F.lit("(untitled)")).otherwise(F.col("title"))
+    return records.orderBy(order).limit(show).select(order, title.alias("title"), "url", "topic", "document_type", F.substring("text", 1, chars).alias("text"))
+
+
+def ratio(raw: Column, packed: Column) -> Column:
+    """Raw bytes by packed bytes, to one place."""
+    return F.bround(raw / F.greatest(packed, F.lit(1)), 1)
+
+
+def sites_by_size(rollup: DataFrame) -> DataFrame:
+    """A site table as it is shown: most source bytes first, then by name."""
+    return rollup.orderBy(F.desc("source_bytes"), "site")
 
 
 def verify(records: DataFrame, order: str) -> DataFrame:
@@ -92,7 +115,18 @@ def export(records: DataFrame, topic: str | None = None, document_type: str | No
         out = out.where(F.col("topic") == topic)
     if document_type is not None:
         out = out.where(F.col("document_type") == document_type)
-    return out.where("include") if training_only else out
+    return assessed(out).where("include") if training_only else out
+
+
+def assessed(records: DataFrame) -> DataFrame:
+    """Records from before there were assessments get one: include and score where either is missing, content kind and language where they are."""
+    if "score" not in records.columns:
+        records = records.withColumn("score", F.lit(None).cast("int")) if "include" not in records.columns else records.withColumn("score", F.when(F.col("include").isNotNull(), 0))
+    old = F.col("include").isNotNull() & F.col("score").isNotNull()
+    kind = F.coalesce("content_kind", F.lit("html"))
+    r = records.withColumn("_own", F.when(~old, L.quality(F.when(~old, F.col("text")), kind)))
+    r = r.withColumn("include", F.when(old, F.col("include")).otherwise(F.col("_own.include"))).withColumn("score", F.when(old, F.col("score")).otherwise(F.col("_own.score")))
+    return r.withColumn("content_kind", kind).withColumn("language", F.coalesce("language", F.col("_own.language"), F.lit("und"))).drop("_own")
 
 
 def log_ring(events: DataFrame, order: str, most: int = 500) -> DataFrame:
@@ -111,11 +145,12 @@ def rate_slots(requests: DataFrame, host: str, at: str, order: list, interval: f
 
 
 def budget_cut(records: DataFrame, size: Column, order: str, budget: int) -> DataFrame:
-    """The records, in order, that fit a budget of bytes together. Running sums go by range partitions, so no task sees all rows."""
-    keyed = records.withColumn("_size", size).repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
-    base = keyed.groupBy("_p").agg(F.sum("_size").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    run = F.sum("_size").over(Window.partitionBy("_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return keyed.withColumn("_r", run).join(F.broadcast(base), "_p").where(F.col("_r") + F.col("_b") <= budget).drop("_size", "_p", "_r", "_b")
+    """The records, in order, that fit a budget of bytes together. Records are sorted by ranges and written; running sums go by range, so no task sees all rows."""
+    t = cut(records.withColumn("_size", size).repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    t = t.withColumn("_p", F.shiftright("_id", 33))
+    base = t.groupBy("_p").agg(F.sum("_size").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
+    run = F.sum("_size").over(Window.partitionBy("_p").orderBy("_id").rowsBetween(Window.unboundedPreceding, 0))
+    return t.withColumn("_r", run).join(F.broadcast(base), "_p").where(F.col("_r") + F.col("_b") <= budget).drop("_size", "_id", "_p", "_r", "_b")
 
 
 def event_log(events: DataFrame) -> DataFrame:

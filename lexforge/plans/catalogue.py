@@ -518,7 +518,7 @@ def bounded_config(spark, sf_dir):
 
 @query(O.SLUGS)
 def slugs(spark, sf_dir):
-    return documents(spark, sf_dir).select("doc_id", X.slug(F.substring(F.col("text"), 1, 30)).alias("slug"))
+    return documents(spark, sf_dir).select("doc_id", X.slug(F.col("text")).alias("slug"))
 
 
 def flagship(spark, sf_dir):

@@ -83,12 +83,21 @@ def scrape(spark: SparkSession, config: C.Config, path: str, budget: int = 10_00
     return spark.read.format("lca").load(path)
 
 
+def compact_ratio(spark: SparkSession, path: str) -> DataFrame:
+    """raw_bytes, archive_bytes and ratio of the compact containers under a path."""
+    archives.register(spark)
+    rows = spark.read.format("lca").load(path)
+    raw = rows.agg(F.coalesce(F.sum(F.octet_length(archives.serialised(rows.columns))), F.lit(0)).alias("raw_bytes"))
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.lca").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("archive_bytes"))
+    return raw.crossJoin(held).withColumn("ratio", rollup.ratio(F.col("raw_bytes"), F.col("archive_bytes")))
+
+
 def compact_query(spark: SparkSession, path: str, query: str, limit: int = 10) -> DataFrame:
     archives.register(spark)
     return ranking.summary_query(spark.read.format("lca").load(path), query, limit)
 
 
-RECORD = "seq long, url string, canonical_url string, title string, text string, topic string, topics array<string>, document_type string, content_kind string, language string, include boolean, score int, source_bytes long, text_bytes long, text_sha256 string"
+RECORD = "seq long, url string, canonical_url string, title string, text string, topic string, topics array<string>, document_type string, content_kind string, language string, include boolean, score int, source_bytes long, text_bytes long, text_sha256 string, entry string, method string, member_bytes long, raw_bytes long"
 
 
 @dataclass
@@ -103,18 +112,19 @@ class Archive:
 
     def _append(self, r: DataFrame) -> DataFrame:
         top = self.records().agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("m"))
-        flat = r.select("url", "canonical_url", "title", "text", "topic", "topics", "document_type", "content_kind", "language", F.col("training.include").alias("include"), F.col("training.score").alias("score"), "source_bytes", "text_bytes", "text_sha256")
+        flat = r.select("url", "canonical_url", "title", "text", "topic", "topics", "document_type", "content_kind", "language", F.col("training.include").alias("include"), F.col("training.score").alias("score"), "source_bytes", "text_bytes", "text_sha256", "entry", "method", "member_bytes", "raw_bytes")
         out = flat.withColumn("n", F.monotonically_increasing_id()).crossJoin(F.broadcast(top)).withColumn("seq", F.col("m") + 1 + F.col("n")).drop("m", "n")
         out = dedup.cut(out.select("seq", *flat.columns))
         out.write.mode("append").parquet(self.path)
         return out
 
     def add(self, sources: list[str], get=payloads.http_get, training: bool = True) -> DataFrame:
-        """Each source's result: stored and duplicate_reason."""
+        """Each source's result: stored, duplicate_reason, and, if stored, its member: entry, method (the smallest of all), member_bytes, raw_bytes, all_sizes."""
         pages = dedup.cut(curation.records(curation.assemble(payloads.responses(self.spark, sources, get), training).withColumn("seq", F.monotonically_increasing_id())))
         decided = dedup.cut(dedup.append(pages.select("seq", "url", "canonical_url", "text_sha256"), known=self.records()))
-        self._append(pages.join(decided.where("stored").select("seq"), "seq"))
-        return decided.select("url", "stored", "duplicate_reason")
+        added = dedup.cut(curation.packed(pages.join(decided.where("stored").select("seq"), "seq"), "auto"))
+        self._append(added)
+        return decided.select("seq", "url", "stored", "duplicate_reason").join(added.select("seq", "entry", "method", "member_bytes", "raw_bytes", "all_sizes"), "seq", "left").drop("seq")
 
     def crawl(self, config: C.Config, get=payloads.http_get) -> C.Crawl:
         done = C.crawl(self.spark, config, get, known=self.records())
@@ -122,8 +132,12 @@ class Archive:
         return done
 
     def inspect(self) -> DataFrame:
+        """Counts and bytes by facet, by method too."""
         return rollup.inspect(self.records())
 
+    def samples(self, show: int = 3, chars: int = 400) -> DataFrame:
+        return rollup.samples(self.records(), "seq", show, chars)
+
     def query(self, words: str, limit: int = 10) -> DataFrame:
         return ranking.fulltext_query(self.records(), words, limit).select("score", "title", "url", F.substring("text", 1, 400).alias("excerpt"))
 

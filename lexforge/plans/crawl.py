@@ -10,6 +10,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import constants as K
+from ..functions import html as H
 from ..functions import urls as U
 from ..operators import dedup, filters, frontier, ranking, rollup
 from ..sources import payloads, search
@@ -102,9 +104,10 @@ def _robots(spark: SparkSession, urls: DataFrame, get) -> DataFrame:
     return asked.join(got.select("url", F.col("d.text").alias("rules")), "url", "left").select("origin", "rules")
 
 
-def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, known: DataFrame | None = None, agent: str = "lexforge") -> Crawl:
+def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, known: DataFrame | None = None, agent: str = "lexforge", method: str = "deflate", on_events: Callable[[DataFrame], None] | None = None, stop: Callable[[], bool] | None = None) -> Crawl:
     """Runs a crawl. `get` fetches one address (see `payloads.fetch`) and runs on the executors; `known` has the canonical_url and text_sha256
-    of an archive's records. `max_pages` counts pages that are fetched."""
+    of an archive's records. `max_pages` counts pages that are fetched. `on_events` is given each level's events, and before each level `stop` may end the crawl.
+    In training mode pages of a source archive bring the raw file, and its directories the files below them."""
     seeds = list(config.seeds)
     if config.topic:
         hits = search.search_web(spark, config.topic, get, max(2 * config.discover_limit, 12))
@@ -113,7 +116,7 @@ def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None
     hosts = [r[0] for r in now.select(F.lower(U.netloc(F.col("url")))).distinct().collect()]
     visited = events = stored = None
     left = config.max_pages
-    while left > 0:
+    while left > 0 and not (stop and stop()):
         key = F.when(U.canonical(F.col("url")) != "", U.canonical(F.col("url"))).otherwise(F.col("url"))
         now = dedup.first_by(now.withColumn("key", key), [F.col("key")], ["seq"])
         now = dedup.cut(now if visited is None else now.join(visited.select("key"), "key", "left_anti"))
@@ -130,10 +133,16 @@ def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None
         ask = dedup.cut(gated.where("status is null").orderBy("seq").limit(left).select("url", "depth", "seq"))
         left -= ask.count()
         got = dedup.cut(payloads.fetch(ask, get, config.delay).join(ask, "url"))  # cut: a page is fetched once
-        pages = curation.assemble(got, config.training_mode)
-        decided = dedup.cut(curation.statuses(pages, words=config.blocked_words, human_only=config.human_only, code_only=config.code_only, known=known, training=config.training_mode))
+        if config.training_mode and not got.where(F.lower(U.netloc(F.col("final_url"))).isin(*K.TREE_HOSTS)).isEmpty():
+            pages = curation.expanded(curation.assemble(curation.with_raw(got, get), True), get).drop("archive_tree")
+        else:
+            pages = curation.assemble(got, config.training_mode)
+        decided = curation.statuses(pages, words=config.blocked_words, human_only=config.human_only, code_only=config.code_only, known=known, training=config.training_mode)
+        decided = dedup.cut(curation.packed(decided, method))
         failed = ask.join(decided.select(F.col("asked_url").alias("url")), "url", "left_anti")
         level = _bare(gated.where("status is not null"), F.col("status")).union(_bare(failed, F.lit("fetch_failed"))).union(curation.events(decided).join(decided.select("seq", "depth"), "seq").select(*EVENT))
+        if on_events:
+            on_events(level)
         events = level if events is None else events.union(level)
         kept = decided.where("status = 'stored'")
         stored = kept if stored is None else stored.union(kept)
@@ -144,16 +153,66 @@ def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None
         opened = opened.join(parents.select(F.col("url").alias("parent"), F.col("seq").alias("above")), "parent")
         later = F.when(U.goes_first(F.col("parent")), 0).otherwise(1).cast("long")
         now = opened.select(F.col("link").alias("url"), "depth", F.concat(F.array(later), F.col("above"), F.array(F.col("pos").cast("long"))).alias("seq"))
-    return Crawl(events, stored, visited)
+    empty = _bare(spark.createDataFrame([], "url string, depth int, seq array<long>"), F.lit(None).cast("string"))
+    return Crawl(empty if events is None else events, stored, visited)
 
 
 def statistics(c: Crawl, elapsed: float) -> DataFrame:
     return rollup.crawl_statistics(c.events, elapsed)
 
 
+#: The types that a compact crawl reads.
+COMPACT_TYPES = ["text/html", "application/xhtml+xml", "text/plain"]
+
+
+def _readable(got: DataFrame) -> DataFrame:
+    """Responses of the compact types as pages: url, title, text, links. Bytes are read as declared, UTF-8 without a declaration; pages under 40 characters go."""
+    page = F.col("content_type") != "text/plain"
+    r = got.where(F.col("content_type").isin(*COMPACT_TYPES)).withColumn("body", payloads.as_declared(F.col("raw"), F.col("charset")))
+    at = F.coalesce(U.normal(F.col("final_url")), F.col("url"))
+    r = r.withColumn("at", at).withColumn("p", H.read(F.when(page, F.col("body")), F.col("at"), "compact", "links"))
+    r = r.withColumn("text", F.when(page, F.col("p.compact")).otherwise(F.trim("body"))).where(filters.long_enough(F.col("text")))
+    links = F.when(page, F.col("p.links")).otherwise(F.array().cast("array<string>"))
+    return r.select("seq", "depth", F.col("url").alias("asked_url"), F.col("at").alias("url"), F.when(page, H.title(F.col("body"))).otherwise(F.lit("")).alias("title"), "text", links.alias("links"))
+
+
+def compact_pages(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, agent: str = "lexforge") -> DataFrame:
+    """seq (the depth, then the places on the way), url, depth, title, text of a compact crawl: addresses in the order in which they were found, each once, in scope and allowed.
+    `max_pages` counts records, so further addresses are asked while there are too few; pages of equal text are records of their own."""
+    now = spark.createDataFrame([(u, 0, [0, 0, i]) for i, u in enumerate(config.seeds)], "url string, depth int, seq array<long>").withColumn("url", U.normal(F.col("url"))).where("url is not null")
+    hosts = [r[0] for r in now.select(F.lower(U.netloc(F.col("url")))).distinct().collect()]
+    visited = records = None
+    left = config.max_pages
+    while left > 0:
+        now = dedup.first_by(now, [F.col("url")], ["seq"])
+        now = dedup.cut(now if visited is None else now.join(visited, "url", "left_anti"))
+        if now.isEmpty():
+            break
+        visited = now.select("url") if visited is None else dedup.cut(visited.union(now.select("url")))
+        open_ = now.where(filters.in_scope(F.col("url"), hosts, config.follow_external))
+        if config.respect_robots:
+            open_ = filters.robots_allowed(open_, _robots(spark, open_, get), agent).where("allowed")
+        open_, level = dedup.cut(open_.select("url", "depth", "seq")), None
+        while left > 0:
+            ask = dedup.cut(open_.orderBy("seq").limit(left))
+            if ask.isEmpty():
+                break
+            got = dedup.cut(_readable(payloads.fetch(ask, get, config.delay, 5_000_000).join(ask, "url")))
+            left -= got.count()
+            level = got if level is None else level.union(got)
+            open_ = dedup.cut(open_.join(ask.select("url"), "url", "left_anti"))
+        if level is None:
+            break
+        records = level if records is None else records.union(level)
+        opened = level.where(F.col("depth") < config.max_depth).select("seq", "depth", F.posexplode("links").alias("pos", "link"))
+        opened = opened.select(F.col("link").alias("url"), (F.col("depth") + 1).alias("depth"), F.concat(F.array((F.col("depth") + 1).cast("long")), F.slice("seq", 2, F.size("seq") - 1), F.array(F.col("pos").cast("long"))).alias("seq"))
+        now = opened.where(filters.in_scope(F.col("url"), hosts, config.follow_external))
+    empty = spark.createDataFrame([], "seq array<long>, depth int, url string, title string, text string")
+    return empty if records is None else records.select("seq", "depth", "url", "title", "text")
+
+
 def compact(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, summary_chars: int = 900) -> DataFrame:
-    """A crawl's pages as summaries (url, title, summary, depth, quality), whose sentences are unlike those of pages before them."""
-    c = crawl(spark, Config(**{**config.__dict__, "human_only": False, "code_only": False, "training_mode": False}), get)
-    pages = c.events.where("status in ('stored', 'duplicate')").select("seq", "depth").join(c.stored.select("seq", "url", "title", "text"), "seq")
+    """A compact crawl's pages as summaries (url, title, summary, depth, quality), whose sentences are unlike those of pages before them."""
+    pages = compact_pages(spark, config, get)
     summed = dedup.cut(pages.withColumn("s", ranking.summary(F.col("text"), summary_chars)).select("seq", "url", "title", "depth", F.col("s.summary").alias("summary"), F.bround("s.quality", 3).alias("quality")))
     return dedup.unique_sentences(summed, "seq", "summary", summary_chars).select("seq", "url", "title", F.col("unique_summary").alias("summary"), "depth", "quality").orderBy("seq")

@@ -442,4 +442,4 @@ SELECT event_id, CAST(max(at_ - i * 50000000) OVER (PARTITION BY user_id ORDER B
 MOST_COMMON = "SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1"
 BYTES_LABEL = "SELECT * FROM (VALUES (0, '0 B'), (1, '1,023 B'), (2, '1.0 KB'), (3, '1.5 KB'), (4, '1.0 MB'), (5, '5.0 GB'), (6, '6.0 TB')) v(id, label)"
 BOUNDED = "SELECT * FROM (VALUES (0, 1, 5, 60.0, true), (1, 100000, 7, 0.0, false), (2, 500, 64, 0.5, false)) v(id, pages, workers, delay, flag)"
-SLUGS = f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold('left(text, 30)')}, '[^a-z0-9_-]+', '_', 'g'), '_'), ''), 'other') AS slug FROM documents"
+SLUGS = f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold('text')}, '[^a-z0-9_-]+', '_', 'g'), '_'), ''), 'other') AS slug FROM documents"

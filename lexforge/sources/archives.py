@@ -67,23 +67,58 @@ def fit(records: list[dict], budget: int, query: str = "", now: str | None = Non
     return records[:low], data
 
 
-def member_sizes(data: bytes) -> dict[str, int]:
-    """Compressed bytes of a member by each method."""
+def _deflated(data: bytes) -> int:
     deflate = zlib.compressobj(9, zlib.DEFLATED, -15)
-    # an LZMA member has 9 bytes before the stream: version and the filter's properties
-    filters = [{"id": lzma.FILTER_LZMA1}]
-    return {"stored": len(data), "deflate": len(deflate.compress(data) + deflate.flush()), "bzip2": len(bz2.compress(data, 9)), "lzma": 9 + len(lzma.compress(data, format=lzma.FORMAT_RAW, filters=filters))}
+    return len(deflate.compress(data) + deflate.flush())
+
+
+#: An LZMA member has 9 bytes before the stream: version and the filter's properties.
+SIZES = {"stored": len, "deflate": _deflated, "bzip2": lambda d: len(bz2.compress(d, 9)), "lzma": lambda d: 9 + len(lzma.compress(d, format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA1}]))}
+
+
+def member_sizes(data: bytes, *only: str) -> dict[str, int]:
+    """Compressed bytes of a member by each method."""
+    return {name: size(data) for name, size in SIZES.items() if not only or name in only}
+
+
+def smallest(sizes: dict[str, int]) -> str:
+    """Of equal sizes one that isn't stored plainly."""
+    return min(sizes, key=lambda m: (sizes[m], m == "stored"))
+
+
+def named(record: str, method: str) -> bytes:
+    """A record's line with the name of its method."""
+    return (record.rstrip()[:-1] + f',"compression":"{method}"}}\n').encode()
+
+
+def member(record: str, method: str = "auto") -> tuple[str, bytes, dict[str, int]]:
+    """(method, line, sizes by method) of a record's member; `auto` measures the line of each method and takes the smallest."""
+    if method != "auto":
+        data = named(record, method)
+        return method, data, {method: member_sizes(data, method)[method]}
+    sizes = {m: member_sizes(named(record, m), m)[m] for m in METHODS}
+    return smallest(sizes), named(record, smallest(sizes)), sizes
 
 
 @F.pandas_udf(Y.struct(method=Y.STRING, size=Y.LONG))
 def best_method(payload: pd.Series) -> pd.DataFrame:
     """The smallest member; of equal sizes one that isn't stored plainly."""
-    rows = []
-    for p in payload:
-        sizes = member_sizes((p or "").encode())
-        name = min(sizes, key=lambda m: (sizes[m], m == "stored"))
-        rows.append((name, sizes[name]))
-    return pd.DataFrame(rows, columns=["method", "size"])
+    sizes = [member_sizes((p or "").encode()) for p in payload]
+    return pd.DataFrame([(smallest(x), x[smallest(x)]) for x in sizes], columns=["method", "size"])
+
+
+def members(record: Column, method: str = "auto") -> Column:
+    """Struct method, member_bytes, raw_bytes, all_sizes of a record's member; null for a null record."""
+
+    @F.pandas_udf("struct<method:string,member_bytes:long,raw_bytes:long,all_sizes:map<string,long>>")
+    def run(records: pd.Series) -> pd.DataFrame:
+        out = []
+        for r in records:
+            name, data, sizes = member(r, method) if r is not None else (None, b"", None)
+            out.append((name, None if r is None else sizes[name], None if r is None else len(data), sizes))
+        return pd.DataFrame(out, columns=["method", "member_bytes", "raw_bytes", "all_sizes"])
+
+    return run(record)
 
 
 def serialised(columns: list[str]) -> Column:
@@ -204,11 +239,14 @@ class ZipWriter(_Writer):
     ending = ".zip"
 
     def write(self, rows):
-        path, method = self.target(), METHODS[self.options.get("method", "deflate")]
-        with zipfile.ZipFile(path, "w", compression=method, compresslevel=9) as z:
+        path, method = self.target(), self.options.get("method", "deflate")
+        if method != "auto" and method not in METHODS:
+            raise ValueError(f"no such method: {method}")
+        with zipfile.ZipFile(path, "w", compression=zipfile.ZIP_DEFLATED, compresslevel=9) as z:
             z.writestr("archive.json", line({"format": "mixed-lossless-web-text", "version": 2, "record_path": "records/<topic>/<sha256>.json", "deduplication": "canonical URL and exact text hash"}) + "\n")
             for r in rows:
-                z.writestr(f"records/{r['topic']}/{r['text_sha256']}.json", r["record"])
+                chosen, data, _ = member(r["record"], method)
+                z.writestr(f"records/{r['topic']}/{r['text_sha256']}.json", data, compress_type=METHODS[chosen], compresslevel=9)
         return Written(path)
 
 

@@ -50,6 +50,19 @@ def decoded(raw: pd.Series, declared: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["text", "encoding"])
 
 
+@F.pandas_udf(Y.STRING)
+def as_declared(raw: pd.Series, declared: pd.Series) -> pd.Series:
+    """Bytes read as declared, as UTF-8 where nothing, or nothing known, is."""
+
+    def one(r, name):
+        try:
+            return bytes(r).decode(name or "utf-8", errors="replace")
+        except LookupError:
+            return bytes(r).decode(errors="replace")
+
+    return pd.Series([None if r is None else one(r, d) for r, d in zip(raw, declared, strict=True)], dtype=object)
+
+
 @F.pandas_udf(Y.BOOLEAN)
 def sniffed(raw: pd.Series) -> pd.Series:
     return raw.map(lambda r: r is not None and looks_like_text(bytes(r)))
@@ -66,17 +79,24 @@ def fetch(urls: DataFrame, get: Callable[[str], tuple | None], delay: float = 0.
     def run(batches):
         import time
 
+        def made(rows):
+            cols = list(zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["url", "final_url", "content_type", "charset", "http_status", "raw"])
+
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for url in batch.column("url").to_pylist():
                 got = get(url)
                 if got is not None and len(got[4]) <= most:
                     rows.append((url, *got))
+                    held += len(got[4])
+                if held >= most:  # a response or a few are held at a time
+                    yield made(rows)
+                    rows, held = [], 0
                 if delay:
                     time.sleep(delay)
             if rows:
-                cols = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.binary())], ["url", "final_url", "content_type", "charset", "http_status", "raw"])
+                yield made(rows)
 
     return urls.select("url").repartition(host(F.col("url"))).mapInArrow(run, FETCHED)
 
