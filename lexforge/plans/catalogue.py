@@ -437,7 +437,7 @@ def pipeline_stats(spark, sf_dir):
     return rollup.counters(curation.events(_curated(spark, sf_dir)))
 
 
-@query()
+@query(O.STATISTICS)
 def pipeline_crawl_statistics(spark, sf_dir):
     s = rollup.crawl_statistics(curation.events(_curated(spark, sf_dir)), 10.0)
     return s.withColumns({c: F.to_json(c) for c in ("topics", "methods")})
@@ -479,6 +479,12 @@ def budget_prefix(spark, sf_dir):
     return rollup.budget_cut(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length("text"), "doc_id", 200_000).select("doc_id")
 
 
+@query()
+def archive_members(spark, sf_dir):
+    """What each page that is stored takes in an archive, by site: members of the smallest method."""
+    return rollup.site_rollup(curation.events(curation.packed(_curated(spark, sf_dir), "auto"))).select("site", "stored", "source_bytes", "text_bytes", "compressed_bytes")
+
+
 @query()
 def codec_choice(spark, sf_dir):
     d = documents(spark, sf_dir).select("doc_id", archives.best_method(archives.serialised(["doc_id", "text"])).alias("m"))

@@ -423,6 +423,10 @@ STATS = f"""WITH RECURSIVE {CURATED} SELECT count(*) AS checked, count(*) FILTER
   0 AS code_filtered, count(*) FILTER (status = 'blocked') AS blocked, 0 AS failed, 0 AS out_of_scope, 0 AS robots_blocked, 0 AS filtered,
   CAST(sum(octet_length(encode(html))) FILTER (status = 'stored') AS BIGINT) AS source_bytes, CAST(sum(octet_length(encode(text))) FILTER (status = 'stored') AS BIGINT) AS text_bytes, 0 AS compressed_bytes FROM st"""
 
+STATISTICS = f"""{STATS.replace(" SELECT count(*) AS checked", ", n AS (SELECT count(*) AS checked", 1)})
+SELECT n.*, (SELECT coalesce('{{' || string_agg('"' || topic || '":' || c, ',' ORDER BY topic) || '}}', '{{}}') FROM (SELECT topic, count(*) AS c FROM st WHERE status = 'stored' GROUP BY 1) s) AS topics, '{{}}' AS methods,
+  CAST(10 AS DOUBLE) AS elapsed_seconds, checked + failed AS attempted, round((checked + failed) / 10.0, 2) AS pages_per_second FROM n"""
+
 _BLOB = fold("('http://h/x' || ' ' || source || ' ' || left(text, 5000))")
 _TYPE = TYPE.replace(BLOB, _BLOB)
 RECORD_CTE = f"""{QUALITY_CTE}, {topics_cte('documents', 'doc_id', 'source')},

@@ -1,13 +1,17 @@
 """Every query against its SQL on the small tables, as the driver does at the next size; entry points and imports."""
 
+import hashlib
+import io
 import subprocess
 import sys
+import zipfile
 from pathlib import Path
 
 import duckdb
 import pytest
 
-from lexforge.plans import catalogue
+from lexforge.plans import catalogue, curation
+from lexforge.sources import archives
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -43,6 +47,35 @@ def test_query(spark, sf, duck, name):
     assert norm([[float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else v for v in r] for r in rows], got.columns) == norm([[float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or hasattr(v, "to_integral_value") else v for v in r] for r in want.fetchall()], columns)
 
 
+def test_fingerprints_against_hashlib(spark, sf):
+    """SQL lacks the hash: each fingerprint is that of the terms, which SQL checks."""
+    terms = {(r["doc_id"], r["pos"]): r["terms"] for r in catalogue.QUERIES["sentence_fingerprint_terms"](spark, sf).collect()}
+    got = catalogue.QUERIES["sentence_fingerprint"](spark, sf).collect()
+    assert len(got) == len(terms) > 1000
+    assert all(r["fingerprint"] == hashlib.blake2s(terms[r["doc_id"], r["pos"]].encode(), digest_size=10).hexdigest() for r in got)
+
+
+def zipped(data: bytes, method: int) -> int:
+    with zipfile.ZipFile(io.BytesIO(), "w", compression=method, compresslevel=9) as z:
+        z.writestr("x", data)
+        return z.infolist()[0].compress_size
+
+
+def test_codecs_against_real_members(spark, sf):
+    """Each choice and size against archives that are written with all four methods."""
+    lines = {r["doc_id"]: r["line"].encode() for r in catalogue.documents(spark, sf).select("doc_id", archives.serialised(["doc_id", "text"]).alias("line")).collect()}
+    for r in catalogue.QUERIES["codec_choice"](spark, sf).collect():
+        sizes = {m: zipped(lines[r["doc_id"]], code) for m, code in archives.METHODS.items()}
+        assert r["size"] == sizes[r["method"]] == min(sizes.values()) and (r["method"] != "stored" or list(sizes.values()).count(r["size"]) == 1)
+    p = curation.packed(catalogue._curated(spark, sf), "auto").where("status = 'stored'").collect()
+    made = {}
+    for r in p:
+        assert r["member_bytes"] == r["all_sizes"][r["method"]] == min(r["all_sizes"].values())
+        site = r["url"].split("/")[2].lower()
+        made[site] = made.get(site, 0) + r["member_bytes"]
+    assert {r["site"]: r["compressed_bytes"] for r in catalogue.QUERIES["archive_members"](spark, sf).collect() if r["stored"]} == made
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
