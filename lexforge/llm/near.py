@@ -12,16 +12,17 @@ in it: in each round every bucket names one hub (the member with most confirmed
 it with the members that aren't yet in the hub's component. The likelihood of (D+, D-, D0) with the exact set sizes gives a joint
 estimate; pairs hopelessly below the threshold (more than `slack` standard deviations) go, the rest are confirmed on their full sets, in
 whole numbers. Confirmed links merge components, finished hubs leave their buckets, and a bucket is done when its
-members are in one component. Members that still stand apart after `rounds` rounds (groups of texts that are like each other, but below
-the threshold) are compared in blocks: a bucket is dealt into blocks of about `block` members, each two of them meet in a task,
-which counts all intersections with products of matrices and hands on only pairs that join two components. No candidate link between
-components is lost, whatever the bucket's size, and no table of all pairs is made.
+members are in one component. Members that still stand apart after `rounds` rounds (groups of texts that are like each other, but below the
+threshold) are compared in blocks: a bucket is dealt into blocks of about `block` members, each two of them meet in a task, which counts all intersections of the full sets with products of matrices and hands on the links that join two components. A bucket of more members than
+a block is first cut by their other bands: members that share nothing but this one band never meet. No table of all pairs is made.
 
-With 128 registers in 32 bands of 4, a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
+With 128 registers in 32 bands of 4, a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8, and one that must share
+two bands, in a large bucket that hubs leave apart, with 1e-6; both fall fast above 0.8.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and form their own component. Fewer words than a
 shingle: the whole sequence is one element. Repeated rows are members of one class. A class's id for the component is its smallest
-non-null doc_id; if all are null the component is null. Empty table: empty result. Extra columns are carried by `deduplicate`.
+non-null doc_id; if all are null the component is null. Empty table: empty result. Extra columns are carried by `deduplicate`, unless they
+are named `_nd_id` or `_nd_tk`.
 """
 
 from __future__ import annotations
@@ -37,6 +38,8 @@ from .components import components
 BASE_B = 1.001
 SHIFT = 8192
 REGISTERS, ROWS = 128, 4
+#: Elements that a block of sets holds at most, but for one set of more.
+ELEMENTS = 1 << 20
 
 
 def registers(sets: list[np.ndarray], m: int = REGISTERS) -> np.ndarray:
@@ -169,13 +172,6 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(apart, "bucket")
 
 
-def _short(batches):
-    """Full sets with 32 bits an element, in order: what blocks are compared by before links are confirmed."""
-    for batch in batches:
-        out = [np.sort((np.frombuffer(x.as_buffer(), U) >> U(32)).astype(np.uint32)).tobytes() for x in batch.column("elements")]
-        yield pa.RecordBatch.from_arrays([batch.column("cid"), pa.array(out, pa.binary())], ["cid", "short"])
-
-
 def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: int = 24) -> np.ndarray:
     """Sizes of all intersections of two lists of sets. Elements of many sets are counted by products of matrices, those of few by pairs."""
     sizes = [len(x) for x in left] + [len(x) for x in right]
@@ -205,8 +201,8 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], dense: int = 24) -
     return out
 
 
-def _blocks(percent: int, doubt: int = 2):
-    """Pairs that may link two labels of a block or of two. Pairs beyond doubt are given only where they join labels not yet joined here."""
+def _blocks(percent: int):
+    """Links between two labels of a block or of two, by the sizes of the intersections of full sets. Labels that a link joins count as one from then on."""
 
     def judge(rows):
         sides = [[r for r in rows if r[0] == r[1]], [r for r in rows if r[0] == r[2]]]  # at == i, at == j
@@ -214,10 +210,8 @@ def _blocks(percent: int, doubt: int = 2):
         if not left or not right:
             return []
         inter = overlaps([r[5] for r in left], [r[5] for r in right])
-        na, nb = np.array([len(r[5]) for r in left]), np.array([len(r[5]) for r in right])
-        total = na[:, None] + nb[None, :]
-        may = 100 * (inter + doubt) >= percent * (total - inter - doubt)
-        sure = 100 * (inter - doubt) >= percent * (total - inter + doubt)
+        total = np.array([len(r[5]) for r in left])[:, None] + np.array([len(r[5]) for r in right])[None, :]
+        linked = 100 * inter.astype(np.int64) >= percent * (total - inter)
         parent: dict[bytes, bytes] = {}
 
         def root(x):
@@ -227,12 +221,11 @@ def _blocks(percent: int, doubt: int = 2):
             return x
 
         out = []
-        for p, q in zip(*np.nonzero(may), strict=True):
+        for p, q in zip(*np.nonzero(linked), strict=True):
             x, y = root(left[p][4]), root(right[q][4])
             if x != y:
                 out.append((min(left[p][3], right[q][3]), max(left[p][3], right[q][3])))
-                if sure[p, q]:
-                    parent[max(x, y)] = min(x, y)
+                parent[max(x, y)] = min(x, y)
         return out
 
     def run(batches):
@@ -244,7 +237,7 @@ def _blocks(percent: int, doubt: int = 2):
                 if (bucket, i, j) != key:
                     done += judge(rows) if rows else []
                     key, rows = (bucket, i, j), []
-                rows.append((at, i, j, cid, label, np.frombuffer(batch.column("short")[k].as_py(), np.uint32)))
+                rows.append((at, i, j, cid, label, np.frombuffer(batch.column("elements")[k].as_py(), U)))
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.binary())], ["a", "b"])
         done = judge(rows) if rows else []
@@ -267,7 +260,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rows * k + 1, 2 * rows)) for k in range(m // rows)])
     member = classes.select("cid", F.explode(bands).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("bucket")
-    open_ = tables.save(member.join(shared, "bucket"), "open")
+    open_ = every_band = tables.save(member.join(shared, "bucket"), "open")
 
     needed = open_.select("cid").distinct().join(classes.select("cid", "own"), "cid").select("cid", F.col("own.doc_id").alias("doc_id"), F.col("own.tk").alias("tk"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
@@ -302,16 +295,22 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
         # finished hubs leave; so do buckets whose members have come together or that have one member left
         rest = open_.join(chosen.select("bucket", F.col("hub").alias("cid")), ["bucket", "cid"], "left_anti")
         after = tables.save(_apart(rest, labels).select("cid", "bucket"), "open")
-        tables.drop(open_, ranked, chosen, likely)
+        tables.drop(ranked, chosen, likely, *([open_] if turn else []))
         open_ = after
     if not open_.isEmpty():
-        count = open_.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("parts"))
+        size = open_.groupBy("bucket").agg(F.count("*").alias("c"))
+        # a bucket of more members than a block is cut by their other bands first: a link shares 13 of 32 on average
+        large = open_.join(size.where(F.col("c") > block), "bucket").drop("c")
+        other = every_band.select("cid", F.col("bucket").alias("other")).join(large, "cid").where(F.col("other") != F.col("bucket"))
+        cut = other.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "cid").distinct()
+        rest = open_.join(size.where(F.col("c") <= block), "bucket").drop("c").select("bucket", "cid").union(cut.select("bucket", "cid"))
+        rest = tables.save(_apart(rest, labels).join(classes.select("cid", "n"), "cid"), "apart")
+        count = rest.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(block))), F.ceil(F.sum("n") / F.lit(float(ELEMENTS)))).cast("int").alias("parts"))
         place = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
-        rows = _apart(open_, labels).join(count, "bucket").withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        rows = rest.join(count, "bucket").withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         rows = rows.select("bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "cid", "label")
-        held = rows.join(full.mapInArrow(_short, "cid binary, short binary"), "cid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-        near = tables.save(held.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "near")
-        found = confirmed(near)
+        held = rows.join(full, "cid").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+        found = tables.save(held.mapInArrow(_blocks(percent), "a binary, b binary").distinct(), "links")
         links = links.union(found)
         labels = tables.save(components(tables, links), "labels")
 

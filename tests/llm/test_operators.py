@@ -399,8 +399,9 @@ def test_near(docs, none):
     assert kept.columns == docs.columns and kept.where("doc_id = 3").count() == 0
 
 
-@pytest.mark.parametrize("rounds,block", [(3, 1024), (0, 4), (1, 3)])
-def test_near_groups_below_the_threshold(spark, rounds, block):
+@pytest.mark.parametrize("rounds,block,elements", [(3, 1024, 1 << 20), (0, 4, 1 << 20), (1, 3, 1 << 20), (0, 1024, 300)])
+def test_near_groups_below_the_threshold(spark, rounds, block, elements, monkeypatch):
+    monkeypatch.setattr(near, "ELEMENTS", elements)
     """Many texts that are like each other, but mostly not enough: hub rounds and blocks must give the same links."""
     rng = random.Random(9)
     base = [f"w{i}" for i in range(60)]
