@@ -13,11 +13,11 @@ it with the members that aren't yet in the hub's component. The likelihood of (D
 estimate; pairs hopelessly below the threshold (more than `slack` standard deviations) go, the rest are confirmed on their full sets, in
 whole numbers. Confirmed links merge components, finished hubs leave their buckets, and a bucket is done when its
 members are in one component. Members that still stand apart after `rounds` rounds (groups of texts that are like each other, but below the
-threshold) are compared in blocks: a bucket is dealt into blocks of about `block` members, each two of them meet in a task, which counts all intersections of the full sets with products of matrices and hands on the links that join two components. A bucket of more members than
-a block is first cut by their other bands: members that share nothing but this one band never meet. No table of all pairs is made.
+threshold) are compared in blocks: a bucket is dealt into blocks of about `block` members, each two of them meet in a task, which counts all intersections of the full sets with products of matrices and hands on the links that join two components. No candidate link
+between components is lost, whatever the bucket's size, and no table of all pairs is made; the work in a bucket of many members that are unlike
+each other grows with the square of its blocks, each of which a task reads.
 
-With 128 registers in 32 bands of 4, a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8, and one that must share
-two bands, in a large bucket that hubs leave apart, with 1e-6; both fall fast above 0.8.
+With 128 registers in 32 bands of 4, a pair of similarity 0.8 is missed with probability (1 - 0.8**4)**32 = 5e-8.
 
 Defined cases: null, empty and blank texts have no set, link with nothing and form their own component. Fewer words than a
 shingle: the whole sequence is one element. Repeated rows are members of one class. A class's id for the component is its smallest
@@ -260,7 +260,7 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
     bands = F.array(*[F.xxhash64(F.lit(k), F.substring("regs", 2 * rows * k + 1, 2 * rows)) for k in range(m // rows)])
     member = classes.select("cid", F.explode(bands).alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("bucket")
-    open_ = every_band = tables.save(member.join(shared, "bucket"), "open")
+    open_ = tables.save(member.join(shared, "bucket"), "open")
 
     needed = open_.select("cid").distinct().join(classes.select("cid", "own"), "cid").select("cid", F.col("own.doc_id").alias("doc_id"), F.col("own.tk").alias("tk"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("tk"))
@@ -295,16 +295,10 @@ def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, m: int = REGI
         # finished hubs leave; so do buckets whose members have come together or that have one member left
         rest = open_.join(chosen.select("bucket", F.col("hub").alias("cid")), ["bucket", "cid"], "left_anti")
         after = tables.save(_apart(rest, labels).select("cid", "bucket"), "open")
-        tables.drop(ranked, chosen, likely, *([open_] if turn else []))
+        tables.drop(open_, ranked, chosen, likely)
         open_ = after
     if not open_.isEmpty():
-        size = open_.groupBy("bucket").agg(F.count("*").alias("c"))
-        # a bucket of more members than a block is cut by their other bands first: a link shares 13 of 32 on average
-        large = open_.join(size.where(F.col("c") > block), "bucket").drop("c")
-        other = every_band.select("cid", F.col("bucket").alias("other")).join(large, "cid").where(F.col("other") != F.col("bucket"))
-        cut = other.select(F.xxhash64(F.least("bucket", "other"), F.greatest("bucket", "other")).alias("bucket"), "cid").distinct()
-        rest = open_.join(size.where(F.col("c") <= block), "bucket").drop("c").select("bucket", "cid").union(cut.select("bucket", "cid"))
-        rest = tables.save(_apart(rest, labels).join(classes.select("cid", "n"), "cid"), "apart")
+        rest = tables.save(_apart(open_, labels).join(classes.select("cid", "n"), "cid"), "apart")
         count = rest.groupBy("bucket").agg(F.greatest(F.ceil(F.count("*") / F.lit(float(block))), F.ceil(F.sum("n") / F.lit(float(ELEMENTS)))).cast("int").alias("parts"))
         place = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")
         rows = rest.join(count, "bucket").withColumn("at", place).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
