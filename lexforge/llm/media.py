@@ -16,8 +16,10 @@ read whatever their length (one at a time); a payload of 4 GiB or more, which RI
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -101,42 +103,50 @@ def gif(v: bytes, at: int) -> int:
 
 
 def jpeg(v: bytes, at: int) -> int:
-    pos, scan = at + 2, False
-    while pos + 4 <= len(v) and v[pos] == 0xFF:
+    """Segments with their lengths; after the head of a scan its data, in which only escaped bytes and restarts follow an 0xFF, up to the next segment."""
+    pos, scans = at + 2, 0
+    while pos + 2 <= len(v) and v[pos] == 0xFF:
         mark = v[pos + 1]
-        if not 0xC0 <= mark <= 0xFE:
+        if mark == 0xD9:
+            return pos + 2 - at if scans else 0
+        if not 0xC0 <= mark <= 0xFE or 0xD0 <= mark <= 0xD8 or pos + 4 > len(v):
             return 0
         (size,) = struct.unpack_from(">H", v, pos + 2)
         pos += 2 + size
+        if size < 2 or pos > len(v):
+            return 0
         if mark == 0xDA:
-            scan = True
-            break
-    if not scan:
-        return 0
-    while (pos := v.find(b"\xff", pos)) >= 0 and pos + 1 < len(v):
-        if v[pos + 1] == 0xD9:
-            return pos + 2 - at
-        if v[pos + 1] and not 0xD0 <= v[pos + 1] <= 0xD7:
-            return jpeg_more(v, pos, at)
-        pos += 2
+            scans += 1
+            while (pos := v.find(b"\xff", pos)) >= 0 and pos + 1 < len(v) and (v[pos + 1] == 0 or 0xD0 <= v[pos + 1] <= 0xD7):
+                pos += 2
+            if pos < 0:
+                return 0
     return 0
 
 
-def jpeg_more(v: bytes, pos: int, at: int) -> int:
-    """A further segment between scans."""
-    end = v.find(b"\xff\xd9", pos)
-    return end + 2 - at if end >= 0 else 0
+class Places:
+    """Where marks stand in a value: each mark is searched for once, however many media are tried."""
+
+    def __init__(self, v: bytes):
+        self.v, self.known = v, {}
+
+    def after(self, mark: bytes, at: int) -> int:
+        if mark not in self.known:
+            self.known[mark] = [m.start() for m in re.finditer(re.escape(mark), self.v)]
+        own = self.known[mark]
+        i = bisect_left(own, at)
+        return own[i] if i < len(own) else -1
 
 
-def pdf(v: bytes, at: int) -> int:
+def pdf(v: bytes, at: int, places: Places) -> int:
     if not v[at + 5 : at + 6].isdigit():
         return 0
-    end = v.find(b"%%EOF", at)
-    return end + 5 - at if end >= 0 and v.find(b"startxref", at, end) >= 0 else 0
+    end = places.after(b"%%EOF", at)
+    return end + 5 - at if 0 <= places.after(b"startxref", at) < end else 0
 
 
-def zipped(v: bytes, at: int) -> int:
-    end = v.find(b"PK\x05\x06", at)
+def zipped(v: bytes, at: int, places: Places) -> int:
+    end = places.after(b"PK\x05\x06", at)
     if end < 0 or end + 22 > len(v):
         return 0
     size, start, note = struct.unpack_from("<IIH", v, end + 12)
@@ -188,19 +198,69 @@ def ogg(v: bytes, at: int) -> int:
     return 0
 
 
+def _crc(bits: int, poly: int) -> list[int]:
+    """Remainders of all bytes, most significant bit first."""
+    out, top, mask = [], 1 << (bits - 1), (1 << bits) - 1
+    for b in range(256):
+        r = b << (bits - 8)
+        for _ in range(8):
+            r = (r << 1 ^ poly if r & top else r << 1) & mask
+        out.append(r)
+    return out
+
+
+CRC8, CRC16 = _crc(8, 0x07), _crc(16, 0x8005)
+
+
+def flac_head(v: bytes, pos: int) -> int:
+    """Length of a frame's head at pos, 0 if there is none: mark, number, sizes and the check byte must fit."""
+    if pos + 6 > len(v) or v[pos] != 0xFF or v[pos + 1] & 0xFC != 0xF8 or v[pos + 2] >> 4 == 0 or v[pos + 2] & 15 == 15 or v[pos + 3] & 1:
+        return 0
+    lead = v[pos + 4]
+    n = 1 if lead < 0x80 else next((k for k in range(2, 8) if lead >> (7 - k) & 1 == 0), 8)
+    n += {6: 1, 7: 2}.get(v[pos + 2] >> 4, 0) + {12: 1, 13: 2, 14: 2}.get(v[pos + 2] & 15, 0) + 4
+    if pos + n >= len(v):
+        return 0
+    check = 0
+    for x in v[pos : pos + n]:
+        check = CRC8[check ^ x]
+    return n + 1 if check == v[pos + n] else 0
+
+
 def flac(v: bytes, at: int) -> int:
-    pos = at + 4
-    while pos + 4 <= len(v):
-        last, size = v[pos] >> 7, int.from_bytes(v[pos + 1 : pos + 4], "big")
-        if pos == at + 4 and (v[pos] & 127 or size != 34):
+    """Blocks of metadata with their lengths, then frames, each from a head that fits to the first place where its check sum comes out and a
+    frame follows or none does; frames are no shorter than the stream says."""
+    pos, least = at + 4, 0
+    while True:
+        if pos + 4 > len(v):
             return 0
+        last, size = v[pos] >> 7, int.from_bytes(v[pos + 1 : pos + 4], "big")
+        if pos == at + 4:
+            if v[pos] & 127 or size != 34 or pos + 38 > len(v):
+                return 0
+            least = int.from_bytes(v[pos + 8 : pos + 11], "big")
         pos += 4 + size
-        if last:  # the frames have no length of their own: the medium goes to the end
-            return len(v) - at if pos + 2 <= len(v) and v[pos] == 0xFF and v[pos + 1] & 0xFC == 0xF8 else 0
-    return 0
+        if last:
+            break
+    end = 0
+    while n := flac_head(v, pos):
+        check, found = 0, 0
+        for i in range(pos, len(v)):
+            check = (check << 8 & 0xFFFF) ^ CRC16[check >> 8 ^ v[i]]
+            if not check and i + 1 - pos >= max(least, n + 2):
+                found = found or i + 1
+                if flac_head(v, i + 1):
+                    found = i + 1
+                    break
+        if not found:
+            return 0
+        pos = end = found
+    return end - at if end else 0
 
 
 VALIDATORS = {"audio/wav": riff, "image/png": png, "image/gif": gif, "image/jpeg": jpeg, "application/pdf": pdf, "application/zip": zipped, "application/gzip": gzipped, "image/bmp": bmp, "video/mp4": mp4, "audio/ogg": ogg, "audio/flac": flac}
+#: Formats whose end is a mark somewhere behind.
+SEARCHING = {"application/pdf", "application/zip"}
 _AUTOMATON: list = []
 
 
@@ -218,13 +278,13 @@ def automaton():
 
 def media_in(v: bytes) -> list[tuple[int, int, str]]:
     """All whole media of a value: (offset, length, type), by offset; those within an embedded one aren't listed, those within one at 0 are."""
-    out, free = [], 0
+    out, free, places = [], 0, Places(v)
     for end, (n, back, kind) in sorted(automaton().iter(v.decode("latin-1")), key=lambda x: x[0] - x[1][0] + 1 - x[1][1]):
         at = end - n + 1 - back
         if at < free or at < 0:
             continue
         try:
-            length = VALIDATORS[kind](v, at)
+            length = VALIDATORS[kind](v, at, places) if kind in SEARCHING else VALIDATORS[kind](v, at)
         except (struct.error, IndexError):
             length = 0
         if length:

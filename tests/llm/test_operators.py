@@ -1,10 +1,14 @@
 """Each operator against a brute-force version on small documents with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import io
 import json
 import os
 import random
 import re
+import struct
+import time
+import wave
 import zlib
 
 import numpy as np
@@ -683,6 +687,40 @@ def test_mixing_draws(spark):
 # ---------------------------------------------------------------- 8
 
 
+def pad(t):
+    raw = t.encode()
+    return raw.ljust(max(192, -(-len(raw) // 192) * 192), b" ")
+
+
+def test_media_structure():
+    """Segments between scans are read by their lengths, frames by their check sums; a wrong byte in either is found."""
+
+    def crc(data, bits, poly):
+        r = 0
+        for x in data:
+            r ^= x << (bits - 8)
+            for _ in range(8):
+                r = (r << 1 ^ poly if r >> (bits - 1) & 1 else r << 1) & ((1 << bits) - 1)
+        return r
+
+    def frame(n, body):
+        head = bytes([0xFF, 0xF8, 0x19, 0x08, n])
+        head += bytes([crc(head, 8, 0x07)])
+        return head + body + crc(head + body, 16, 0x8005).to_bytes(2, "big")
+
+    stream = b"fLaC" + bytes([0x80, 0, 0, 34]) + bytes(4) + (20).to_bytes(3, "big") + bytes(27)
+    flac = stream + frame(0, bytes(range(40))) + frame(1, bytes(range(60, 90)))
+    assert media.flac(flac, 0) == len(flac) and (4, len(flac), "audio/flac") in media.media_in(b"junk" + flac + b"tail")
+    for k in (len(stream) + 4, len(stream) + 20, len(flac) - 1):
+        assert media.flac(flac[:k] + bytes([flac[k] ^ 1]) + flac[k + 1 :], 0) != len(flac)
+    scan = b"\xff\xda\0\x04cd\1\xff\0\xff\xd0\2"
+    jpg = b"\xff\xd8\xff\xe0\0\x06\xff\xd9ab" + scan + b"\xff\xc4\0\x04\xff\xd9" + scan + b"\xff\xd9"
+    assert media.jpeg(jpg, 0) == len(jpg) and media.jpeg(jpg[:-2], 0) == 0 and media.jpeg(jpg.replace(b"\xff\xc4\0\x04", b"\xff\xc4\0\x01"), 0) == 0
+    many = b"%PDF-1.4 PK\x03\x04" * 60_000
+    start = time.time()
+    assert media.media_in(many) == [] and time.time() - start < 20
+
+
 def test_media(docs, none):
     got = sorted((order(r["doc_id"]), r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) for r in media.examined(media.stored(docs)).collect())
     want = []
@@ -692,6 +730,24 @@ def test_media(docs, none):
         p = raw.ljust(n, b" ")
         want.append((order(i), len(raw), n, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:])))
     assert got == sorted(want)
+    # the stored form's bytes, and the features, made again without the operator
+    for r in media.examined(media.stored(docs)).collect():
+        t = next(text(t) for i, t, *_ in rows() if i == r["doc_id"] and hashlib.sha256(pad(text(t))).hexdigest() == r["payload_sha256"])
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(media.RATE)
+            w.writeframes(pad(t))
+        plain = out.getvalue()
+        own = b"olen" + struct.pack("<IQ", 8, len(t.encode()))
+        whole = b"RIFF" + struct.pack("<I", len(plain) - 8 + len(own)) + plain[8:36] + own + plain[36:]
+        assert (r["media_bytes"], r["media_sha256"]) == (len(whole), hashlib.sha256(whole).hexdigest())
+        x = [c - 128 for c in pad(t)]
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(x, x[1:], strict=False))
+        parts = r["feature"].split(";")
+        assert parts[:4] == ["audio/wav", f"rate={media.RATE}", "bits=8", f"frames={len(x)}"] and f"crossings={crossings}" in parts
+        assert abs(float(parts[4].split("=")[1]) - sum(x) / len(x)) < 1e-3 and abs(float(parts[5].split("=")[1]) - (sum(c * c for c in x) / len(x)) ** 0.5) < 1e-3
     assert media.examined(media.stored(none)).count() == 0
     one = media.examined(media.stored(docs)).where("doc_id = 2").first()
     assert one["media_type"] == "audio/wav" and one["corrected"] and one["valid"]
