@@ -68,6 +68,7 @@ class Codec:
         for token, i in vocab.items():
             if all(c in table for c in token):
                 self.tokens[i] = bytes(table[c] for c in token)
+        self.numbers = list(map(str, range(len(self.tokens))))
         self.lengths = np.array([len(t) for t in self.tokens], np.int64)
 
     @classmethod
@@ -150,7 +151,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         for batch in (part for whole in batches for part in steps(whole)):
             rows = []
             for ids in codec.encode(batch.column("text").to_pylist()):
-                rows.append((len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
+                rows.append((len(ids), hashlib.sha256(" ".join(map(codec.numbers.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(codec.decode(ids)).hexdigest()))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
