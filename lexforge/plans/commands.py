@@ -149,7 +149,8 @@ class Archive:
         archives.export_text(out, path) if plain else archives.export_lines(out, path)
 
     def zip(self, path: str, method: str = "deflate") -> None:
-        """The archive as record ZIPs, one a task."""
+        """The archive as record ZIPs, one a task. Each record names its member's method; `auto` takes the smallest for each."""
         archives.register(self.spark)
-        names = [c for c in self.records().columns if c != "seq"]
-        self.records().select(X.slug(F.col("topic")).alias("topic"), "text_sha256", archives.serialised(names).alias("record")).write.format("zipjson").mode("append").option("method", method).save(path)
+        records = self.records() if method == "auto" else self.records().withColumn("compression", F.lit(method))
+        names = [c for c in records.columns if c != "seq"]
+        records.select(X.slug(F.col("topic")).alias("topic"), "text_sha256", archives.serialised(names).alias("record")).write.format("zipjson").mode("append").option("method", method).save(path)

@@ -245,7 +245,8 @@ class ZipWriter(_Writer):
         with zipfile.ZipFile(path, "w", compression=zipfile.ZIP_DEFLATED, compresslevel=9) as z:
             z.writestr("archive.json", line({"format": "mixed-lossless-web-text", "version": 2, "record_path": "records/<topic>/<sha256>.json", "deduplication": "canonical URL and exact text hash"}) + "\n")
             for r in rows:
-                chosen, data, _ = member(r["record"], method)
+                # a record is written as it is given; with `auto` it is told the method that was chosen for it
+                chosen, data = member(r["record"])[:2] if method == "auto" else (method, r["record"])
                 z.writestr(f"records/{r['topic']}/{r['text_sha256']}.json", data, compress_type=METHODS[chosen], compresslevel=9)
         return Written(path)
 
