@@ -45,8 +45,9 @@ def page_block(url: Column, title: Column, text: Column, words: list[str]) -> Co
 def blocked_by_table(pages: DataFrame, entries: DataFrame, url: str = "url") -> DataFrame:
     """For block lists too long to be literals: pages with `blocked`, the earliest site entry (pos, site) that covers their host or path.
     An entry can only cover hosts that end with it, so pages meet entries on each ending of their host: an equi-join."""
-    e = entries.select("pos", "site", U.host(F.concat(F.lit("//"), F.regexp_replace("site", "^[a-z]+://", ""))).alias("_end"))
-    labels = F.split(U.host(F.col(url)), "\\.")
+    end = F.regexp_replace(U.host(F.concat(F.lit("//"), F.regexp_replace(X.folded(F.trim("site")), "^[a-z]+://", ""))), "^[*.]+|\\.+$", "")
+    e = entries.select("pos", "site", end.alias("_end"))
+    labels = F.split(F.regexp_replace(U.host(F.col(url)), "\\.+$", ""), "\\.")
     ends = pages.select(url).distinct().withColumn("_end", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
     hit = ends.join(e, "_end").where(U.site_matches(F.col(url), F.col("site"))).groupBy(url).agg(F.min(F.struct("pos", "site"))["site"].alias("blocked"))
     return pages.join(hit, url, "left")
@@ -64,6 +65,14 @@ def in_scope(url: Column, hosts: list[str], external: bool = False) -> Column:
     return F.lit(external) | F.lower(U.netloc(url)).isin(*hosts)
 
 
+def scoped(rows: DataFrame, hosts: DataFrame | list[str], external: bool = False, url: str = "url") -> DataFrame:
+    """rows with in_scope: whether an address is of one of the hosts, exactly and with its port. Hosts are a short list, or a table (host, distinct) that is joined."""
+    if external or not isinstance(hosts, DataFrame):
+        return rows.withColumn("in_scope", in_scope(F.col(url), [] if external else hosts, external))
+    known = hosts.select(F.col("host").alias("_host"), F.lit(True).alias("_known"))
+    return rows.join(known, F.lower(U.netloc(F.col(url))) == F.col("_host"), "left").withColumn("in_scope", F.col("_known").isNotNull()).drop("_host", "_known")
+
+
 def long_enough(text: Column, least: int = 40) -> Column:
     return F.length(F.coalesce(text, F.lit(""))) >= least
 

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from . import filters
 from .dedup import cut
 
 
-def children(pages: DataFrame, max_depth: int, hosts: list[str], external: bool = False) -> DataFrame:
-    """pages(url, links, depth) -> (parent, link, depth, pos): the links of each page that may be visited, in order."""
+def children(pages: DataFrame, max_depth: int, hosts: DataFrame | list[str] = (), external: bool = False) -> DataFrame:
+    """pages(url, links, depth) -> (parent, link, depth, pos): the links of each page that may be visited, in order. Without `external` they are
+    of the hosts (see `filters.scoped`)."""
     links = pages.where(F.col("depth") < max_depth).select(F.col("url").alias("parent"), "depth", F.posexplode("links").alias("at", "link"))
     kind, above = U.link_kind(F.col("link")), U.link_kind(F.col("parent"))
-    scope = F.lit(external) | F.lower(U.netloc(F.col("link"))).isin(*hosts)
+    links = filters.scoped(links, hosts, external, "link").where("in_scope")
     shell = U.is_archive_search(F.col("parent")) & (kind != "directory")
     wrong = (above == "directory") & ~kind.isin("directory", "content")
     own = (above == "directory") & (kind == "directory") & (U.tree_path(F.col("link")) == U.tree_path(F.col("parent")))
-    ok = links.where(scope & ~shell & ~wrong & ~above.isin("content", "raw") & ~own)
+    ok = links.where(~shell & ~wrong & ~above.isin("content", "raw") & ~own)
     ok = ok.withColumn("b", U.link_bucket(F.col("parent"), F.col("link"))).withColumn("k", U.link_key(F.col("link")))
     first = F.row_number().over(Window.partitionBy("parent", "k").orderBy("b", "at"))
     ok = ok.withColumn("n", first).where("n = 1").withColumn("d", U.child_depth(F.col("parent"), F.col("link"), F.col("depth"))).where(F.col("d") <= max_depth)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -11,7 +13,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import dedup, filters, frontier, ranking, rollup
 from ..sources import archives, payloads, search
-from . import curation
+from . import crawl, curation
 from . import oracles as O
 
 QUERIES: dict = {}
@@ -55,6 +57,13 @@ def doc_tokens(spark, sf_dir):
     return d.select("doc_id", F.size(t).alias("n_tokens"), F.size(s).alias("n_summary_tokens"), F.size(q).alias("n_query_tokens"), F.sha2(F.array_join(t, " "), 256).alias("digest"), F.sha2(F.array_join(q, " "), 256).alias("query_digest"))
 
 
+@query(O.ALL_TOKENS)
+def doc_tokens_whole(spark, sf_dir):
+    """Words with stop words and single characters kept, and words of topics, which are plain and longer than a character."""
+    t, p = X.tokens(F.col("text"), keep_stop_words=True), X.topic_tokens(F.col("text"))
+    return documents(spark, sf_dir).select("doc_id", F.size(t).alias("n_tokens"), F.sha2(F.array_join(t, " "), 256).alias("digest"), F.size(p).alias("n_topic_tokens"), F.sha2(F.array_join(p, " "), 256).alias("topic_digest"))
+
+
 @query(O.TOKEN_FREQUENCY)
 def doc_token_freq(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.explode(X.summary_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
@@ -180,6 +189,16 @@ def archive_append_dedup(spark, sf_dir):
     return dedup.append(d).select("seq", "stored", "duplicate_reason")
 
 
+@query(O.ARCHIVE_APPEND_LATER)
+def archive_append_known(spark, sf_dir):
+    """The second half of the documents, put to an archive that holds what was kept of the first."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("seq"), F.concat(F.lit("u"), F.col("doc_id") % 400).alias("canonical_url"), X.sha256(F.col("text")).alias("text_sha256"))
+    half = F.broadcast(d.agg((F.max("seq") / 2).alias("half")))
+    early, late = (dedup.cut(d.crossJoin(half).where(c).drop("half")) for c in ("seq <= half", "seq > half"))
+    known = early.join(dedup.append(early).where("stored").select("seq"), "seq")
+    return dedup.append(late, known=known).select("seq", "stored", "duplicate_reason")
+
+
 @query(O.CROSS_PAGE)
 def cross_page_summary_dedup(spark, sf_dir):
     """Near-dup of summaries' sentences over all documents. Summaries of 300 characters: few sentences each."""
@@ -216,6 +235,13 @@ def quality_assessment(spark, sf_dir):
     return _quality(spark, sf_dir).select("doc_id", "include", "score", "content_kind", "language", "characters", "replacement_characters", "base64_like_characters", "repeated_line_ratio", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(O.RAW_MISSING)
+def quality_without_raw(spark, sf_dir):
+    """Assessments as if no document's raw content could be had."""
+    q = documents(spark, sf_dir).select("doc_id", L.without_raw(L.quality(F.col("text"), F.lit("html"))).alias("q"))
+    return q.select("doc_id", "q.include", "q.score", F.array_join("q.reasons", ",").alias("reasons"))
+
+
 @query(O.QUALITY_ROLLUP)
 def quality_rollup(spark, sf_dir):
     return _quality(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n"), F.sum(F.col("include").cast("long")).alias("included"), F.sum("score").cast("long").alias("score"), F.sum("characters").alias("characters"))
@@ -248,6 +274,14 @@ def provenance_signals(spark, sf_dir):
     return p.select("page_id", "v.verdict", F.array_join("v.ai_signals", ",").alias("ai_signals"), F.array_join("v.human_signals", ",").alias("human_signals"), F.array_join("v.archive_signals", ",").alias("archive_signals"))
 
 
+@query(O.PROVENANCE_GATE)
+def provenance_gate(spark, sf_dir):
+    """Pages that pass where only signals of people, or of an archive, will do. Every third page is given an author."""
+    html = F.concat("html", F.when(F.col("page_id") % 3 == 0, F.lit('<meta name="author" content="x">')).otherwise(F.lit("")))
+    p = _training(spark, sf_dir).where(filters.passes_provenance(L.provenance(html, F.col("text"), F.col("title"), F.col("url"))))
+    return p.select("page_id", F.length("text").alias("characters"))
+
+
 # ---------------------------------------------------------------- addresses
 
 
@@ -294,6 +328,30 @@ def block_sites(spark, sf_dir):
     return raw_pages(spark, sf_dir).select("page_id", b["type"].alias("type"), b["value"].alias("value")).where("type is not null")
 
 
+@query(O.BLOCK_TABLE)
+def block_sites_table(spark, sf_dir):
+    """The block list as a table: an equi-join on the endings of hosts."""
+    entries = spark.createDataFrame(list(enumerate(BLOCK_SITES)), "pos int, site string")
+    return filters.blocked_by_table(raw_pages(spark, sf_dir).select("page_id", "url"), entries).where("blocked is not null").select("page_id", "blocked")
+
+
+@query(O.BLOCK_LISTS)
+def block_lists(spark, sf_dir):
+    """Lists as people type them, here texts and addresses: their entries, and those of sites."""
+    d = documents(spark, sf_dir).select("doc_id", F.array_sort(U.filter_values(F.col("text"), 2**31 - 1)).alias("v"), U.filter_values(F.col("text"), 1)[0].alias("first"))
+    p = raw_pages(spark, sf_dir).select(F.col("page_id").alias("doc_id"), U.block_sites(F.col("url")).alias("v"))
+    digest = F.sha2(F.array_join("v", ","), 256).alias("digest")
+    return d.select(F.lit("words").alias("kind"), "doc_id", F.size("v").alias("n"), digest, F.coalesce("first", F.lit("")).alias("first")).union(p.select(F.lit("sites"), "doc_id", F.size("v"), digest, F.col("v")[0]))
+
+
+@query(O.SCOPE)
+def host_scope(spark, sf_dir):
+    """Links of all pages, and whether they are of a host of the seeds, which are every tenth page."""
+    links = raw_pages(spark, sf_dir).select("page_id", F.posexplode(H.read(F.col("html"), F.col("url"), "links")["links"]).alias("pos", "url"))
+    hosts = raw_pages(spark, sf_dir).where("page_id % 10 = 0").select(F.lower(U.netloc(F.col("url"))).alias("host")).distinct()
+    return filters.scoped(links, hosts).select("page_id", "pos", "in_scope")
+
+
 @query(O.BLOCK_WORDS)
 def block_words(spark, sf_dir):
     words = ["then", "esha tion", "ndhe"]
@@ -348,7 +406,7 @@ def _linked(spark, sf_dir):
 
 @query(O.CRAWL_CHILDREN)
 def crawl_children(spark, sf_dir):
-    return frontier.children(_linked(spark, sf_dir), 2, [], external=True)
+    return frontier.children(_linked(spark, sf_dir), 2, external=True)
 
 
 @query(O.BFS)
@@ -359,6 +417,40 @@ def bfs_frontier(spark, sf_dir):
     return frontier.breadth_first(edges, seeds, 3)
 
 
+@query(O.LINK_FACTS)
+def link_facts(spark, sf_dir):
+    """What each link of the pages stands for, how deep it is, whether it goes first, and its place among the page's links."""
+    e = _linked(spark, sf_dir).select("page_id", "url", "depth", F.posexplode("links").alias("pos", "link"))
+    return e.select("page_id", "pos", U.link_key(F.col("link")).alias("key"), U.child_depth(F.col("url"), F.col("link"), F.col("depth")).alias("depth"), U.goes_first(F.col("url")).alias("first"), U.link_bucket(F.col("url"), F.col("link")).alias("bucket"), U.is_textual(F.lit("text/html"), F.col("link"), F.lit(False)).alias("textual"))
+
+
+def _web(spark, sf_dir):
+    """The pages as a web that was kept, in which two of three origins have rules."""
+    p = raw_pages(spark, sf_dir).select("page_id", "url", "html")
+    origin = F.concat(U.scheme(F.col("url")), F.lit("://"), F.lower(U.netloc(F.col("url"))))
+    rules = F.lit("User-agent: *\nDisallow: /fr/1\nDisallow: /p\n")
+    robots = p.select(origin.alias("o")).distinct().where(F.length("o") % 3 != 0).select(F.lit(-1).cast("long").alias("page_id"), F.concat("o", F.lit("/robots.txt")).alias("url"), rules.alias("html"))
+    return payloads.stored(p.withColumn("page_id", F.col("page_id").cast("long")).union(robots))
+
+
+def _seeds(spark, sf_dir):
+    return raw_pages(spark, sf_dir).select("url", F.col("page_id").alias("pos"))
+
+
+@query(O.CRAWL)
+def crawl_stored_web(spark, sf_dir):
+    """A crawl of the kept web from all its pages: gates, robots rules, assembly, first-come dedup, and the links one level on."""
+    config = crawl.Config(max_pages=2**31 - 1, max_depth=1, delay=0.0, blocked_sites=["example.com/es", "*.example.org/fr"], blocked_words=["login"])
+    return crawl.crawl(spark, config, _web(spark, sf_dir), seeds=_seeds(spark, sf_dir)).events.select("url", "depth", "status", "duplicate_reason")
+
+
+@query(O.COMPACT_CRAWL)
+def compact_stored_web(spark, sf_dir):
+    """A compact crawl of the kept web."""
+    config = crawl.Config(max_pages=2**31 - 1, max_depth=1, delay=0.0)
+    return crawl.compact_pages(spark, config, _web(spark, sf_dir), seeds=_seeds(spark, sf_dir)).select("url", "depth", "title", X.sha256(F.col("text")).alias("text_sha256"))
+
+
 TREE = [("r", "src", "dir", "s"), ("r", "a.py", "file", "1"), ("r", "yarn.lock", "file", "2"), ("s", "b.go", "file", "3"), ("s", "i.png", "file", "4"), ("s", "deep", "dir", "d"), ("d", "c.rs", "file", "5"), ("s", "sub", "rev", "x")]
 
 
@@ -432,6 +524,12 @@ def pipeline_site_rollup(spark, sf_dir):
     return rollup.site_rollup(curation.events(_curated(spark, sf_dir)))
 
 
+@query(O.SITE_TABLE)
+def pipeline_site_table(spark, sf_dir):
+    """Sites as they are shown, those with most bytes first."""
+    return rollup.sites_by_size(pipeline_site_rollup(spark, sf_dir)).select("site", "pages", "stored", "source_bytes")
+
+
 @query(O.STATS)
 def pipeline_stats(spark, sf_dir):
     return rollup.counters(curation.events(_curated(spark, sf_dir)))
@@ -474,6 +572,56 @@ def archive_export(spark, sf_dir):
     return rollup.export(_records(spark, sf_dir), topic="other", document_type="article", training_only=True).select("doc_id", "text_sha256")
 
 
+@query(O.BACKFILL)
+def archive_export_backfill(spark, sf_dir):
+    """Records of which every third is from before there were assessments: export gives it one."""
+    new = F.col("doc_id") % 3 != 0
+    r = _records(spark, sf_dir).withColumns({"include": F.when(new, F.col("include")), "score": F.when(new, F.lit(1)), "language": F.when(new, F.col("language"))})
+    return rollup.export(r, training_only=True).select("doc_id", "include", "language", "text_sha256")
+
+
+@query(O.SAMPLES)
+def archive_samples(spark, sf_dir):
+    """The first three records as a report shows them."""
+    r = _records(spark, sf_dir).withColumn("title", F.when(F.col("doc_id") != 1, F.col("topic"))).withColumn("url", F.concat(F.lit("http://h/"), F.col("doc_id")))
+    return rollup.samples(r, "doc_id")
+
+
+def _folder(spark, name):
+    """A folder of its own among the session's checkpoints, which driver and executors share."""
+    dedup.cut(spark.range(1))  # names the folder where a local session has none
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(O.COMPACT_FILES)
+def compact_containers(spark, sf_dir):
+    """All documents written as compact containers and read back."""
+    archives.register(spark)
+    at = _folder(spark, "compact")
+    d = documents(spark, sf_dir).select(F.concat(F.lit("http://h/"), F.col("doc_id")).alias("url"), F.col("source").alias("title"), F.col("text").alias("summary"), F.lit(1).alias("depth"), (F.length("text") / 8).alias("quality"), F.col("lang").alias("retrieved_at"))
+    d.write.format("lca").mode("append").save(at)
+    return spark.read.format("lca").load(at).select("url", "title", X.sha256(F.col("summary")).alias("digest"), "depth", "quality", "retrieved_at")
+
+
+@query(O.RECORD_FILES)
+def record_archives(spark, sf_dir):
+    """All distinct texts written as record archives and read back: each member's place and text."""
+    archives.register(spark)
+    at = _folder(spark, "records")
+    r = _records(spark, sf_dir).groupBy("text_sha256").agg(F.min_by(F.struct("doc_id", "topic", "text"), "doc_id").alias("r")).select("text_sha256", "r.*")
+    r.select(X.slug(F.col("topic")).alias("topic"), "text_sha256", archives.serialised(["doc_id", "text"]).alias("record")).write.format("zipjson").mode("append").save(at)
+    back = F.from_json("record", "doc_id long, text string")
+    return spark.read.format("zipjson").load(at).select("member", "topic", back["doc_id"].alias("doc_id"), X.sha256(back["text"]).alias("text_sha256"), "method")
+
+
+@query(O.EXPORT_FILES)
+def export_files(spark, sf_dir):
+    """Records exported as JSON lines and read back."""
+    at = _folder(spark, "export")
+    archives.export_lines(rollup.export(_records(spark, sf_dir), training_only=True), at)
+    return spark.read.schema("doc_id long, text string, topic string, text_bytes long").json(at).select("doc_id", "topic", "text_bytes", X.sha256(F.col("text")).alias("text_sha256"))
+
+
 @query(O.BUDGET)
 def budget_prefix(spark, sf_dir):
     return rollup.budget_cut(documents(spark, sf_dir).select("doc_id", "text"), F.octet_length("text"), "doc_id", 200_000).select("doc_id")

@@ -96,6 +96,15 @@ def _bare(rows: DataFrame, status) -> DataFrame:
     return have.select(*[c if c in have.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in EVENT])
 
 
+def _start(spark: SparkSession, seeds: list[str] | DataFrame, first: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(addresses to begin with, their hosts). Seeds are a list, or a table (url, pos) where they are many."""
+    if not isinstance(seeds, DataFrame):
+        seeds = spark.createDataFrame(list(zip(seeds, range(len(seeds)), strict=True)), "url string, pos long")
+    place = F.concat(F.array(*map(F.lit, first)).cast("array<long>"), F.array(F.col("pos").cast("long")))
+    now = seeds.select(U.normal(F.col("url")).alias("url"), F.lit(0).alias("depth"), place.alias("seq")).where("url is not null")
+    return now, dedup.cut(now.select(F.lower(U.netloc(F.col("url"))).alias("host")).distinct())
+
+
 def _robots(spark: SparkSession, urls: DataFrame, get) -> DataFrame:
     """The rules of the addresses' origins; null where they can't be had."""
     origin = F.concat(U.scheme(F.col("url")), F.lit("://"), U.netloc(F.col("url")))
@@ -104,16 +113,16 @@ def _robots(spark: SparkSession, urls: DataFrame, get) -> DataFrame:
     return asked.join(got.select("url", F.col("d.text").alias("rules")), "url", "left").select("origin", "rules")
 
 
-def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, known: DataFrame | None = None, agent: str = "lexforge", method: str = "deflate", on_events: Callable[[DataFrame], None] | None = None, stop: Callable[[], bool] | None = None) -> Crawl:
-    """Runs a crawl. `get` fetches one address (see `payloads.fetch`) and runs on the executors; `known` has the canonical_url and text_sha256
+def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] | DataFrame = payloads.http_get, known: DataFrame | None = None, agent: str = "lexforge", method: str = "deflate", on_events: Callable[[DataFrame], None] | None = None, stop: Callable[[], bool] | None = None, seeds: DataFrame | None = None) -> Crawl:
+    """Runs a crawl. `get` fetches one address and runs on the executors, or is a web that was kept (see `payloads.fetch`); `seeds` (url, pos) stands in for
+    the configuration's list; `known` has the canonical_url and text_sha256
     of an archive's records. `max_pages` counts pages that are fetched. `on_events` is given each level's events, and before each level `stop` may end the crawl.
     In training mode pages of a source archive bring the raw file, and its directories the files below them."""
-    seeds = list(config.seeds)
+    listed = list(config.seeds)
     if config.topic:
         hits = search.search_web(spark, config.topic, get, max(2 * config.discover_limit, 12))
-        seeds += [r["url"] for r in ranking.diverse_seeds(hits, config.topic, config.discover_limit).orderBy("seed").collect() if r["url"] not in seeds]
-    now = spark.createDataFrame([(u, 0, [0, i]) for i, u in enumerate(seeds)], "url string, depth int, seq array<long>").withColumn("url", U.normal(F.col("url"))).where("url is not null")
-    hosts = [r[0] for r in now.select(F.lower(U.netloc(F.col("url")))).distinct().collect()]
+        listed += [r["url"] for r in ranking.diverse_seeds(hits, config.topic, config.discover_limit).orderBy("seed").collect() if r["url"] not in listed]
+    now, hosts = _start(spark, listed if seeds is None else seeds, [0])
     visited = events = stored = None
     left = config.max_pages
     while left > 0 and not (stop and stop()):
@@ -123,7 +132,7 @@ def crawl(spark: SparkSession, config: Config, get: Callable[[str], tuple | None
         if now.isEmpty():
             break
         visited = now.select("key", "url", "depth", "seq") if visited is None else dedup.cut(visited.union(now.select("key", "url", "depth", "seq")))
-        gated = now.withColumn("b", filters.url_block(F.col("url"), config.blocked_sites, config.blocked_words)).withColumn("in_scope", filters.in_scope(F.col("url"), hosts, config.follow_external))
+        gated = filters.scoped(now.withColumn("b", filters.url_block(F.col("url"), config.blocked_sites, config.blocked_words)), hosts, config.follow_external)
         if config.respect_robots:
             gated = filters.robots_allowed(gated, _robots(spark, gated.where("b is null and in_scope"), get), agent)
         else:
@@ -176,11 +185,10 @@ def _readable(got: DataFrame) -> DataFrame:
     return r.select("seq", "depth", F.col("url").alias("asked_url"), F.col("at").alias("url"), F.when(page, H.title(F.col("body"))).otherwise(F.lit("")).alias("title"), "text", links.alias("links"))
 
 
-def compact_pages(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] = payloads.http_get, agent: str = "lexforge") -> DataFrame:
+def compact_pages(spark: SparkSession, config: Config, get: Callable[[str], tuple | None] | DataFrame = payloads.http_get, agent: str = "lexforge", seeds: DataFrame | None = None) -> DataFrame:
     """seq (the depth, then the places on the way), url, depth, title, text of a compact crawl: addresses in the order in which they were found, each once, in scope and allowed.
     `max_pages` counts records, so further addresses are asked while there are too few; pages of equal text are records of their own."""
-    now = spark.createDataFrame([(u, 0, [0, 0, i]) for i, u in enumerate(config.seeds)], "url string, depth int, seq array<long>").withColumn("url", U.normal(F.col("url"))).where("url is not null")
-    hosts = [r[0] for r in now.select(F.lower(U.netloc(F.col("url")))).distinct().collect()]
+    now, hosts = _start(spark, config.seeds if seeds is None else seeds, [0, 0])
     visited = records = None
     left = config.max_pages
     while left > 0:
@@ -189,7 +197,7 @@ def compact_pages(spark: SparkSession, config: Config, get: Callable[[str], tupl
         if now.isEmpty():
             break
         visited = now.select("url") if visited is None else dedup.cut(visited.union(now.select("url")))
-        open_ = now.where(filters.in_scope(F.col("url"), hosts, config.follow_external))
+        open_ = filters.scoped(now, hosts, config.follow_external).where("in_scope").drop("in_scope")
         if config.respect_robots:
             open_ = filters.robots_allowed(open_, _robots(spark, open_, get), agent).where("allowed")
         open_, level = dedup.cut(open_.select("url", "depth", "seq")), None
@@ -206,7 +214,7 @@ def compact_pages(spark: SparkSession, config: Config, get: Callable[[str], tupl
         records = level if records is None else records.union(level)
         opened = level.where(F.col("depth") < config.max_depth).select("seq", "depth", F.posexplode("links").alias("pos", "link"))
         opened = opened.select(F.col("link").alias("url"), (F.col("depth") + 1).alias("depth"), F.concat(F.array((F.col("depth") + 1).cast("long")), F.slice("seq", 2, F.size("seq") - 1), F.array(F.col("pos").cast("long"))).alias("seq"))
-        now = opened.where(filters.in_scope(F.col("url"), hosts, config.follow_external))
+        now = filters.scoped(opened, hosts, config.follow_external).where("in_scope").drop("in_scope")
     empty = spark.createDataFrame([], "seq array<long>, depth int, url string, title string, text string")
     return empty if records is None else records.select("seq", "depth", "url", "title", "text")
 

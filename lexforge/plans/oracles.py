@@ -40,6 +40,10 @@ SELECT doc_id, len(t) AS n_tokens, len(s) AS n_summary_tokens, len(q) AS n_query
 """
 
 TOKEN_FREQUENCY = f"SELECT doc_id, token, count(*) AS n FROM (SELECT doc_id, unnest({summary_tokens('text')}) AS token FROM documents) GROUP BY ALL"
+ALL_TOKENS = f"""
+WITH t AS (SELECT doc_id, list_transform(regexp_extract_all(text, '{WORD}'), lambda w: replace(lower(w), '’', '''')) AS t, list_transform(list_filter(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 1), lambda w: {fold('w')}) AS p FROM documents)
+SELECT doc_id, len(t) AS n_tokens, sha256({text_of('t')}) AS digest, len(p) AS n_topic_tokens, sha256({text_of('p')}) AS topic_digest FROM t
+"""
 
 PARTS = r"""
 cut AS (SELECT doc_id, source, string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', '\1' || chr(30), 'g'), '\n{2,}', chr(30), 'g'), chr(30)) AS p FROM documents),
@@ -447,3 +451,54 @@ MOST_COMMON = "SELECT event_type, count(*) AS n, min(event_id) AS first_seen FRO
 BYTES_LABEL = "SELECT * FROM (VALUES (0, '0 B'), (1, '1,023 B'), (2, '1.0 KB'), (3, '1.5 KB'), (4, '1.0 MB'), (5, '5.0 GB'), (6, '6.0 TB')) v(id, label)"
 BOUNDED = "SELECT * FROM (VALUES (0, 1, 5, 60.0, true), (1, 100000, 7, 0.0, false), (2, 500, 64, 0.5, false)) v(id, pages, workers, delay, flag)"
 SLUGS = f"SELECT doc_id, coalesce(nullif(trim(regexp_replace({fold('text')}, '[^a-z0-9_-]+', '_', 'g'), '_'), ''), 'other') AS slug FROM documents"
+
+# ---------------------------------------------------------------- archives, gates and crawls once more
+
+ARCHIVE_APPEND_LATER = f"{ARCHIVE_APPEND.rstrip()} AND seq > (SELECT max(doc_id) / 2 FROM documents)"
+RAW_MISSING = f"WITH {QUALITY_CTE} SELECT doc_id, false AS include, least(score, 15) AS score, CASE WHEN reasons = '' THEN '' ELSE reasons || ',' END || 'raw_content_unavailable' AS reasons FROM q"
+_AUTHOR = "p.url, p.html || CASE WHEN p.page_id % 3 = 0 THEN '<meta name=\"author\" content=\"x\">' ELSE '' END AS html,"
+PROVENANCE_GATE = f"SELECT page_id, length(text) AS characters FROM ({PROVENANCE.replace('p.url, p.html,', _AUTHOR).replace(' FROM tp)', ', text FROM tp)').replace('archive_signals FROM s', 'archive_signals, text FROM s')}) WHERE verdict IN ('human_signals', 'archive_signals')"
+BLOCK_TABLE = f"SELECT page_id, s AS blocked FROM (SELECT page_id, {SITES} AS s FROM pages) WHERE s IS NOT NULL"
+_FLAT = r"trim(regexp_replace(x, '\s+', ' ', 'g'))"
+BLOCK_LISTS = rf"""
+WITH v AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[\r\n,]+'), lambda x: {fold(_FLAT)}), lambda x: x <> '') AS v FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(v)) AS u, v[1] AS first FROM v),
+p AS (SELECT page_id, rtrim(rtrim({fold(NETLOC)} || rtrim({fold(PATH)}, '/'), '/'), '/') AS site FROM pages)
+SELECT 'words' AS kind, doc_id, len(u) AS n, sha256({text_of('u').replace("' '", "','")}) AS digest, coalesce(first, '') AS first FROM s
+UNION ALL SELECT 'sites', page_id, 1, sha256(site), site FROM p
+"""
+SCOPE = f"""WITH {LINK_CTE}, hosts AS (SELECT DISTINCT {NETLOC} AS h FROM pages WHERE page_id % 10 = 0)
+SELECT page_id, pos, {NETLOC.replace('(url', '(link')} IN (SELECT h FROM hosts) AS in_scope FROM links_"""
+LINK_FACTS = f"WITH {LINK_CTE} SELECT page_id, pos, {canonical('link')} AS key, 1 AS depth, false AS first, 0 AS bucket, true AS textual FROM links_"
+SITE_TABLE = f"SELECT site, pages, stored, source_bytes FROM ({SITE_ROLLUP})"
+BACKFILL = f"WITH {RECORD_CTE} SELECT doc_id, include, language, text_sha256 FROM rec WHERE include"
+SAMPLES = f"""WITH {RECORD_CTE} SELECT doc_id, CASE WHEN doc_id = 1 THEN '(untitled)' ELSE topic END AS title, 'http://h/' || doc_id AS url, topic, document_type, left(text, 400) AS text
+FROM rec JOIN documents USING (doc_id) ORDER BY doc_id LIMIT 3"""
+COMPACT_FILES = "SELECT 'http://h/' || doc_id AS url, source AS title, sha256(text) AS digest, 1 AS depth, length(text) / 8.0 AS quality, lang AS retrieved_at FROM documents"
+RECORD_FILES = f"""WITH {RECORD_CTE}, f AS (SELECT text_sha256, min(doc_id) AS doc_id, arg_min(topic, doc_id) AS topic FROM rec GROUP BY 1)
+SELECT 'records/' || topic || '/' || text_sha256 || '.json' AS member, topic, doc_id, text_sha256, 'deflate' AS method FROM f"""
+EXPORT_FILES = f"WITH {RECORD_CTE} SELECT doc_id, topic, text_bytes, text_sha256 FROM rec WHERE include"
+
+_ORIGIN = f"({SCHEME} || '://' || {NETLOC})"
+_BARRED = f"(length({_ORIGIN}) % 3 <> 0 AND (starts_with({PATH}, '/fr/1') OR starts_with({PATH}, '/p')))"
+_URL_BLOCK = f"({_SITE_HIT} IS NOT NULL OR {_whole(f"lower({NETLOC} || {PATH} || '?' || {QUERY})", 'login')})"
+
+
+def _once(sql: str, table: str) -> str:
+    """SQL over another table than pages."""
+    return sql.replace("FROM pages", f"FROM {table}")
+
+
+CRAWL = f"""WITH RECURSIVE one AS (SELECT * EXCLUDE (k), {canonical('url')} AS key FROM (SELECT *, row_number() OVER (PARTITION BY {canonical('url')} ORDER BY page_id) AS k FROM pages) WHERE k = 1),
+gated AS (SELECT *, CASE WHEN {_URL_BLOCK} THEN 'blocked' WHEN {_BARRED} THEN 'robots_blocked' END AS before FROM one),
+asked AS (SELECT * FROM gated WHERE before IS NULL),
+{_once(CURATED, 'asked')},
+shown AS (SELECT g.page_id, g.url, coalesce(g.before, st.status, 'fetch_failed') AS status, st.duplicate_reason, st.page_id IS NOT NULL AND st.status <> 'blocked' AS follow FROM gated g LEFT JOIN st USING (page_id)),
+{_once(LINK_CTE, 'asked').replace('a0 AS', 'la0 AS').replace('FROM a0', 'FROM la0')},
+nxt AS (SELECT link AS url, row_number() OVER (PARTITION BY {canonical('link')} ORDER BY page_id, pos) AS k FROM links_ JOIN shown USING (page_id)
+  WHERE follow AND {NETLOC.replace('(url', '(link')} IN (SELECT {NETLOC} FROM one) AND {canonical('link')} NOT IN (SELECT key FROM one))
+SELECT {normal('url')} AS url, 0 AS depth, status, duplicate_reason FROM shown
+UNION ALL SELECT url, 1, CASE WHEN {_URL_BLOCK} THEN 'blocked' WHEN {_BARRED} THEN 'robots_blocked' ELSE 'fetch_failed' END, NULL FROM nxt WHERE k = 1"""
+COMPACT_CRAWL = f"""WITH one AS (SELECT * EXCLUDE (k) FROM (SELECT *, row_number() OVER (PARTITION BY {normal('url')} ORDER BY page_id) AS k FROM pages) WHERE k = 1 AND NOT {_BARRED}),
+{_once(page_cte('compact'), 'one')}
+SELECT {normal('one.url')} AS url, 0 AS depth, {TITLE} AS title, sha256(t.text) AS text_sha256 FROM one JOIN page_ t USING (page_id) WHERE length(t.text) >= 40"""

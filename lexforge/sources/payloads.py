@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import types as Y
+from ..functions.urls import host, normal
 
 # Names of one charset, and what is tried after the stated ones.
 ALIASES = {"windows-31j": "cp932", "x-sjis": "cp932", "shift_jis": "cp932", "shift-jis": "cp932", "ms_kanji": "cp932", "utf8": "utf-8"}
@@ -71,11 +72,12 @@ def sniffed(raw: pd.Series) -> pd.Series:
 FETCHED = "url string, final_url string, content_type string, charset string, http_status int, raw binary"
 
 
-def fetch(urls: DataFrame, get: Callable[[str], tuple | None], delay: float = 0.0, most: int = 8_000_000) -> DataFrame:
+def fetch(urls: DataFrame, get: Callable[[str], tuple | None] | DataFrame, delay: float = 0.0, most: int = 8_000_000) -> DataFrame:
     """urls(url) -> responses. Addresses are dealt by host, so that one task spaces its host's requests; `get` returns (final url, type,
-    charset, status, bytes) or None. Rows without a response or beyond the size cap are left out."""
-    from ..functions.urls import host
-
+    charset, status, bytes) or None. Rows without a response or beyond the size cap are left out. In place of a function a table of
+    responses will do (see `stored`), which the addresses are joined with."""
+    if isinstance(get, DataFrame):
+        return urls.select("url").join(get.where(F.octet_length("raw") <= most), "url")
     def run(batches):
         import time
 
@@ -118,6 +120,13 @@ def http_get(url: str, agent: str = "lexforge", timeout: float = 20.0, most: int
         return None
 
 
+def stored(pages: DataFrame, order: str = "page_id") -> DataFrame:
+    """Pages (order, url, html) that were kept, as responses by address: a web that `fetch` can be given. Of pages with one address the first answers;
+    addresses that aren't of the web go."""
+    first = pages.withColumn("at", normal(F.col("url"))).where("at is not null and html is not null").groupBy("at").agg(F.min_by("html", order).alias("html"))
+    return first.select(F.col("at").alias("url"), F.col("at").alias("final_url"), F.lit("text/html").alias("content_type"), F.lit("utf-8").alias("charset"), F.lit(200).alias("http_status"), F.encode("html", "utf-8").alias("raw"))
+
+
 def local_files(spark: SparkSession, path: str, most: int = 8_000_000) -> DataFrame:
     """Files as responses: HTML by their ending, else plain text; status 200."""
     files = spark.read.format("binaryFile").load(path).where(F.col("length") <= most)
