@@ -107,14 +107,18 @@ def topic_scores(title: Column, c: Column) -> Column:
         return own
 
     def scored(f: Column) -> Column:
-        def count(part: str, word: str) -> Column:
+        """Each keyword that was found is counted once; topics look their weights up."""
+
+        def times(part: str, word: Column) -> Column:
             return F.least(F.size(F.filter(f[part], lambda w: w == word)), F.lit(12))
 
+        counts = F.transform(F.array_distinct(F.concat(f["head"], f["body"])), lambda w: F.struct(w.alias("w"), (times("head", w) * 4 + times("body", w)).alias("n")))
+        return X.bound(counts, ranked)
+
+    def ranked(counts: Column) -> Column:
         def total(words: dict[str, int]) -> Column:
-            out = F.lit(0)
-            for w, weight in words.items():
-                out = out + (count("head", w) * 4 + count("body", w)) * weight
-            return out
+            weights = F.expr("map(" + ", ".join(f'"{w}", {n}' for w, n in words.items()) + ")")
+            return F.aggregate(counts, F.lit(0), lambda t, c: t + c["n"] * F.coalesce(weights[c["w"]], F.lit(0)))
 
         return F.array_sort(F.array(*[F.struct((-total(w)).alias("minus"), F.lit(name).alias("topic")) for name, w in K.TOPICS.items()]))
 
