@@ -96,13 +96,15 @@ def _bare(rows: DataFrame, status) -> DataFrame:
     return have.select(*[c if c in have.columns else F.lit(None).cast(kinds.get(c, "string")).alias(c) for c in EVENT])
 
 
-def _start(spark: SparkSession, seeds: list[str] | DataFrame, first: list[int]) -> tuple[DataFrame, DataFrame]:
-    """(addresses to begin with, their hosts). Seeds are a list, or a table (url, pos) where they are many."""
-    if not isinstance(seeds, DataFrame):
+def _start(spark: SparkSession, seeds: list[str] | DataFrame, first: list[int]) -> tuple[DataFrame, DataFrame | list[str]]:
+    """(addresses to begin with, their hosts). Seeds are a list that someone typed, whose hosts are a list too, or a table (url, pos) where they are many."""
+    many = isinstance(seeds, DataFrame)
+    if not many:
         seeds = spark.createDataFrame(list(zip(seeds, range(len(seeds)), strict=True)), "url string, pos long")
     place = F.concat(F.array(*map(F.lit, first)).cast("array<long>"), F.array(F.col("pos").cast("long")))
     now = seeds.select(U.normal(F.col("url")).alias("url"), F.lit(0).alias("depth"), place.alias("seq")).where("url is not null")
-    return now, dedup.cut(now.select(F.lower(U.netloc(F.col("url"))).alias("host")).distinct())
+    hosts = now.select(F.lower(U.netloc(F.col("url"))).alias("host")).distinct()
+    return now, dedup.cut(hosts) if many else [r["host"] for r in hosts.collect()]
 
 
 def _robots(spark: SparkSession, urls: DataFrame, get) -> DataFrame:
