@@ -351,3 +351,27 @@ def test_local_files(spark, tmp_path):
     (tmp_path / "a.html").write_text("<p>x")
     (tmp_path / "b.txt").write_text("y")
     assert sorted(r["content_type"] for r in payloads.local_files(spark, str(tmp_path)).collect()) == ["text/html", "text/plain"]
+
+
+@pytest.mark.parametrize("scheme", ["file:", "file://", "file://localhost", ""])
+def test_containers_by_file_addresses(spark, tmp_path, scheme):
+    """Hadoop's form of a checkpoint folder, file:/x, is that folder and not one below the process's own."""
+    archives.register(spark)
+    at = f"{scheme}{tmp_path}"
+    d = spark.createDataFrame([("u", "t", "s é\u2028x", 1, 0.5, "2024")], archives.COMPACT).coalesce(1)
+    d.write.format("lca").mode("append").save(f"{at}/lca")
+    z = spark.createDataFrame([("code", "a" * 64, "{}")], "topic string, text_sha256 string, record string").coalesce(1)
+    z.write.format("zipjson").mode("append").save(f"{at}/zip")
+    assert len(list(tmp_path.glob("lca/*.lca"))) == len(list(tmp_path.glob("zip/*.zip"))) == 1
+    assert list(map(tuple, spark.read.format("lca").load(f"{at}/lca").collect())) == list(map(tuple, d.collect()))
+    assert spark.read.format("zipjson").load(f"{at}/zip").count() == 1
+    with pytest.raises(ValueError):
+        archives.plain("viewfs://store/x")
+
+
+def test_rows_packed_one_by_one(tmp_path):
+    rows = [{"url": f"u{i}", "summary": "s\u0085" * i} for i in range(50)]
+    (tmp_path / "x.lca").write_bytes(archives.packed_rows(iter(rows), "q"))
+    head, back = archives.unpack((tmp_path / "x.lca").read_bytes())
+    assert back == rows == list(archives.unpacked_rows(f"{tmp_path}/x.lca")) and head["records"] == 50 and head["query"] == "q"
+    assert head["raw_bytes"] == sum(len(archives.line(r).encode()) + 1 for r in rows)
