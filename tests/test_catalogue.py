@@ -94,3 +94,11 @@ def test_native_plans_stay_in_the_jvm(spark, sf, capsys):
         catalogue.QUERIES[name](spark, sf).explain("formatted")
     out = capsys.readouterr().out
     assert "Python" not in out and "Arrow" not in out and "CartesianProduct" not in out
+
+
+def test_block_lists_without_entries(spark, tmp_path):
+    """Texts of commas and blanks only, and addresses without a site, make empty lists, as SQL says of the texts."""
+    spark.createDataFrame([(1, " ,\n, "), (2, ""), (3, "b, A,b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(4, " , ", ""), (5, "http://H.com/a/", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["doc_id"]: (r["kind"], r["n"], r["first"]) for r in catalogue.QUERIES["block_lists"](spark, str(tmp_path)).collect()}
+    assert got == {1: ("words", 0, ""), 2: ("words", 0, ""), 3: ("words", 2, "b"), 4: ("sites", 0, ""), 5: ("sites", 1, "h.com/a")}
