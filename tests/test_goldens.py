@@ -375,3 +375,23 @@ def test_rows_packed_one_by_one(tmp_path):
     head, back = archives.unpack((tmp_path / "x.lca").read_bytes())
     assert back == rows == list(archives.unpacked_rows(f"{tmp_path}/x.lca")) and head["records"] == 50 and head["query"] == "q"
     assert head["raw_bytes"] == sum(len(archives.line(r).encode()) + 1 for r in rows)
+
+
+def test_spare_blanks_by_the_plain_patterns(spark):
+    """Squeezing touches runs only where they aren't one blank; every kind of white space is covered."""
+    spaces = [chr(i) for i in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, 0x2000, 0x2007, 0x200A, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)]
+    rows = [(f"a{x}b {x}c{x} d{x}{y}e  f g{y}",) for x in spaces for y in spaces]
+    plain = "(?U)[\\s\\x1f&&[^\\n\\x0b\\x0c\\r\\x1c-\\x1e\\x85\\u2028\\u2029]]+"
+    lines = F.filter(F.transform(F.split(F.regexp_replace(X.folded(F.col("t")), plain, " "), X.LINE_END), F.trim), lambda x: x != "")
+    d = spark.createDataFrame(rows, "t string").select("t", (X.squeezed(F.col("t")) == F.regexp_replace("t", X.SPACES, " ")).alias("s"), (X.folded_lines(F.col("t")) == lines).alias("l"))
+    assert d.where("not (s and l)").isEmpty()
+
+
+def test_assessments_are_made_once(spark):
+    """However many fields are asked for; `included` is the quality's."""
+    d = spark.createDataFrame([(1, "word " * 60), (2, "short"), (3, "A" * 300), (4, "\ufffd" * 200), (5, None)], "id int, text string")
+    q = d.select("id", L.without_raw(L.quality(F.col("text"), F.lit("html"))).alias("q")).select("id", "q.include", "q.score", "q.reasons", "q.language")
+    plan = q._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{200,}") == 1, plan
+    same = d.select((L.included(F.col("text"), F.lit("html")) == L.quality(F.col("text"), F.lit("html"))["include"]).alias("same"))
+    assert same.where("not same").isEmpty() and same.count() == 5
