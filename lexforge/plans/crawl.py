@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import html as H
+from ..functions import types as Y
 from ..functions import urls as U
 from ..operators import dedup, filters, frontier, ranking, rollup
 from ..sources import payloads, search
@@ -98,6 +99,7 @@ def _bare(rows: DataFrame, status) -> DataFrame:
 
 def _start(spark: SparkSession, seeds: list[str] | DataFrame, first: list[int]) -> tuple[DataFrame, DataFrame | list[str]]:
     """(addresses to begin with, their hosts). Seeds are a list that someone typed, whose hosts are a list too, or a table (url, pos) where they are many."""
+    Y.small_batches(spark)
     many = isinstance(seeds, DataFrame)
     if not many:
         seeds = spark.createDataFrame(list(zip(seeds, range(len(seeds)), strict=True)), "url string, pos long")

@@ -9,6 +9,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lexforge.plans import catalogue, curation
 from lexforge.sources import archives
@@ -102,3 +103,21 @@ def test_block_lists_without_entries(spark, tmp_path):
     spark.createDataFrame([(4, " , ", ""), (5, "http://H.com/a/", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = {r["doc_id"]: (r["kind"], r["n"], r["first"]) for r in catalogue.QUERIES["block_lists"](spark, str(tmp_path)).collect()}
     assert got == {1: ("words", 0, ""), 2: ("words", 0, ""), 3: ("words", 2, "b"), 4: ("sites", 0, ""), 5: ("sites", 1, "h.com/a")}
+
+
+def test_batches_of_pages_are_bounded(spark, tmp_path):
+    """A Python worker is handed a bounded part of a task's pages at a time, whatever the session began with."""
+    from lexforge.functions import html as H
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.range(3000).selectExpr("id AS page_id", "'http://h/' AS url", "'<p>x</p>' AS html").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    assert catalogue.QUERIES["page_full_text"](spark, str(tmp_path)).count() == 3000
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    p = catalogue.raw_pages(spark, str(tmp_path)).select("page_id", H.read(F.col("html"), F.col("url"), "visible")["visible"].alias("t"))
+    assert max(r["n"] for r in p.mapInArrow(sizes, "n long").collect()) <= 1000
