@@ -395,3 +395,18 @@ def test_assessments_are_made_once(spark):
     assert plan.count("{200,}") == 1, plan
     same = d.select((L.included(F.col("text"), F.lit("html")) == L.quality(F.col("text"), F.lit("html"))["include"]).alias("same"))
     assert same.where("not same").isEmpty() and same.count() == 5
+
+
+def test_links_of_two_pages_of_one_address_have_one_order(spark):
+    a, b = [f"http://h/{c}" for c in "zxv"], [f"http://h/{c}" for c in "wyx"]
+    for rows in ([a, b], [b, a]):
+        d = spark.createDataFrame([("http://h/", x, 0) for x in rows], "url string, links array<string>, depth int").coalesce(1)
+        got = [r["link"][-1] for r in frontier.children(d, 1, external=True).orderBy("pos").collect()]
+        assert got == list("wzxyv")
+
+
+def test_references_without_a_semicolon(spark):
+    """As html.unescape reads them, in titles and texts alike: a title that was cut inside `&amp;` ends with the sign."""
+    page = "<head><title>a&amp;&amp</title></head><body><p>b&amp</p></body>"
+    assert one(spark, H.title, page) == "a&&"
+    assert H.visible_text(page) == H.compact_text(page) == H.training_text(page) == H.journal_text(page) == "b&"
