@@ -410,3 +410,29 @@ def test_references_without_a_semicolon(spark):
     page = "<head><title>a&amp;&amp</title></head><body><p>b&amp</p></body>"
     assert one(spark, H.title, page) == "a&&"
     assert H.visible_text(page) == H.compact_text(page) == H.training_text(page) == H.journal_text(page) == "b&"
+
+
+def test_like_pairs_and_rounds_against_all_pairs(spark):
+    """Sets of 1 to 30 words, many of them near copies, with words that all share: the pairs are those of comparing all. Sets that share one rare word
+    only don't meet, and rounds decide the ends of pairs alone."""
+    import random
+
+    rnd, sets = random.Random(7), set()
+    for _ in range(150):
+        base = {"all", *rnd.sample([f"w{i}" for i in range(60)], rnd.randint(0, 29))}
+        sets.add(frozenset(base))
+        for _ in range(2):
+            sets.add(frozenset(base - {rnd.choice(sorted(base))} | ({f"x{rnd.randint(0, 9)}"} if rnd.random() < 0.5 else set())))
+    sets = sorted((sorted(s) for s in sets if s))
+    want = {(i, j) for j, b in enumerate(sets) for i, a in enumerate(sets[:j]) if len(set(a) & set(b)) * 100 >= 86 * len(set(a) | set(b))}
+    d = spark.createDataFrame(list(enumerate(sets)), "rep long, terms array<string>")
+    pairs = dedup.cut(dedup.like_pairs(d))
+    assert {(r["early"], r["late"]) for r in pairs.collect()} == want and len(want) > 20
+    kept = []
+    for j in range(len(sets)):
+        if not any((i, j) in want for i in kept):
+            kept.append(j)
+    got = dedup.settle(d.select(F.col("rep").alias("id")), pairs)
+    assert sorted(r["id"] for r in got.where("kept").collect()) == kept and got.count() == len(sets)
+    with pytest.raises(ValueError):
+        dedup.like_pairs(d, 50)
